@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from quarrystone.llm import exact_dedup, fingerprints, mixing, url_reputation
+from pyspark.sql import functions as F
+
+from quarrystone.llm import exact_dedup, fingerprints, mixing, packing, token_counts, url_reputation
 from quarrystone.llm.common import table
 
 
+def op1(spark, sf_dir):
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op2(spark, sf_dir):
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
@@ -22,11 +28,18 @@ def op7(spark, sf_dir):
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op10(spark, sf_dir):
+    packed = packing.pack(table(spark, sf_dir, "documents"))
+    return packed.withColumn("ids", F.crc32("ids")).withColumnRenamed("ids", "ids_crc32")
+
+
 QUERIES = {
+    "op1_token_counts": op1,
     "op2_canonical_digest": op2,
     "op3_exact_dedup": op3,
     "op5_url_reputation": op5,
     "op7_fair_mixing": op7,
+    "op10_best_fit_packing": op10,
 }
 
 ORACLES = {
