@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarrystone.llm import exact_dedup, fingerprints, mixing, packing, token_counts, url_reputation
+from quarrystone.llm import exact_dedup, fingerprints, mixing, packing, token_counts, toxicity, url_reputation
 from quarrystone.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op7(spark, sf_dir):
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op9(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10(spark, sf_dir):
     packed = packing.pack(table(spark, sf_dir, "documents"))
     return packed.withColumn("ids", F.crc32("ids")).withColumnRenamed("ids", "ids_crc32")
@@ -39,6 +43,7 @@ QUERIES = {
     "op3_exact_dedup": op3,
     "op5_url_reputation": op5,
     "op7_fair_mixing": op7,
+    "op9_noisy_channel_toxicity": op9,
     "op10_best_fit_packing": op10,
 }
 

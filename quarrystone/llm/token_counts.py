@@ -96,7 +96,7 @@ class Counter:
         if len(self.known) > MEMO:
             self.known.clear()
         known = self.known
-        new = list(set().union(*filter(None, words)) - known.keys())
+        new = [w for w in set().union(*filter(None, words)) if w not in known]
         found = self.encoder.encode_batch([w.decode() for w in new], add_special_tokens=False)
         known.update(zip(new, map(len, found), strict=True))
         return [sum(map(known.__getitem__, ws)) if ws is not None else self.count_huge(t.decode()) for t, ws in zip(texts, words, strict=True)]
