@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarrystone.llm import exact_dedup, fingerprints, mixing, packing, token_counts, toxicity, url_reputation
+from quarrystone.llm import exact_dedup, fingerprints, html_extraction, jaccard_join, mixing, packing, token_counts, toxicity, url_reputation
 from quarrystone.llm.common import table
 
 
@@ -24,10 +24,18 @@ def op5(spark, sf_dir):
     return url_reputation.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6(spark, sf_dir):
+    return html_extraction.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op7(spark, sf_dir):
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op8(spark, sf_dir):
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op9(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,7 +50,9 @@ QUERIES = {
     "op2_canonical_digest": op2,
     "op3_exact_dedup": op3,
     "op5_url_reputation": op5,
+    "op6_site_templates": op6,
     "op7_fair_mixing": op7,
+    "op8_jaccard_components": op8,
     "op9_noisy_channel_toxicity": op9,
     "op10_best_fit_packing": op10,
 }
