@@ -90,12 +90,13 @@ def _with(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(right, condition).drop(*[f"_{k}_r" for k in keys])
 
 
-def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size_col: str | None = None) -> DataFrame:
+def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``docs`` that the mix takes, each as many times as it is repeated."""
     chosen = mix_sources(docs, id_col, text_col, source_col).filter("taken > 0")
     chosen = chosen.groupBy(F.col(id_col).alias("_chosen")).agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("_times"))
     rows = docs.join(chosen, docs[id_col].eqNullSafe(chosen["_chosen"]))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select([docs[c] for c in docs.columns])
+    whole = F.struct(*[docs[c] for c in docs.columns])
+    return rows.select(F.explode(F.array_repeat(whole, chosen["_times"])).alias("row")).select("row.*")
 
 
 ORACLE = r"""

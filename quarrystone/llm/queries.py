@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarrystone.llm import exact_dedup, fingerprints, html_extraction, jaccard_join, mixing, packing, token_counts, toxicity, url_reputation
+from quarrystone.llm import exact_dedup, fingerprints, html_extraction, jaccard_join, mixing, packing, suffix_dedup, token_counts, toxicity, url_reputation
 from quarrystone.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op3(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept", "spans")
+
+
 def op5(spark, sf_dir):
     return url_reputation.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op1_token_counts": op1,
     "op2_canonical_digest": op2,
     "op3_exact_dedup": op3,
+    "op4_suffix_array_dedup": op4,
     "op5_url_reputation": op5,
     "op6_site_templates": op6,
     "op7_fair_mixing": op7,
