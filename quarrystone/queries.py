@@ -181,11 +181,11 @@ def line_pages(spark, sf_dir):
 
 
 @query(r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)
-SELECT doc_id, array_to_string(p[2:3], chr(10)) AS text, len(p) > 3 AS has_more, CASE WHEN len(p) > 3 THEN 3 END::BIGINT AS next_offset FROM l""")
+SELECT doc_id, array_to_string(p[2:3], chr(10)) AS text, len(p) > 3 AS has_more, CASE WHEN len(p) > 3 THEN 3 ELSE -1 END::BIGINT AS next_offset FROM l""")
 def paragraph_window(spark, sf_dir):
     """Two paragraphs from the second on."""
     rows = _table(spark, sf_dir, "documents").select("doc_id", paging.window_of(F.split("text", r"\r?\n", -1), 1, 2).alias("w"))
-    return rows.select("doc_id", "w.*")
+    return rows.select("doc_id", "w.text", "w.has_more", F.coalesce("w.next_offset", F.lit(-1)).alias("next_offset"))
 
 
 @query()
@@ -205,12 +205,12 @@ def _entries(spark, sf_dir):
 
 @query(rf"""WITH {_ENTRIES}, s AS (SELECT archive, regexp_replace(raw, '/+$', '') AS path, min(page_id) AS f FROM e WHERE page_id % 11 <> 0 AND raw <> '' GROUP BY 1, 2),
 n AS (SELECT *, row_number() OVER (PARTITION BY archive ORDER BY f) - 1 AS entry_no, count(*) OVER (PARTITION BY archive) AS c FROM s WHERE starts_with(path, 'en'))
-SELECT archive, path, entry_no, CASE WHEN c > 6 THEN 6 END::BIGINT AS next_cursor FROM n WHERE entry_no BETWEEN 2 AND 5""")
+SELECT archive, path, entry_no, CASE WHEN c > 6 THEN 6 ELSE -1 END::BIGINT AS next_cursor FROM n WHERE entry_no BETWEEN 2 AND 5""")
 def entry_listing(spark, sf_dir):
     """Of each host as an archive, entries 2 to 5 of its distinct safe paths that begin with en."""
     safe = _entries(spark, sf_dir).filter(F.startswith("path", F.lit("en")))
     first = safe.groupBy("archive", "path").agg(F.min("page_id").alias("_first"))
-    return paging.cursor_page(first, ["archive"], [F.col("_first")], 2, 4).drop("_first")
+    return paging.cursor_page(first, ["archive"], [F.col("_first")], 2, 4).drop("_first").fillna(-1, ["next_cursor"])
 
 
 @query(rf"WITH {_ENTRIES} SELECT page_id, archive, raw FROM e WHERE page_id % 11 = 0 OR raw = ''")
@@ -233,7 +233,7 @@ def shared_strings(spark, sf_dir):
     return cells.select("l_orderkey", "l_linenumber", F.coalesce("p_name", F.col("l_partkey").cast("string")).alias("value"))
 
 
-@query(r"""SELECT l_orderkey, string_agg(l_linenumber || ':' || l_quantity::BIGINT, chr(9) ORDER BY l_linenumber) AS text FROM lineitem GROUP BY l_orderkey""")
+@query(r"""SELECT l_orderkey, string_agg(l_linenumber || ':' || l_quantity::BIGINT, chr(9) ORDER BY l_linenumber, l_linenumber || ':' || l_quantity::BIGINT) AS text FROM lineitem GROUP BY l_orderkey""")
 def sheet_rows(spark, sf_dir):
     """Orders as rows of a sheet, cells joined by tabs."""
     cells = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.col("l_linenumber").cast("string"), F.lit(":"), F.col("l_quantity").cast("long").cast("string")).alias("value"))
@@ -249,21 +249,21 @@ def _masked(rows: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("_r", redacted("text")).select(key, F.col("_r.text").alias("text"), F.col("_r.redacted").alias("redacted"))
 
 
-@query("""SELECT c_custkey, '  api_key: [REDACTED]' || chr(10) || 'name=' || c_name || chr(10) || 'export TOKEN="[REDACTED]" # ' || c_mktsegment AS text, 2 AS redacted FROM customer""")
+@query("""SELECT c_custkey, '  api_key: [REDACTED]' || chr(10) || 'name=' || c_name || chr(10) || 'export TOKEN="[REDACTED]" # ' || c_mktsegment AS text, 2::BIGINT AS redacted FROM customer""")
 def redact_kv(spark, sf_dir):
     """Secrets in key-value lines."""
     text = F.concat(F.lit("  api_key: "), "c_name", F.lit("\nname="), "c_name", F.lit('\nexport TOKEN="'), "c_name", F.lit('" # '), "c_mktsegment")
     return _masked(_table(spark, sf_dir, "customer").select("c_custkey", text.alias("text")), "c_custkey")
 
 
-@query("""SELECT o_orderkey, '{"id": ' || o_orderkey || ', "client_secret": "[REDACTED]", "nested": {"token": "[REDACTED]", "open": "' || o_orderstatus || '"}}' AS text, 1 AS redacted FROM orders""")
+@query("""SELECT o_orderkey, '{"id": ' || o_orderkey || ', "client_secret": "[REDACTED]", "nested": {"token": "[REDACTED]", "open": "' || o_orderstatus || '"}}' AS text, 1::BIGINT AS redacted FROM orders""")
 def redact_json(spark, sf_dir):
     """Secrets in JSON, values of any kind."""
     text = F.concat(F.lit('{"id": '), F.col("o_orderkey").cast("string"), F.lit(', "client_secret": "'), "o_orderpriority", F.lit('", "nested": {"token": ['), F.col("o_custkey").cast("string"), F.lit('], "open": "'), "o_orderstatus", F.lit('"}}'))
     return _masked(_table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text")), "o_orderkey")
 
 
-@query(r"""SELECT p_partkey, 'password: |' || chr(10) || '  [REDACTED]' || chr(10) || '  [REDACTED]' || chr(10) || 'brand: ' || p_brand || chr(10) || '-----BEGIN PRIVATE KEY-----' || chr(10) || '[REDACTED]' || chr(10) || '-----END PRIVATE KEY-----' AS text, 4 AS redacted FROM part""")
+@query(r"""SELECT p_partkey, 'password: [REDACTED]' || chr(10) || '  [REDACTED]' || chr(10) || '  [REDACTED]' || chr(10) || 'brand: ' || p_brand || chr(10) || '-----BEGIN PRIVATE KEY-----' || chr(10) || '[REDACTED]' || chr(10) || '-----END PRIVATE KEY-----' AS text, 4::BIGINT AS redacted FROM part""")
 def redact_blocks(spark, sf_dir):
     """Secrets over several lines: YAML blocks and private keys."""
     text = F.concat(F.lit("password: |\n  "), "p_name", F.lit("\n  "), "p_type", F.lit("\nbrand: "), "p_brand", F.lit("\n-----BEGIN PRIVATE KEY-----\n"), "p_name", F.lit("\n-----END PRIVATE KEY-----"))
