@@ -37,8 +37,8 @@ from quarrystone.llm.components import components
 from quarrystone.llm.hashing import mix, shingles
 
 RATIO = 1.5
-#: Nodes of a block (about), and of a subgroup.
-BLOCK, SUBGROUP = 1024, 32
+#: Nodes of a block (about), its shingles (about), and nodes of a subgroup.
+BLOCK, BLOCK_SHINGLES, SUBGROUP = 1024, 1 << 21, 32
 #: Segments beyond the differences, less one; so many empty segments may be left out.
 SPARE = 1
 
@@ -225,24 +225,26 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     made = cut(_sets_and_blocks(rows, width, num, den, buckets))
     sets = made.filter("keys IS NULL").select("_id", "n", "h1", "h2")
     candidates = components(_candidates(made.filter("keys IS NOT NULL").select("bucket", "keys", "edges"), buckets))
-    nodes = sets.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("_id").alias("rep"))
+    nodes = sets.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     members = nodes.join(candidates.withColumnRenamed("node", "h1"), "h1")
-    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("_members"))
-    members = cut(members.join(sizes.filter("_members > 1"), "root").select("root", "rep", "h1", "h2", "_members"))
-    links = cut(_verified(rows, members, width, num, den))
-    labels = components(links)
-    node = F.concat(F.hex("h1"), F.lit("-"), F.hex("h2"), F.lit("-"), F.col("n"))
-    keyed = sets.select("_id", "n", node.alias("node")).join(labels, "node", "left")
-    keyed = keyed.select("_id", "n", F.coalesce("root", "node").alias("root"))
-    least = keyed.filter("n > 0").groupBy("root").agg(F.min("_id").alias("component_id"))
-    full = keyed.filter("n > 0").join(least, "root").select("_id", "n", "component_id")
-    return full.unionByName(keyed.filter("n = 0").select("_id", "n", F.col("_id").alias("component_id"))).select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("_members"), F.sum("n").alias("_shingles"))
+    blocks = F.ceil(F.greatest(F.col("_members") / BLOCK, F.col("_shingles") / BLOCK_SHINGLES)).cast("int")
+    members = cut(members.join(sizes.filter("_members > 1").select("root", blocks.alias("_blocks")), "root").select("root", "rep", "h1", "h2", "_blocks"))
+    labels = components(cut(_verified(rows, members, width, num, den)))
+    # A node begins with its least id (null last), so the least node of a component has the component's least id.
+    named = nodes.select("h1", "h2", "n", "rep", "copies", _node().alias("node")).join(labels, "node", "left")
+    shared = cut(named.filter("copies > 1 OR root IS NOT NULL").select("h1", "h2", "n", F.coalesce("root.rep", "rep").alias("component_id")))
+    return sets.join(shared, ["h1", "h2", "n"], "left").select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "_id").alias("component_id"))
+
+
+def _node():
+    return F.struct(F.col("rep").isNull().alias("none"), F.col("rep"), F.col("h1"), F.col("h2"))
 
 
 def _verified(rows: DataFrame, members: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """``a``, ``b``: links between nodes (named by their set's hashes and size), enough to span every component."""
-    kind = rows.schema["_id"].dataType.simpleString()
-    texts = rows.join(broadcast_if_small(members), F.col("_id") == F.col("rep")).select("root", "h1", "h2", "_members", "_text")
+    """``a``, ``b``: links between nodes (as ``_node`` names them), enough to span every component."""
+    kind = members.schema["rep"].dataType.simpleString()
+    texts = rows.join(broadcast_if_small(members), F.col("_id") == F.col("rep")).select("root", "rep", "h1", "h2", "_blocks", "_text")
 
     def tokenised(batches):
         import pyarrow as pa
@@ -251,32 +253,30 @@ def _verified(rows: DataFrame, members: DataFrame, width: int, num: int, den: in
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 tokens = [shingles(t, width) for t in part.column("_text").cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("root", "h1", "h2", "_members")), pa.array([t.tobytes() for t in tokens], pa.binary())], ["root", "h1", "h2", "_members", "tokens"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in part.schema.names[:-1]), pa.array([t.tobytes() for t in tokens], pa.binary())], [*part.schema.names[:-1], "tokens"])
 
-    sets = texts.mapInArrow(tokenised, "root long, h1 long, h2 long, _members long, tokens binary")
-    blocks = F.ceil(F.col("_members") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("h1", "h2"), blocks).cast("int")
-    dealt = sets.select("root", "h1", "h2", "tokens", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    dealt = dealt.select("root", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "h1", "h2", "tokens")
+    sets = texts.mapInArrow(tokenised, f"root long, rep {kind}, h1 long, h2 long, _blocks int, tokens binary")
+    own = F.pmod(F.xxhash64("h1", "h2"), F.col("_blocks")).cast("int")
+    dealt = sets.select("root", "rep", "h1", "h2", "tokens", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("other"))
+    dealt = dealt.select("root", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", _node().alias("node"), "tokens")
 
     def verified(table):
         import pyarrow as pa
 
         x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
         seen, sides, names = set(), ([], []), ([], [])
-        for own, h1, h2, tokens in zip(*(table.column(c).to_pylist() for c in ("own", "h1", "h2", "tokens")), strict=True):
-            tokens = np.frombuffer(tokens, np.uint64)
-            name = f"{h1 & 0xFFFFFFFFFFFFFFFF:X}-{h2 & 0xFFFFFFFFFFFFFFFF:X}-{len(tokens)}"
-            if name not in seen:
-                seen.add(name)
-                sides[own != x].append(tokens)
-                names[own != x].append(name)
+        for k, (own, node, tokens) in enumerate(zip(*(table.column(c).to_pylist() for c in ("own", "node", "tokens")), strict=True)):
+            if (key := (node["h1"], node["h2"], len(tokens))) not in seen:
+                seen.add(key)
+                sides[own != x].append(np.frombuffer(tokens, np.uint64))
+                names[own != x].append(k)
         pairs = linked_pairs(sides[0], None if x == y else sides[1], num, den) if sides[0] and (x == y or sides[1]) else []
-        both = names[0] + names[1]
-        return pa.table([pa.array([both[a] for a, _ in pairs], pa.string()), pa.array([both[b] for _, b in pairs], pa.string())], ["a", "b"])
+        both, nodes = names[0] + names[1], table.column("node")
+        nodes = nodes.cast(pa.struct([pa.field(f.name, f.type) for f in nodes.type]))
+        return pa.table([nodes.take(pa.array([both[p[k]] for p in pairs], pa.int64())) for k in (0, 1)], ["a", "b"])
 
-    del kind
-    return dealt.groupBy("root", "x", "y").applyInArrow(verified, "a string, b string")
+    node = f"struct<none:boolean,rep:{kind},h1:bigint,h2:bigint>"
+    return dealt.groupBy("root", "x", "y").applyInArrow(verified, f"a {node}, b {node}")
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
