@@ -152,7 +152,7 @@ def _packed_runs(rows: DataFrame, buckets: int, window: int) -> DataFrame:
             number = np.cumsum(new) - 1
             sure = (np.bincount(number)[number] > 1) | (within > 0)
             known = np.unique(anchor[sure])
-            to = np.where(sure, marks[owner] % buckets, anchor % buckets)
+            to = np.where(sure, ids[owner] % buckets, anchor % buckets)
             out = []
             for b in range(buckets):
                 mine = to == b
@@ -204,26 +204,25 @@ def _contexts(texts: DataFrame, buckets: int, window: int) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                best, gone = {}, []
-                texts = part.column("text").cast(pa.binary()).to_pylist()
-                for k, mark, text, runs in zip(part.column("k").to_pylist(), part.column("mark").to_pylist(), texts, part.column("runs").to_pylist(), strict=True):
-                    for run in runs:
-                        anchor, start, count = run["anchor"], run["start"], run["count"]
-                        key, own = (anchor, text[start : start + count + window - 1]), (k, mark, start)
-                        if key not in best:
-                            best[key] = own
-                        else:
-                            gone.append((*max(own, best[key]), count))
-                            best[key] = min(own, best[key])
-                out: dict[int, list] = {}
-                for (anchor, data), own in best.items():
-                    out.setdefault(anchor % buckets, []).append((anchor, *own, data))
-                blocks = [(b, _pack(*zip(*(x[:4] for x in own), strict=True), [len(x[4]) for x in own]), b"".join(x[4] for x in own), b"") for b, own in out.items()]
-                if gone:
-                    blocks.append((gone[0][1] % buckets, b"", b"", _pack(*zip(*gone, strict=True))))
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in blocks], pa.int32()), *(pa.array([x[j] for x in blocks], pa.binary()) for j in (1, 2, 3))], ["bucket", "heads", "data", "gone"])
+            best, gone = {}, []
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            for k, mark, text, runs in zip(batch.column("k").to_pylist(), batch.column("mark").to_pylist(), texts, batch.column("runs").to_pylist(), strict=True):
+                for run in runs:
+                    anchor, start, count = run["anchor"], run["start"], run["count"]
+                    key, own = (anchor, text[start : start + count + window - 1]), (k, mark, start)
+                    if key not in best:
+                        best[key] = own
+                    else:
+                        gone.append((*max(own, best[key]), count))
+                        best[key] = min(own, best[key])
+            out: dict[int, list] = {}
+            for (anchor, data), own in best.items():
+                out.setdefault(anchor % buckets, []).append((anchor, *own, data))
+            blocks = [(b, _pack(*zip(*(x[:4] for x in own), strict=True), [len(x[4]) for x in own]), b"".join(x[4] for x in own), b"") for b, own in out.items()]
+            for at in range(0, len(gone), 1 << 16):
+                part = gone[at : at + (1 << 16)]
+                blocks.append((part[0][2] % buckets, b"", b"", _pack(*zip(*part, strict=True))))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in blocks], pa.int32()), *(pa.array([x[j] for x in blocks], pa.binary()) for j in (1, 2, 3))], ["bucket", "heads", "data", "gone"])
 
     return texts.mapInArrow(made, "bucket int, heads binary, data binary, gone binary").repartition(buckets, "bucket")
 
@@ -312,13 +311,16 @@ def kept_and_spans(text: bytes, starts: list[int], counts: list[int], window: in
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """One row for each input row: id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, ``kept`` (the bytes left), ``spans``."""
     buckets = partitions(docs.sparkSession)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST_ID)).alias("k"), F.xxhash64(text_of(text_col)).alias("mark"), text_of(text_col).alias("text"), F.col(id_col).alias("_id"))
-    runs = _repeated_runs(_packed_runs(rows.select("k", "mark", "text"), buckets, window))
+    key, text = F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST_ID)), text_of(text_col)
+    # Only where ids repeat do rows need a second key.
+    unique = docs.groupBy(key.alias("k")).count().filter("count > 1").isEmpty()
+    rows = docs.select(key.alias("k"), (F.lit(0).cast("long") if unique else F.xxhash64(text)).alias("mark"), text.alias("text"))
+    runs = _repeated_runs(_packed_runs(rows, buckets, window))
     runs = runs.groupBy("k", "mark").agg(F.collect_list(F.struct("anchor", "start", "count")).alias("runs"))
     texts = rows.join(runs, ["k", "mark"]).select("k", "mark", "text", "runs")
     removed = _removed_windows(_contexts(texts, buckets, window), window)
     removed = removed.groupBy("k", "mark").agg(F.collect_list(F.struct("start", "count")).alias("removed"))
-    final = rows.join(removed, ["k", "mark"], "left").select("_id", "text", "removed")
+    final = rows.join(removed, ["k", "mark"], "left").select("k", "text", "removed")
 
     def cut_out(batches):
         import pyarrow as pa
@@ -331,8 +333,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     left, spans = kept_and_spans(text, [x["start"] for x in gone or ()], [x["count"] for x in gone or ()], window)
                     out.append((len(text), len(text) - len(left), len(spans), sha256(left).hexdigest(), left, [{"start": a, "end": b} for a, b in spans]))
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds))], ["_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds))], ["k", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"])
 
-    kind = rows.schema["_id"].dataType.simpleString()
-    found = final.mapInArrow(cut_out, f"_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:long,end:long>>")
-    return found.withColumnRenamed("_id", id_col)
+    found = final.mapInArrow(cut_out, "k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:long,end:long>>")
+    own = F.when(F.col("k") != LEAST_ID, F.col("k")).cast(docs.schema[id_col].dataType)
+    return found.select(own.alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans")
