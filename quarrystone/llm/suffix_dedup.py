@@ -12,7 +12,7 @@
    at its first differing word, and only branches are looked at again.
 3. The earliest window of each group stays and every other one is removed from its text.
 
-All rows are packed into blocks for the shuffle.  Texts are shuffled once, by document, and that exchange serves both
+All rows are packed into blocks for the shuffle, and the runs' bytes, which overlap, are compressed there.  Texts are shuffled once, by document, and that exchange serves both
 reads of them.
 
 Defined cases: a null text is empty; texts under 100 bytes lose nothing; a null id comes before every other; rows that
@@ -25,6 +25,7 @@ from __future__ import annotations
 from hashlib import sha256
 
 import numpy as np
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -203,6 +204,7 @@ def _contexts(texts: DataFrame, buckets: int, window: int) -> DataFrame:
     def made(batches):
         import pyarrow as pa
 
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             best, gone = {}, []
             texts = batch.column("text").cast(pa.binary()).to_pylist()
@@ -218,7 +220,7 @@ def _contexts(texts: DataFrame, buckets: int, window: int) -> DataFrame:
             out: dict[int, list] = {}
             for (anchor, data), own in best.items():
                 out.setdefault(anchor % buckets, []).append((anchor, *own, data))
-            blocks = [(b, _pack(*zip(*(x[:4] for x in own), strict=True), [len(x[4]) for x in own]), b"".join(x[4] for x in own), b"") for b, own in out.items()]
+            blocks = [(b, _pack(*zip(*(x[:4] for x in own), strict=True), [len(x[4]) for x in own]), squeeze(b"".join(x[4] for x in own)), b"") for b, own in out.items()]
             for at in range(0, len(gone), 1 << 16):
                 part = gone[at : at + (1 << 16)]
                 blocks.append((part[0][2] % buckets, b"", b"", _pack(*zip(*part, strict=True))))
@@ -242,7 +244,7 @@ def _removed_windows(blocks: DataFrame, window: int) -> DataFrame:
             for heads, data, told in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
                 if told:
                     yield rows(*np.frombuffer(told, np.int64).reshape(4, -1))
-                at = 0
+                data, at = zstandard.decompress(data) if data else b"", 0
                 for anchor, k, mark, start, length in np.frombuffer(heads, np.int64).reshape(5, -1).T.tolist():
                     key, own = (anchor, data[at : at + length]), (k, mark, start)
                     at += length
