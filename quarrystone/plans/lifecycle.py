@@ -9,7 +9,7 @@ from quarrystone.functions.detection import detect
 from quarrystone.functions.redaction import redacted
 from quarrystone.limits import LIMITS, Limits
 from quarrystone.operators import archives, paging, store
-from quarrystone.sources import readers
+from quarrystone.sources import legacy, readers
 
 
 def ingest(uploads: DataFrame, blobs: DataFrame | None = None, limits: Limits = LIMITS) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -54,25 +54,26 @@ def document_texts(files: DataFrame) -> DataFrame:
     join = lambda df, kind, group="paragraphs": df.select("id", F.lit(kind).alias("kind"), F.array_join(group, "\n").alias("text"), "error_code")
     plain = files.filter("family = 'text'").withColumn("_d", readers.decoded("content"))
     out = plain.select("id", "kind", F.col("_d.text").alias("text"), F.when(F.col("content").isNull(), "CORRUPT_FILE").when(F.col("_d.text").isNull(), "UNSUPPORTED_FILE_TYPE").alias("error_code"))
-    out = out.unionByName(join(readers.docx(of("docx")), "docx"))
+    out = out.unionByName(join(readers.docx(of("docx")), "docx")).unionByName(join(legacy.doc(of("doc")), "doc"))
     for kind in ("odt", "odp"):
         out = out.unionByName(join(readers.open_document(of(kind)), kind))
     out = out.unionByName(join(readers.open_document(of("ods"), spreadsheet=True), "ods"))
     numbered = lambda df, kind, no: df.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(no, "text"))).alias("_t"), F.max("error_code").alias("error_code")).select("id", F.lit(kind).alias("kind"), F.array_join(F.transform("_t", lambda x: x["text"]), "\n").alias("text"), "error_code")
     out = out.unionByName(numbered(readers.pptx(of("pptx")), "pptx", "page_no"))
     out = out.unionByName(numbered(readers.epub(of("epub")), "epub", "chapter_no"))
-    sheets = readers.xlsx(of("xlsx"))
+    sheets = readers.xlsx(of("xlsx")).unionByName(legacy.xls(of("xls")))
+    kinds = of("xlsx", "xls").select("id", "kind")
     failed = sheets.groupBy("id").agg(F.max("error_code").alias("error_code"))
     rows = paging.sheet_rows(sheets, ["id", "sheet"])
     text = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("sheet", "row_no", "text"))).alias("_t"))
-    out = out.unionByName(failed.join(text, "id", "left").select("id", F.lit("xlsx").alias("kind"), F.array_join(F.transform("_t", lambda x: x["text"]), "\n").alias("text"), "error_code"))
+    out = out.unionByName(failed.join(text, "id", "left").join(kinds, "id").select("id", "kind", F.array_join(F.transform("_t", lambda x: x["text"]), "\n").alias("text"), "error_code"))
     out = out.unionByName(of("rtf").select("id", "kind", readers.rtf("content").alias("text"), F.lit(None).cast("string").alias("error_code")))
     runs = readers.pdf_runs(of("pdf"))
     pages = readers.ordered_text(runs, ["id", "page_no"])
     state = runs.groupBy("id").agg(F.max("error_code").alias("error_code"))
     whole = pages.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("page_no", "text"))).alias("_t"))
     out = out.unionByName(state.join(whole, "id", "left").select("id", F.lit("pdf").alias("kind"), F.coalesce(F.array_join(F.transform("_t", lambda x: x["text"]), "\n"), F.lit("")).alias("text"), "error_code"))
-    known = ("docx", "odt", "odp", "ods", "pptx", "epub", "xlsx", "rtf", "pdf")
+    known = ("docx", "doc", "xls", "odt", "odp", "ods", "pptx", "epub", "xlsx", "rtf", "pdf")
     rest = files.filter((F.col("family") != "text") & ~F.col("kind").isin(*known))
     return out.unionByName(rest.select("id", "kind", F.lit(None).cast("string").alias("text"), F.lit("UNSUPPORTED_FILE_TYPE").alias("error_code")))
 
