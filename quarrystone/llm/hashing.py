@@ -6,7 +6,7 @@ import numpy as np
 
 BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(BASE, -1, 1 << 64)
-PIECE = 1 << 21
+PIECE = 1 << 18
 
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += np.uint64(32)
@@ -15,7 +15,7 @@ _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
 def _powers(base: int) -> np.ndarray:
-    out = np.full(PIECE * 2, base & 0xFFFFFFFFFFFFFFFF, np.uint64)
+    out = np.full(PIECE + 1, base & 0xFFFFFFFFFFFFFFFF, np.uint64)
     out[0] = 1
     return np.multiply.accumulate(out)
 

@@ -38,7 +38,7 @@ from quarrystone.llm.hashing import mix, shingles
 
 RATIO = 1.5
 #: Nodes of a block (about), its shingles (about), and nodes of a subgroup.
-BLOCK, BLOCK_SHINGLES, SUBGROUP = 1024, 1 << 21, 32
+BLOCK, BLOCK_SHINGLES, SUBGROUP = 1024, 1 << 20, 32
 #: Segments beyond the differences, less one; so many empty segments may be left out.
 SPARE = 1
 
@@ -185,18 +185,21 @@ def linked_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, num: in
     asked, held = range(len(left)), range(len(left), len(sets)) if right is not None else range(len(left))
     held = sorted(held, key=lambda i: (int(sets[i][0]), lengths[i]))  # similar sets share their least shingle
     groups = [held[k : k + SUBGROUP] for k in range(0, len(held), SUBGROUP)]
-    matrix = np.zeros((len(groups), len(vocabulary)), bool)
+    matrix = np.zeros((len(groups), len(vocabulary) // 8 + 1), np.uint8)  # bits: a row a subgroup, a column a shingle
     flat, starts, least = [], [], []
     for g, members in enumerate(groups):
         flat.append(np.concatenate([ids[i] for i in members]))
         starts.append(np.concatenate(([0], np.cumsum(lengths[members])[:-1])))
-        matrix[g, flat[-1]] = True
+        own = np.zeros(len(vocabulary), bool)
+        own[flat[-1]] = True
+        bits = np.packbits(own)
+        matrix[g, : len(bits)] = bits
         least.append(min(lengths[members]))
     least, forest, found = np.array(least), Forest(len(sets)), []
     mark = np.zeros(len(vocabulary), np.int32)
     for q in asked:
         n = lengths[q]
-        bound = matrix[:, ids[q]].sum(1)  # overlap with any member is at most this; the union at least the larger set
+        bound = (matrix[:, ids[q] >> 3] >> (7 - (ids[q] & 7)).astype(np.uint8) & 1).sum(1)  # overlap with any member is at most this; the union at least the larger set
         opened = np.flatnonzero((bound * den >= num * np.maximum(n, least)))
         if not len(opened):
             continue
