@@ -38,7 +38,7 @@ from quarrystone.llm.hashing import mix, shingles
 
 RATIO = 1.5
 #: Nodes of a block (about), its shingles (about), and nodes of a subgroup.
-BLOCK, BLOCK_SHINGLES, SUBGROUP = 1024, 1 << 20, 32
+BLOCK, BLOCK_SHINGLES, SUBGROUP = 1024, 1 << 23, 32
 #: Segments beyond the differences, less one; so many empty segments may be left out.
 SPARE = 1
 
