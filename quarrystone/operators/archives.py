@@ -6,7 +6,6 @@ are left out of listings and refused on extraction, and what is inflated is coun
 
 from __future__ import annotations
 
-import bz2
 import io
 import lzma
 import tarfile
