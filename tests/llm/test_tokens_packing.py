@@ -77,7 +77,16 @@ def test_pack(docs, texts, empty, capacity):
     total = sum(len(packing.token_ids(t or "")) for t in texts)
     assert check(rows, texts, capacity) <= -(-total // capacity) * 1.05 + 1
     assert packing.pack(empty).count() == 0
-    assert all(zlib.crc32(bytes(r.ids)) >= 0 for r in rows)
+
+
+def test_digest_of_ids(spark):
+    from quarrystone.llm import queries
+
+    sf_dir = "/root/testdata/sf0.001"
+    own = {r.doc_id: packing.token_ids(r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = queries.QUERIES["op10_best_fit_packing"](spark, sf_dir).collect()
+    assert all(r.ids_crc32 == zlib.crc32(own[r.doc_id][r.start : r.start + r.length].tobytes()) for r in rows)
+    assert sum(r.length for r in rows) == sum(map(len, own.values()))
 
 
 def test_few_open_bins(docs, texts):

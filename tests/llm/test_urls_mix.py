@@ -1,8 +1,6 @@
 import re
 
 import pytest
-from pyspark.sql import functions as F
-
 from quarrystone.llm import mixing, url_reputation
 
 URLS = {
@@ -82,4 +80,3 @@ def test_targets_stop_at_three_times(spark):
     got = {r.source: r.target for r in mixing.source_targets(base).collect()}
     assert got["a"] == 3.0 and got["b"] + got["c"] == pytest.approx(1098) and got["c"] == 300.0
     assert mixing.source_targets(base.limit(0)).count() == 0
-    assert F is not None
