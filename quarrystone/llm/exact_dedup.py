@@ -20,10 +20,14 @@ from pyspark.sql import functions as F
 from quarrystone.llm.common import BLANK, text_of
 
 
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    rows = docs.select(F.col(id_col).alias("_id"), F.regexp_replace(text_of(text_col), f"{BLANK}+", " ").alias("_text"))
+    return rows.select("_id", "_text", F.md5("_text").alias("_hash"))
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256`` (of the normalised text)."""
-    rows = docs.select(F.col(id_col).alias("_id"), F.regexp_replace(text_of(text_col), f"{BLANK}+", " ").alias("_text"))
-    rows = rows.select("_id", "_text", F.md5("_text").alias("_hash"))
+    rows = _rows(docs, id_col, text_col)
     groups = (
         rows.groupBy("_hash", "_text")
         .agg(F.min("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
@@ -41,7 +45,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that stay: one for each distinct normalised text."""
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("_kept")).distinct()
+    kept = _rows(docs, id_col, text_col).groupBy("_hash", "_text").agg(F.min("_id").alias("_kept")).select("_kept")
     stay = docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"]), "left_semi")
     return stay.dropDuplicates([id_col])
 

@@ -99,30 +99,42 @@ def _blob(*arrays: np.ndarray) -> bytes:
     return b"".join(np.ascontiguousarray(a, np.uint64).tobytes() for a in arrays)
 
 
-def _sets_and_blocks(rows: DataFrame, width: int, num: int, den: int, buckets: int) -> DataFrame:
-    """``_id, n, h1, h2`` of each document (bucket null), and blocks of segments by bucket (``keys`` not null)."""
+def _sets(rows: DataFrame, width: int) -> DataFrame:
+    """``_id``, ``n``, ``h1``, ``h2`` of each document: the size of its set and two hashes of it."""
 
     def made(batches):
         import pyarrow as pa
 
         for batch in batches:
-            head, sigs, owners = [], [], []
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
+            heads = [set_name(shingles(t, width)) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[k] for x in heads], pa.int64()) for k in range(3))], ["_id", "n", "h1", "h2"])
+
+    kind = rows.schema["_id"].dataType.simpleString()
+    return rows.mapInArrow(made, f"_id {kind}, n long, h1 long, h2 long")
+
+
+def set_name(tokens: np.ndarray) -> tuple[int, int, int]:
+    if not len(tokens):
+        return 0, 0, 0
+    return len(tokens), int(np.sum(mix(tokens)).view(np.int64)), int(np.bitwise_xor.reduce(mix(tokens ^ np.uint64(0x5851F42D4C957F2D))).view(np.int64))
+
+
+def _segments(rows: DataFrame, width: int, num: int, den: int, buckets: int) -> DataFrame:
+    """Blocks of segments by bucket: ``keys`` (segment, node) and ``edges`` between nodes that meet in the batch.
+
+    A pass of its own: hashing again costs less than keeping all segments.
+    """
+
+    def made(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            sigs, owners = [], []
+            for text in batch.column(0).cast(pa.binary()).to_pylist():
                 tokens = shingles(text, width)
-                if not len(tokens):
-                    head.append((0, 0, 0))
-                    continue
-                h1, h2 = int(np.sum(mix(tokens))), int(np.bitwise_xor.reduce(mix(tokens ^ np.uint64(0x5851F42D4C957F2D))))
-                head.append((len(tokens), h1 - (h1 >> 63 << 64), h2 - (h2 >> 63 << 64)))
-                own = segment_signatures(tokens, num, den)
-                sigs.append(own)
-                owners.append(np.full(len(own), h1, np.uint64))
-            none = lambda kind, n: pa.nulls(n, kind)
-            n = len(head)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array([x[k] for x in head], pa.int64()) for k in range(3)), none(pa.int32(), n), none(pa.binary(), n), none(pa.binary(), n)],
-                ["_id", "n", "h1", "h2", "bucket", "keys", "edges"],
-            )
+                if len(tokens):
+                    sigs.append(segment_signatures(tokens, num, den))
+                    owners.append(np.full(len(sigs[-1]), np.sum(mix(tokens)), np.uint64))
             if not sigs:
                 continue
             keys, nodes, edges = _star(np.concatenate(sigs), np.concatenate(owners))
@@ -132,18 +144,12 @@ def _sets_and_blocks(rows: DataFrame, width: int, num: int, den: int, buckets: i
             blobs = []
             for b in range(buckets):
                 part = order[bounds[b] : bounds[b + 1]]
-                mine = edges[:, of_edge == b] if edges.size else edges
+                mine = edges[:, of_edge == b]
                 if len(part) or mine.size:
                     blobs.append((b, _blob(keys[part], nodes[part]), _blob(mine[0], mine[1])))
-            n = len(blobs)
-            kind = batch.schema.field(0).type
-            yield pa.RecordBatch.from_arrays(
-                [none(kind, n), none(pa.int64(), n), none(pa.int64(), n), none(pa.int64(), n), pa.array([x[0] for x in blobs], pa.int32()), pa.array([x[1] for x in blobs], pa.binary()), pa.array([x[2] for x in blobs], pa.binary())],
-                ["_id", "n", "h1", "h2", "bucket", "keys", "edges"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in blobs], kind) for k, kind in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["bucket", "keys", "edges"])
 
-    kind = rows.schema["_id"].dataType.simpleString()
-    return rows.mapInArrow(made, f"_id {kind}, n long, h1 long, h2 long, bucket int, keys binary, edges binary")
+    return rows.select("_text").mapInArrow(made, "bucket int, keys binary, edges binary")
 
 
 def _candidates(blocks: DataFrame, buckets: int) -> DataFrame:
@@ -225,9 +231,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     buckets = partitions(spark)
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
-    made = cut(_sets_and_blocks(rows, width, num, den, buckets))
-    sets = made.filter("keys IS NULL").select("_id", "n", "h1", "h2")
-    candidates = components(_candidates(made.filter("keys IS NOT NULL").select("bucket", "keys", "edges"), buckets))
+    sets = cut(_sets(rows, width))
+    candidates = components(_candidates(_segments(rows, width, num, den, buckets), buckets))
     nodes = sets.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     members = nodes.join(candidates.withColumnRenamed("node", "h1"), "h1")
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("_members"), F.sum("n").alias("_shingles"))
