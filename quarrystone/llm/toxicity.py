@@ -3,7 +3,11 @@
 Channel: a writer may swap letters for look-alike digits and signs, put single spaces or signs between letters, and
 repeat letters.  A token that shows such signs becomes a lattice of the letters each character may stand for (or of
 nothing, for separators and repeated letters), and Viterbi decoding finds the reading that is likeliest under a
-character trigram model, whose counts Spark gathers from all documents.
+character trigram model, whose counts Spark gathers from all documents.  In a run of single characters each space may be
+kept or dropped, so the decoding finds where words end; as three letters say little of that, a run is read once for each
+of some costs of a kept space, and as one word, in which the lexicon's longer words count wherever they stand.  Tokens and runs of any length are decoded: what the likeliest path begins
+with is settled piece by piece.  A token without letters is decoded if it has look-alikes; digits in it are taken for
+themselves unless the letters are far likelier.  A doubled look-alike is read as one letter and as two.
 
 Score: a lexicon of restored words and word beginnings, each with its probability of standing in a toxic document.  It is learnt from
 labelled documents outside the held-out fold, at most ``SAMPLE`` of them, taken by a hash of their id.  A feature counts
@@ -45,6 +49,12 @@ LOOKALIKES = {
 SEPARATORS = " .-_*~^'`,/\\"
 #: Costs of the channel, in nats.
 SWAP, DROP, REPEAT, KEEP = 1.0, 0.7, 0.4, 3.0
+#: Costs of a kept space in a run of single characters; each gives a reading, from few words to many.
+GAPS = (2.0, 0.7, -0.5, -1.5)
+#: Lexicon words of so many letters count inside a spaced run that is read as one word.
+INSIDE = 5
+#: Decoding settles its reading after so many characters, but for the last ones.
+PIECE, OPEN = 256, 128
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SPACED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
@@ -107,31 +117,55 @@ class Channel:
         grams = np.zeros(WIDTH**3)
         grams[list(counts)] = list(counts.values())
         grams = grams.reshape(WIDTH, WIDTH, WIDTH)
+        for c in (*range(1, OTHER), *range(OTHER + 1, REST)):
+            grams[c, c, c] = 0  # a stretched word must not teach that letters are stretched
         pairs, single = grams.sum(0), grams.sum((0, 1))
         p1 = (single + 0.5) / (single.sum() + 0.5 * WIDTH)
         p2 = (pairs + 10 * p1) / (pairs.sum(1, keepdims=True) + 10)
         p3 = (grams + 10 * p2) / (grams.sum(2, keepdims=True) + 10)
         self.cost = (-np.log(p3)).ravel().tolist()
 
-    def decode(self, token: str) -> str:
-        """The likeliest reading of a lower-cased token."""
-        stutters = _RUN.search(token) or len(_DOUBLE.findall(token)) > 1
+    def decode(self, token: str, gap: float = GAPS[0], doubles: bool = False) -> str:
+        """The likeliest reading of a lower-cased token, or of a run of single characters with a space between them.
+
+        A kept space costs ``gap``; with ``doubles``, every look-alike is a letter of its own.
+        """
+        letters = token.replace(" ", "")
+        stutters = _RUN.search(letters) or len(_DOUBLE.findall(letters)) > 1
+        number = not _LETTERS.search(letters)
         paths = {(BREAK, BREAK): (0.0, "")}
-        before = ""
-        for ch in token:
+        before, settled = "", []
+        for at, ch in enumerate(token):
             options = []
-            if ch.isalpha():
+            if ch == " ":
+                options += [("", DROP), (" ", gap)]
+            elif ch.isalpha():
                 options.append((ch, 0.0))
                 if ch == before and stutters:
                     options.append(("", REPEAT))
             else:
-                options += [(x, SWAP) for x in LOOKALIKES.get(ch, "")]
-                if ch == before and ch in LOOKALIKES:
+                itself = number and ch.isdigit()
+                options += [(x, KEEP if itself else SWAP) for x in LOOKALIKES.get(ch, "")]
+                if ch == before and ch in LOOKALIKES and not doubles and not itself:
                     options.append(("", SWAP + REPEAT))
-                options += [("", DROP)] if ch in SEPARATORS else [(ch, KEEP)]
-            before = ch
+                if ch in SEPARATORS:
+                    options.append(("", DROP))
+                elif itself or not (doubles and options):
+                    options.append((ch, 0.0 if itself else KEEP))
+            if ch != " ":
+                before = ch
             paths = self._step(paths, options)
-        return min(self._step(paths, [(" ", 0.0)]).values())[1].strip()
+            if at % PIECE == PIECE - 1:
+                paths = self._settle(paths, settled)
+        settled.append(min(self._step(paths, [(" ", 0.0)]).values())[1])
+        return "".join(settled).strip()
+
+    def _settle(self, paths, settled):
+        """The paths that begin as the likeliest does, without that beginning, which ``settled`` takes."""
+        best = min(paths.values())[1]
+        begin = best[: max(0, len(best) - OPEN)]
+        settled.append(begin)
+        return {key: (so_far, text[len(begin) :]) for key, (so_far, text) in paths.items() if text.startswith(begin)}
 
     def _step(self, paths, options):
         following: dict = {}
@@ -154,14 +188,26 @@ class Channel:
             return (core,)
         written = _LETTERS.findall(core)
         core = core.rstrip("!")
-        if not written or len(core) > 60:
-            return tuple(written)
+        if not written and not any(c in LOOKALIKES for c in core):
+            return ()
         if core.isalpha() and not _RUN.search(core):
             return (core, _DOUBLE.sub(r"\1", core))
         odd = [c for c in core if not c.isalpha()]
-        if odd and min(map(len, written)) >= 3 and not _RUN.search(core) and all(c not in LOOKALIKES for c in odd):
+        if written and odd and min(map(len, written)) >= 3 and not _RUN.search(core) and all(c not in LOOKALIKES for c in odd):
             return tuple(written)  # words joined by signs
-        return tuple(dict.fromkeys(written + _LETTERS.findall(self.decode(core))))
+        read = [self.decode(core)]
+        if not _RUN.search(core) and any(x in LOOKALIKES for x in _DOUBLE.findall(core)):
+            read.append(self.decode(core, doubles=True))
+        return tuple(dict.fromkeys(written + _LETTERS.findall(" ".join(read))))
+
+    def spaced_words(self, run: str, wanted=None) -> tuple[str, ...]:
+        """The words of a lower-cased run of single characters, and those of ``wanted`` anywhere in its letters."""
+        letters = run.split()
+        whole = self.decode("".join(letters))
+        found = _LETTERS.findall(" ".join([whole, *(self.decode(" ".join(letters), gap) for gap in GAPS)]))
+        for n in {len(w) for w in wanted or () if len(w) >= INSIDE and w[-1] != "*"}:
+            found += [w for w in (whole[at : at + n] for at in range(len(whole) - n + 1)) if w in wanted]
+        return tuple(dict.fromkeys(found))
 
 
 def features(words: tuple[str, ...] | list[str], wanted=None) -> tuple[str, ...]:
@@ -184,8 +230,7 @@ def restored_features(text: str, channel: Channel, memo: dict[str, tuple[str, ..
         found.update(own)
     if _MAYBE_SPACED.search(f" {low} "):
         for match in _SPACED.finditer(low):
-            if len(match[0]) < 120:
-                found.update(features(_LETTERS.findall(channel.decode("".join(match[0].split()))), wanted))
+            found.update(features(channel.spaced_words(match[0], wanted), wanted))
     return found, tokens
 
 

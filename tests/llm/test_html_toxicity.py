@@ -73,6 +73,44 @@ def test_toxicity(spark, corpus):
     assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if not r.predicted}
 
 
+def test_toxicity_of_long_and_joined_disguises(spark, corpus):
+    docs, labels = corpus
+    hidden = [
+        "what a s t u p i d man",
+        "i d i o t m o r o n walks",
+        "a " + " ".join("theriverstonehousegreenwalks" * 3 + "stupid" + "underlightcoldwater" * 3) + " man",
+        "so st" + "u" * 700 + "pid",
+        "you s" + "." * 80 + "t.u.p.i.d",
+        "a " + " ".join("theriverstonehousegreenwalks" * 3) + " man",
+        "w a t e r",
+    ]
+    more = docs.unionByName(spark.createDataFrame([(1000 + k, f"the river stone {t}") for k, t in enumerate(hidden)], "doc_id long, text string"))
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity(more, labels).collect()}
+    assert [got[1000 + k] for k in range(len(hidden))] == [1, 1, 1, 1, 1, 0, 0]
+
+
+def channel_of(text):
+    c = toxicity.classes(f" {text} ")
+    codes = ((c[:-2] * toxicity.WIDTH + c[1:-1]) * toxicity.WIDTH + c[2:]).tolist()
+    return toxicity.Channel({code: codes.count(code) for code in codes})
+
+
+def test_tokens_of_signs_and_numbers():
+    channel = channel_of("an ass and a pass as the glass was in 1999 and 2024 at 455 or 12 of 37 " * 20)
+    assert "ass" in channel.words("@$$") and "ass" in channel.words("a$$")
+    assert channel.words("455") == channel.words("1999") == channel.words("--") == ()
+
+
+def test_decoding_in_pieces(monkeypatch):
+    channel = channel_of("the idiot and the stupid moron walk by the river stone house " * 20)
+    token = "the1d10tandthe5tup1dmoron" * 40
+    whole = channel.decode(token)
+    assert whole == "theidiotandthestupidmoron" * 40
+    monkeypatch.setattr(toxicity, "PIECE", 64)
+    monkeypatch.setattr(toxicity, "OPEN", 32)
+    assert channel.decode(token) == whole
+
+
 def test_held_out_labels_are_not_used(spark, corpus):
     docs, labels = corpus
     from pyspark.sql import functions as F
