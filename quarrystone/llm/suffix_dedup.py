@@ -214,7 +214,7 @@ def _contexts(texts: DataFrame, buckets: int, window: int) -> DataFrame:
                     key, own = (anchor, text[start : start + count + window - 1]), (k, mark, start)
                     if key not in best:
                         best[key] = own
-                    else:
+                    elif own != best[key]:
                         gone.append((*max(own, best[key]), count))
                         best[key] = min(own, best[key])
             out: dict[int, list] = {}
@@ -250,7 +250,7 @@ def _removed_windows(blocks: DataFrame, window: int) -> DataFrame:
                     at += length
                     if (other := best.get(key)) is None:
                         best[key] = own
-                    else:
+                    elif own != other:
                         gone.append((*max(own, other), length - window + 1))
                         best[key] = min(own, other)
         if gone:
@@ -318,8 +318,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     unique = docs.groupBy(key.alias("k")).count().filter("count > 1").isEmpty()
     rows = docs.select(key.alias("k"), (F.lit(0).cast("long") if unique else F.xxhash64(text)).alias("mark"), text.alias("text"))
     runs = _repeated_runs(_packed_runs(rows, buckets, window))
-    runs = runs.groupBy("k", "mark").agg(F.collect_list(F.struct("anchor", "start", "count")).alias("runs"))
+    # Repeated rows are one document: its runs and its text go on once, and the result is joined to all of them.
+    gather = F.collect_list if unique else F.collect_set
+    runs = runs.groupBy("k", "mark").agg(gather(F.struct("anchor", "start", "count")).alias("runs"))
     texts = rows.join(runs, ["k", "mark"]).select("k", "mark", "text", "runs")
+    if not unique:
+        texts = texts.dropDuplicates(["k", "mark"])
     removed = _removed_windows(_contexts(texts, buckets, window), window)
     removed = removed.groupBy("k", "mark").agg(F.collect_list(F.struct("start", "count")).alias("removed"))
     final = rows.join(removed, ["k", "mark"], "left").select("k", "text", "removed")

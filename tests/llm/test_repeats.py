@@ -51,6 +51,22 @@ def test_remove_repeats_cases(spark, empty):
     assert dict(got)[2] == 0
 
 
+def test_repeated_rows_keep_what_stands_nowhere_else(spark):
+    rng = random.Random(8)
+    own, other, third = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(3))
+    texts = [(7, own), (7, own), (7, own), (8, own), (9, other), (9, f"{other} {third}"), (9, f"{other} {third}"), (None, third), (None, third), (5, own[:50] * 4), (5, own[:50] * 4)]
+    rows = spark.createDataFrame(texts, "doc_id long, text string")
+    got = [(r.doc_id, r.n_bytes, r.n_removed, bytes(r.kept)) for r in suffix_dedup.remove_repeats(rows).collect()]
+    assert len(got) == len(texts)
+    assert [x for x in got if x[0] == 7] == [(7, len(own), 0, own.encode())] * 3
+    assert [x for x in got if x[0] == 8] == [(8, len(own), len(own), b"")]
+    assert [x for x in got if x[0] is None] == [(None, len(third), 0, third.encode())] * 2
+    nine = sorted(x for x in got if x[0] == 9)
+    assert nine[1] == nine[2] and sum(x[1] - x[2] for x in nine[:2]) == len(other) + 1  # third stands under the null id
+    five = [x for x in got if x[0] == 5]
+    assert five[0] == five[1] and five[0][2] == 150
+
+
 def test_equal_classes():
     rng = np.random.default_rng(1)
     data = rng.integers(97, 99, 4000).astype(np.uint8)
