@@ -44,10 +44,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that stay: one for each distinct normalised text."""
-    kept = _rows(docs, id_col, text_col).groupBy("_hash", "_text").agg(F.min("_id").alias("_kept")).select("_kept")
-    stay = docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"]), "left_semi")
-    return stay.dropDuplicates([id_col])
+    """The rows of ``docs``, all columns, that stay: one for each distinct normalised text, with the least id of its rows."""
+    rows = _rows(docs, id_col, text_col)
+    kept = rows.groupBy("_hash", "_text").agg(F.min("_id").alias("_kept")).select("_kept", F.col("_hash").alias("_kept_hash"), F.sha2("_text", 256).alias("_kept_sha"))
+    # An id says nothing of the text where it is null or repeats, so the text's digests are part of the key.
+    text = F.regexp_replace(text_of(text_col), f"{BLANK}+", " ")
+    named = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_own"), F.md5(text).alias("_own_hash"), F.sha2(text, 256).alias("_own_sha"))
+    same = F.col("_own").eqNullSafe(F.col("_kept")) & (F.col("_own_hash") == F.col("_kept_hash")) & (F.col("_own_sha") == F.col("_kept_sha"))
+    return named.join(kept, same, "left_semi").dropDuplicates(["_own_hash", "_own_sha"]).select("_row.*")
 
 
 ORACLE = r"""

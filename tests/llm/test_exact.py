@@ -34,6 +34,14 @@ def test_exact_dedup_cases(spark, empty):
     assert sorted((r.doc_id or 0) for r in exact_dedup.drop_copies(rows).collect()) == [0, 2, 5]
 
 
+def test_drop_copies_keeps_each_text(spark):
+    rows = [(5, "a"), (None, "a"), (None, "b"), (None, "c  d"), (None, "c d"), (2, None), (2, "e"), (2, "f"), (1, "f"), (2, "a"), (7, "e"), (7, "e")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, _id string")
+    got = exact_dedup.drop_copies(docs)
+    assert got.columns == docs.columns
+    assert sorted((str(r.doc_id), normal(r.text)) for r in got.collect()) == sorted([("2", "a"), ("None", "b"), ("None", "c d"), ("2", ""), ("2", "e"), ("1", "f")])
+
+
 def canonical(t):
     t = unicodedata.normalize("NFC", unicodedata.normalize("NFC", t or "").casefold())
     return re.sub(r"\s+", " ", t).strip()
