@@ -19,6 +19,9 @@ Nothing is proportional to the pairs of a group: segments reach the shuffle once
 are linked before), in packed blocks, tasks return forests, and large groups are dealt over pairs of blocks.  No
 shingle, however frequent, is a key of a join.
 
+Nodes are found again by their least id.  Where ids are null or repeat, all of this runs over numbers given to the rows,
+which are written once, and the components' least ids are taken at the end.
+
 Defined cases: a null text is empty; sets without shingles link with nothing and are their own component; a document
 with fewer words than a shingle has is one shingle; a null id never names a component if there is another in it;
 repeated rows link with each other; an empty table gives an empty result; other columns are ignored.
@@ -226,8 +229,22 @@ def linked_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, num: in
     return found
 
 
+def _ids_name_rows(docs: DataFrame, id_col: str) -> bool:
+    return docs.groupBy(F.col(id_col).alias("k")).agg(F.count(F.lit(1)).alias("n")).filter("k IS NULL OR n > 1").isEmpty()
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """One row for each input row: id, ``n_shingles``, ``component_id`` (least id reached by links of at least num / den)."""
+    if _ids_name_rows(docs, id_col):
+        return _components_by_id(docs, id_col, text_col, width, num, den)
+    rows = cut(docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text")))
+    found = cut(rows.select("_row", "_id").join(_components_by_id(rows, "_row", "_text", width, num, den), "_row"))
+    least = found.groupBy("component_id").agg(F.min("_id").alias("_least"))
+    return found.join(least, "component_id").select(F.col("_id").alias(id_col), "n_shingles", F.col("_least").alias("component_id"))
+
+
+def _components_by_id(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int) -> DataFrame:
+    """``jaccard_components`` of rows that each have an id of their own."""
     spark = docs.sparkSession
     buckets = partitions(spark)
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
@@ -289,6 +306,13 @@ def _verified(rows: DataFrame, members: DataFrame, width: int, num: int, den: in
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of ``docs``, all columns, that stay if one document of each component stays: the one with the least id."""
-    found = jaccard_components(docs, id_col, text_col, width, num, den)
-    kept = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"]), "left_semi")
+    if _ids_name_rows(docs, id_col):
+        found = _components_by_id(docs, id_col, text_col, width, num, den)
+        kept = found.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept"))
+        return docs.join(kept, docs[id_col] == kept["_kept"], "left_semi")
+    rows = cut(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct("*").alias("_doc")))
+    plain = rows.select("_row", F.col("_doc")[id_col].alias("_id"), F.col("_doc")[text_col].alias("_text"))
+    found = plain.select("_row", "_id").join(_components_by_id(plain, "_row", "_text", width, num, den), "_row")
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id"), F.col("_row"))).alias("first")
+    kept = found.groupBy("component_id").agg(first).select(F.col("first._row").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select("_doc.*")

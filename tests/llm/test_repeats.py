@@ -139,6 +139,29 @@ def test_jaccard_cases(spark, empty):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
 
 
+def test_near_copies_with_null_and_repeated_ids(spark):
+    words = [f"w{k}" for k in range(80)]
+
+    def changed(*places):
+        return " ".join(f"x{k}" if k in places else w for k, w in enumerate(words))
+
+    # A chain whose middle has a null id; near copies that all have null ids; an id with two texts, one near another's.
+    two, three = (" ".join(f"{c}{k}" for k in range(80)) for c in "yz")
+    rows = [(4, changed()), (None, changed(0)), (6, changed(0, 79)), (None, two), (None, f"{two} end"), (None, "alone of its kind"), (3, three), (3, "another text of three"), (2, f"{three} end"), (9, "another text of three")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = sets_of([t for _, t in rows], 3)
+    roots = classes(sets, 95)
+    least = {c: min((i for (i, _), own in zip(rows, roots, strict=True) if own == c and i is not None), default=None) for c in roots}
+    want = [(i, len(s), least[c]) for (i, _), s, c in zip(rows, sets, roots, strict=True)]
+    assert len(set(roots)) == 5 and roots[0] == roots[1] == roots[2] and roots[3] == roots[4]
+    assert sorted(map(tuple, jaccard_join.jaccard_components(docs, num=95).collect()), key=str) == sorted(want, key=str)
+    kept = jaccard_join.keep_representatives(docs, width=3, num=95)
+    assert kept.columns == docs.columns
+    got = sorted(roots[[t for _, t in rows].index(r.text)] for r in kept.collect())
+    assert got == sorted(set(roots))
+    assert {r.doc_id for r in kept.collect()} == {4, 2, 3, None}
+
+
 def test_word_hashes_by_pieces(monkeypatch):
     text = b"Some words  here\tand there " * 40 + b"x" * 300
     whole = hashing.word_hashes(text)
