@@ -30,20 +30,38 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: the session's ``spark.checkpoint.dir``; only where that is unset, as in tests, a temporary one."""
+    """The folder all executors share: the session's ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary folder serves in local mode, as in tests; on a cluster it is an error.
+    """
     context = spark.sparkContext
     found = context._jsc.sc().getCheckpointDir()
     if not found.isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
         found = context._jsc.sc().getCheckpointDir()
     return found.get()
 
 
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again."""
+    return written(df)[0]
+
+
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """``stored`` and the path, for ``forget``."""
     path = f"{shared_folder(df.sparkSession)}/{uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def forget(spark: SparkSession, path: str | None) -> None:
+    """Deletes what ``written`` wrote, once nothing reads it any more."""
+    if path:
+        found = spark._jvm.org.apache.hadoop.fs.Path(path)
+        found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import cut
+from quarrystone.llm.common import forget, written
 
 ROUNDS = 60
 
@@ -16,7 +16,8 @@ def components(edges: DataFrame) -> DataFrame:
     Each round keeps at most as many edges as there were; the number of rounds grows with the logarithm of the longest
     path.  A node with very many neighbours is a hot key of joins only, which adaptive execution splits.
     """
-    now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    spark = edges.sparkSession
+    now, path = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     for _ in range(ROUNDS):
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -25,11 +26,12 @@ def components(edges: DataFrame) -> DataFrame:
         before = mark
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        now = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        least = now.groupBy("a").agg(F.min("b").alias("m"))
-        own = now.join(least, "a")
-        now = own.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        now = cut(now.filter("a <> b").distinct())
+        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        old = path
+        now, path = written(small.filter("a <> b").distinct())
+        forget(spark, old)
     else:
         raise ValueError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
