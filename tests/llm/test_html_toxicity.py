@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -15,6 +16,15 @@ PAGES = [
     ("<article><p>unclosed <i>all", "unclosed all"),
     ("a < b and c &am d &copy 5", "a < b and c &am d © 5"),
     ("</p></div><p>stray</b></p>", "stray"),
+    ("<article><p data-x=it's>alpha</p><p>keep me</p><p>don't stop</p></article>", "alpha\n\nkeep me\n\ndon't stop"),
+    ('<p title=5">alpha</p><p title=\'a>b\' id="c>d">beta</p>', "alpha\n\nbeta"),
+    ("<article><section class='social-science'>one</section><p class='notice-board'>two</p><div class='overlay-network'>three</div></article>", "one\n\ntwo\n\nthree"),
+    ("<article><header class=header><h1>Head</h1></header><p hidden>x</p><p style='display: none'>x</p><div class='ad-slot'>x</div><div id=userComments>x</div><p>y</p></article>", "Head\n\ny"),
+    ("<main><p>x</p><article><p>y</p></article></main><article><p>z</p></article>", "y\n\nz"),
+    ("<b><article>one</b> two<p>three</article>", "one two\n\nthree"),
+    ("x<!-->y<!--->z<!-- a > b --!>w<!bogus>v<?php ?>u</>t", "xyzwvut"),
+    ("<p>tail <a href='never ends>lost", "tail"),
+    ("<svg><title>t</title><svg>u</svg>v</svg>z", "z"),
 ]
 
 
@@ -23,6 +33,82 @@ def test_main_text(html, want):
     assert html_extraction.main_text(html_extraction.parse(html or "")) == want
 
 
+@pytest.mark.parametrize("bad", ["<a " * 350_000, "<b>" * 100_000 + "</i>" * 100_000, '<a href="' * 100_000, "<!--" * 250_000, "<" * 500_000, "<i>" + "<b>" * 50_000 + "<div>" + "</i>" * 50_000, "<p " + " x" * 300_000])
+def test_time_is_linear(bad):
+    began = time.process_time()
+    html_extraction.main_text(html_extraction.parse(bad))
+    assert time.process_time() - began < 5
+
+
+def outline(element):
+    """A subtree spelt out, in place of its hash."""
+    return (element.tag, element.name, *(" ".join(c.split()) if isinstance(c, str) else outline(c) for c in element.children))
+
+
+def expected_texts(pages, least=html_extraction.LEAST_PAGES, share=html_extraction.SHARE):
+    """Brute force: subtrees are counted by what they hold, on one page for each distinct article of a host."""
+    trees = [(url.split("://")[1].split("/")[0], html_extraction.parse(html)) for _, url, html in pages]
+    skip = html_extraction.is_boilerplate
+
+    def walk(element, inside, found, articles):
+        for child in element.children:
+            if not isinstance(child, str) and child.tag not in html_extraction.RAW and not skip(child, inside):
+                if child.tag == "article" and not inside:
+                    articles.append(outline(child))
+                walk(child, inside or child.tag == "article", found, articles)
+                if child.tag in ("div", "ul", "section", "table") or child.tag in ("p", "li") and not inside:
+                    found.add(outline(child))
+
+    seen = {}
+    for host, root in trees:
+        found, articles = set(), []
+        walk(root, False, found, articles)
+        seen.setdefault(host, {}).setdefault(tuple(articles) or outline(root), set()).update(found)
+    out = []
+    for host, root in trees:
+        pages_of = seen[host]
+        gone = {x for own in pages_of.values() for x in own if (n := sum(x in o for o in pages_of.values())) >= least and n >= share * len(pages_of)}
+        blocks = []
+
+        def text(element, inside, kept, gone=gone, blocks=blocks):
+            for child in element.children:
+                if isinstance(child, str):
+                    if kept and child.strip():
+                        blocks.append(" ".join(child.split()))
+                elif not skip(child, inside) and not (outline(child) in gone and (child.tag in ("div", "ul", "section", "table") or child.tag in ("p", "li") and not inside)):
+                    text(child, inside or child.tag == "article", kept or child.tag == "article")
+
+        text(root, False, not any(e[0] == "article" for e in articles_of(root)))
+        out.append("\n\n".join(blocks))
+    return out
+
+
+def articles_of(element):
+    found = []
+    for child in element.children:
+        if not isinstance(child, str):
+            found += [outline(child)] * (child.tag == "article") + articles_of(child)
+    return found
+
+
+def test_templates_against_brute_force(spark):
+    rng = random.Random(6)
+    boxes = [f"<div><p>{prose(4, rng)}</p></div>" for _ in range(6)] + [f"<ul><li>{prose(3, rng)}</li><li>more</li></ul>" for _ in range(3)] + [f"<p>{prose(6, rng)}</p>" for _ in range(4)]
+    rows = []
+    for k in range(160):
+        host = rng.choice(["a.com", "a.com", "b.org", "c.net", "d.io"]) if k < 157 else "few.com"
+        inner = "".join(rng.choice(boxes) if rng.random() < 0.5 else f"<p>{prose(5, rng)}</p>" for _ in range(rng.randint(1, 5)))
+        around = [rng.choice(boxes) if rng.random() < 0.6 else "" for _ in range(2)]
+        body = f"{around[0]}<article>{inner}</article>{around[1]}" if rng.random() < 0.7 else around[0] + inner
+        rows.append((k, f"http://{host}/{k}", f"<html><body>{body}</body></html>"))
+    rows += [(200 + k, f"http://b.org/{k}", rows[3][2]) for k in range(60)]  # copies of one page
+    got = {r.page_id: r.text for r in html_extraction.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = expected_texts(rows)
+    assert [got[r[0]] for r in rows] == want
+    whole = [html_extraction.main_text(html_extraction.parse(r[2])) for r in rows]
+    assert sum(a != b for a, b in zip(want, whole, strict=True)) > 10
+
+
 def test_site_templates(spark):
     rng = random.Random(1)
     rows = []
