@@ -17,6 +17,8 @@ an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -31,6 +33,9 @@ OPEN_BINS = 8192
 #: The vocabulary of byte_bpe_50k.json as ranks, for the faster of the two libraries; the ids are the same.
 RANKS = "byte_bpe_50k.tiktoken"
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
+#: The contract's own library reads texts with so long a run of white space, for which the faster one's stack is too small.
+LIBRARY = "byte_bpe_50k.json"
+_LONG_BLANK = re.compile(r"\s{4096}")
 
 
 @lru_cache(maxsize=2)
@@ -43,9 +48,25 @@ def encoding(name: str = RANKS):
     return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: SPECIAL_ID})
 
 
+@lru_cache(maxsize=2)
+def library(name: str = LIBRARY):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path(name))
+
+
 def token_ids(text: str, name: str = RANKS, end: int = END) -> np.ndarray:
     """The ids of ``text`` and the end id, as little-endian unsigned 32-bit numbers."""
-    found = encoding(name).encode_to_numpy(text, allowed_special="all")
+    found = None
+    if not _LONG_BLANK.search(text):
+        try:
+            found = encoding(name).encode_to_numpy(text, allowed_special="all")
+        except ValueError:  # what else is too deep for its patterns
+            found = None
+    if found is None:
+        found = np.array(library(LIBRARY).encode(text, add_special_tokens=False).ids, np.uint32)
     return np.append(found, np.uint32(end)).astype("<u4", copy=False)
 
 

@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import numpy as np
@@ -30,7 +31,46 @@ def test_chunks_are_spliced_not_whole():
     text = "the river stone house " * 400
     runs = list(token_counts.resynchronised(encoder, text, 500, 32))
     assert len(runs) > 10
-    assert [k for run in runs for *_, k in run] == encoder.encode(text, add_special_tokens=False).ids
+    assert np.concatenate(runs, axis=1)[2].tolist() == encoder.encode(text, add_special_tokens=False).ids
+
+
+SCRIPTS = {
+    "cjk": "日本語のテキスト。これは、長い文章です！第１２章：石と川。",
+    "thai": "ภาษาไทยไม่มีช่องว่าง(แม่น้ำ)หิน",
+    "marks": "e\u0301a\u0308!İ!x\u0301'sing don't...'ll\u200b(é)한글ᄒ\u1161\u11ab.",
+    "digits": "1234567890",
+    "letters": "xyzzy",
+    "special": "a<|endoftext|>b,<|startoftext|>c.",
+}
+
+
+@pytest.mark.parametrize("kind", SCRIPTS)
+@pytest.mark.parametrize(("chunk", "overlap"), [(37, 5), (400, 16), (3000, 256)])
+def test_chunks_of_unbroken_scripts(kind, chunk, overlap):
+    encoder = token_counts.tokenizer(token_counts.TOKENIZER)
+    text = SCRIPTS[kind] * 150
+    runs = list(token_counts.resynchronised(encoder, text, chunk, overlap))
+    assert np.concatenate(runs, axis=1)[2].tolist() == encoder.encode(text, add_special_tokens=False).ids
+    if kind in ("cjk", "thai", "digits", "special"):
+        assert len(runs) > len(text) / chunk / 4
+
+
+def test_time_of_unbroken_scripts_is_linear():
+    encoder = token_counts.tokenizer(token_counts.TOKENIZER)
+    for text in ("日本語テキスト" * 140_000, SCRIPTS["cjk"] * 35_000, "x" * 1_000_000):
+        began = time.process_time()
+        found = sum(run.shape[1] for run in token_counts.resynchronised(encoder, text))
+        took, began = time.process_time() - began, time.process_time()
+        assert found == len(encoder.encode(text, add_special_tokens=False).ids)
+        assert took < 8 * (time.process_time() - began) + 2
+
+
+def test_token_counts_cases(spark):
+    huge = SCRIPTS["cjk"] * 9000
+    rows = [(None, "a b", 1, "x"), (7, None, 2, "y"), (7, "", 3, "z"), (8, huge, 4, "z"), (8, huge, 4, "z")]
+    got = sorted(map(tuple, token_counts.token_counts(spark.createDataFrame(rows, "doc_id long, text string, n_tokens long, _id string")).collect()), key=str)
+    n = len(token_counts.tokenizer(token_counts.TOKENIZER).encode(huge, add_special_tokens=False).ids)
+    assert got == sorted([(None, 3, 2, False), (7, 0, 0, False), (7, 0, 0, False), *[(8, len(huge.encode()), n, True)] * 2], key=str)
 
 
 def test_token_counts(docs, texts, empty):
@@ -49,6 +89,27 @@ def test_ids_are_the_library_s(texts, odd):
         assert packing.token_ids(t).tolist() == [*encoder.encode(t, add_special_tokens=False).ids, 2]
 
 
+def test_ids_of_long_white_space():
+    encoder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for t in ("a" + " " * 2_000_000 + "b", "\n" * 50_000, "x" + "\u3000" * 5000 + "<|endoftext|> y"):
+        assert packing.token_ids(t).tolist() == [*encoder.encode(t, add_special_tokens=False).ids, 2]
+
+
+def test_pack_cases(spark):
+    """Null and repeated ids, null, empty and very long texts, other columns."""
+    rows = [(None, "a b", "x", 1), (None, None, "y", 2), (7, "", "z", 3), (7, "river stone " * 40_000, "z", 4), (7, "river stone " * 40_000, "z", 4)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, ids string, piece int")).collect()
+    long = len(packing.token_ids(rows[3][1]))
+    assert sorted(((r.doc_id, r.length) for r in got if r.doc_id is None), key=str) == sorted([(None, len(packing.token_ids("a b"))), (None, 1)], key=str)
+    assert sum(r.length for r in got if r.doc_id == 7) == 2 * long + 1
+    places = {}
+    for r in got:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in places.values():
+        own.sort()
+        assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:])) and sum(own[-1]) <= packing.CAPACITY
+
+
 def check(rows, texts, capacity):
     """Pieces make up their documents and fill their sequences without gaps."""
     by_doc, by_sequence = {}, {}
