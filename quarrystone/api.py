@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrystone.functions import redaction
 from quarrystone.functions.redaction import redacted
 from quarrystone.operators import paging, store
 from quarrystone.plans import lifecycle
@@ -54,7 +55,7 @@ class Attachments:
 
 
 def register(spark: SparkSession) -> None:
-    """SQL functions ``redacted(text)``, ``rtf_text(bytes)`` and ``decoded_text(bytes)``."""
-    spark.udf.register("redacted", redacted.made())
+    """SQL functions ``json_redacted(text)`` (null where nothing is masked), ``rtf_text(bytes)`` and ``decoded_text(bytes)``."""
+    spark.udf.register("json_redacted", redaction._json_masked.made())
     spark.udf.register("rtf_text", readers.rtf.made())
     spark.udf.register("decoded_text", readers.decoded.made())
