@@ -5,11 +5,12 @@
    Anchors that occur once in the corpus have no equal windows; all other runs go on.  A task settles anchors that
    repeat inside its own batch and sends each anchor once, so a passage that stands in a third of all documents does
    not flood the bucket of its anchors.
-2. Suffix order.  The bytes of the remaining runs meet in the bucket of their anchor.  Equal runs are merged first.
+2. Sorting.  The bytes of the remaining runs meet in the bucket of their anchor.  Equal runs are merged first.
    The suffixes at all window starts are then put in groups of equal first 100 bytes by deep-shallow sorting: a
    multikey sort, eight bytes at a time, down to a shallow depth; what still shares its prefix is ordered by blind
    tries, built for all groups at once: each group takes its first suffix as the path, every other suffix branches off
-   at its first differing word, and only branches are looked at again.
+   at its first differing word, and only branches are looked at again.  What is wanted of the sort is which suffixes share
+   their first 100 bytes; the order of groups is not kept, and no whole suffix array is made.
 3. The earliest window of each group stays and every other one is removed from its text.
 
 All rows are packed into blocks for the shuffle, and the runs' bytes, which overlap, are compressed there.  Texts are shuffled once, by document, and that exchange serves both
@@ -38,6 +39,8 @@ SHALLOW = 3
 PIECE = 1 << 19
 #: Windows sorted at once, unless one anchor has more.
 SORTED = 1 << 19
+#: Bytes of text whose runs meet in a bucket (about).
+BUCKET_BYTES = 1 << 24
 LEAST_ID = -(2**63)
 
 _PLACE = np.uint64((1 << 17) - 1)
@@ -130,9 +133,18 @@ def _pack(*columns) -> bytes:
     return b"".join(np.ascontiguousarray(c, np.int64).tobytes() for c in columns)
 
 
+def _dealt(rows: np.ndarray, to: np.ndarray, buckets: int) -> dict[int, np.ndarray]:
+    """The rows of each bucket that has any."""
+    order = np.argsort(to, kind="stable")
+    ends = np.searchsorted(to[order], np.arange(buckets + 1))
+    return {b: rows[order[ends[b] : ends[b + 1]]] for b in np.flatnonzero(ends[1:] > ends[:-1]).tolist()}
+
+
 def _packed_runs(rows: DataFrame, buckets: int, window: int) -> DataFrame:
     """Blocks of runs by bucket: ``sure`` ones, and single ones with the anchors that the batch has of its own."""
 
+    none = np.empty(0, np.int64)
+
     def made(batches):
         import pyarrow as pa
 
@@ -153,18 +165,12 @@ def _packed_runs(rows: DataFrame, buckets: int, window: int) -> DataFrame:
             number = np.cumsum(new) - 1
             sure = (np.bincount(number)[number] > 1) | (within > 0)
             known = np.unique(anchor[sure])
-            to = np.where(sure, ids[owner] % buckets, anchor % buckets)
-            out = []
-            for b in range(buckets):
-                mine = to == b
-                s, o = np.flatnonzero(mine & sure), np.flatnonzero(mine & ~sure)
-                told = known[known % buckets == b]
-                if len(s) or len(o) or len(told):
-                    block = lambda x: _pack(anchor[x], ids[owner[x]], marks[owner[x]], start[x] << 24 | count[x])  # noqa: B023, E731
-                    out.append((b, block(s), block(o), _pack(told)))
+            block = lambda x: _pack(anchor[x], ids[owner[x]], marks[owner[x]], start[x] << 24 | count[x])  # noqa: B023, E731
+            parts = [_dealt(np.flatnonzero(sure), (ids[owner] % buckets)[sure], buckets), _dealt(np.flatnonzero(~sure), (anchor % buckets)[~sure], buckets), _dealt(known, known % buckets, buckets)]
+            out = [(b, block(parts[0].get(b, none)), block(parts[1].get(b, none)), _pack(parts[2].get(b, none))) for b in sorted(set().union(*parts))]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), *(pa.array([x[k] for x in out], pa.binary()) for k in (1, 2, 3))], ["bucket", "sure", "single", "known"])
 
-    return rows.mapInArrow(made, "bucket int, sure binary, single binary, known binary").repartition(buckets, "bucket")
+    return rows.mapInArrow(made, "bucket int, sure binary, single binary, known binary").repartitionById(buckets, "bucket")
 
 
 def _repeated_runs(blocks: DataFrame) -> DataFrame:
@@ -226,7 +232,7 @@ def _contexts(texts: DataFrame, buckets: int, window: int) -> DataFrame:
                 blocks.append((part[0][2] % buckets, b"", b"", _pack(*zip(*part, strict=True))))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in blocks], pa.int32()), *(pa.array([x[j] for x in blocks], pa.binary()) for j in (1, 2, 3))], ["bucket", "heads", "data", "gone"])
 
-    return texts.mapInArrow(made, "bucket int, heads binary, data binary, gone binary").repartition(buckets, "bucket")
+    return texts.mapInArrow(made, "bucket int, heads binary, data binary, gone binary").repartitionById(buckets, "bucket")
 
 
 def _removed_windows(blocks: DataFrame, window: int) -> DataFrame:
@@ -312,7 +318,9 @@ def kept_and_spans(text: bytes, starts: list[int], counts: list[int], window: in
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """One row for each input row: id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, ``kept`` (the bytes left), ``spans``."""
-    buckets = partitions(docs.sparkSession)
+    # A bucket holds the runs of so many bytes of text (about), whatever the input's size.
+    total = docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0
+    buckets = max(partitions(docs.sparkSession), -(-total // BUCKET_BYTES))
     key, text = F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST_ID)), text_of(text_col)
     # Only where ids repeat do rows need a second key.
     unique = docs.groupBy(key.alias("k")).count().filter("count > 1").isEmpty()
