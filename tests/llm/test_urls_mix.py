@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -37,6 +38,29 @@ def test_reputation_shrinks(spark):
     assert got["ok.x.net"].mean < got["new.x.net"].mean < got["few.x.net"].mean < got["bad.x.net"].mean
 
 
+def test_domains_of_long_suffixes(spark):
+    rows = spark.createDataFrame([(h,) for h in ("a.b.co.uk", "b.co.uk", "co.uk", "x.y.com", "com", "", "uk")], "h string")
+    got = [tuple(r) for r in rows.select(url_reputation.registered_domain(rows.h), url_reputation.suffix_of(rows.h)).collect()]
+    assert got == [("b.co.uk", "co.uk"), ("b.co.uk", "co.uk"), ("co.uk", "co.uk"), ("y.com", "com"), ("com", "com"), ("", ""), ("uk", "uk")]
+
+
+def test_url_cases(spark):
+    """Null ids, repeated rows, clashing columns; SQL says the same."""
+    import duckdb
+
+    rng = random.Random(5)
+    hosts = ["a.org", "b.a.org", "example.org", "x.example.org", "q.com", "w.q.com", "n.co.uk", "m.n.co.uk", "z.net", ""]
+    rows = [(None if k % 50 == 0 else k // 2, f"http://{rng.choice(hosts)}/{rng.choice(['es/', 'en/1', 'fr/', 'de/', ''])}{k % 3}", "x", "y") for k in range(600)] + [(9, None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, mean string, rule string")
+    got = sorted((tuple(r) for r in url_reputation.filter_urls(pages).select("page_id", "host", "path", "rule", "verdict").collect()), key=str)
+    import pandas as pd
+
+    base = duckdb.connect()
+    base.register("pages", pd.DataFrame({"page_id": pd.array([r[0] for r in rows], "Int64"), "url": [r[1] for r in rows]}))
+    want = sorted((tuple(r) for r in base.sql(url_reputation.ORACLE).fetchall()), key=str)
+    assert [x for x in got if x[1]] == [x for x in want if x[1]] and len(got) == len(rows)
+
+
 def test_mixing(docs, texts):
     got = mixing.mix_sources(docs).collect()
     assert len(got) == len(texts)
