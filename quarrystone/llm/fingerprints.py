@@ -28,6 +28,10 @@ from quarrystone.llm.common import broadcast_if_small, cut, partitions, text_of
 SPACES = r"[\s\p{Z}\x{85}]+"
 SEEDS = 8
 FIRST = -(2**63)
+#: Quantiles of the first level.
+COARSE = 256
+#: Bytes of text in a range of ids (about).
+RANGE_BYTES = 1 << 25
 
 
 def canonical(text: Column) -> Column:
@@ -72,19 +76,46 @@ def _members(hashed: DataFrame, text_cols: list[str], key_col: str) -> DataFrame
     return cut(long.join(several, "fp", "left_semi").select(key_col, "of"))
 
 
+def _edges(rows: DataFrame, slices: int) -> DataFrame:
+    """``_edges``: one row with sorted quantiles of ``_at``, the least first, about ``slices`` of them, in two levels."""
+    many = min(slices, COARSE)
+    least = F.array(F.coalesce(F.min("_at"), F.lit(FIRST)))
+    cuts = lambda n: F.coalesce(F.percentile_approx("_at", [k / n for k in range(n)], 100 * n), F.array().cast("array<bigint>"))
+    tidy = lambda x: F.array_sort(F.array_distinct(x)).alias("_edges")
+    coarse = cut(rows.agg(tidy(F.concat(least, cuts(many)))))
+    if slices <= many:
+        return coarse
+    parts = rows.select("_at").crossJoin(F.broadcast(coarse)).groupBy(_range_of(F.col("_edges"), F.col("_at"), many).alias("_part"))
+    fine = parts.agg(F.concat(least, cuts(-(-slices // many))).alias("_cuts"))  # as many rows as coarse ranges
+    return cut(fine.agg(tidy(F.flatten(F.collect_list("_cuts")))))
+
+
+def _range_of(edges: Column, at: Column, most: int) -> Column:
+    """The place of the last of the sorted ``edges`` that is not above ``at``, by halving."""
+    steps = F.sequence(F.lit(1), F.lit((4 * most + COARSE).bit_length()))
+
+    def halved(x, _):
+        middle = F.floor((x["low"] + x["high"]) / 2).cast("int")
+        above = F.get(edges, middle) > at
+        return F.struct(F.when(above, x["low"]).otherwise(middle).alias("low"), F.when(above, middle).otherwise(x["high"]).alias("high"))
+
+    return F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.size(edges).alias("high")), halved)["low"]
+
+
 def with_next(rows: DataFrame, key_col: str, text_col: str, slices: int | None = None) -> DataFrame:
     """``rows`` with ``next_text`` and ``next_key``: of the next row by key and text, after the last of the first."""
     rows = rows.select(F.coalesce(key_col, F.lit(FIRST)).alias("_at"), F.col(key_col), F.col(text_col))
-    n = slices or min(4 * partitions(rows.sparkSession), 1024)
-    found = rows.agg(F.min("_at"), F.percentile_approx("_at", [i / n for i in range(1, n)], 100 * n)).first()
-    cuts = sorted({x for x in [found[0], *(found[1] or [])] if x is not None})  # at most 1,024 numbers, each some row's
-    edges = F.array(*[F.lit(x).cast("long") for x in cuts])
-    last = len(cuts) - 1
-    slot = F.size(F.filter(edges, lambda x: x <= F.col("_at"))) - 1
+    if slices is None:  # a range holds so many bytes of text (about), whatever the input's size
+        total = rows.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+        slices = max(4 * partitions(rows.sparkSession), -(-total // RANGE_BYTES))
+    edges = _edges(rows, slices)
+    rows = rows.crossJoin(F.broadcast(edges))  # one row: the ranges' edges, each some row's id
+    edges, last = F.col("_edges"), F.size("_edges") - 1
+    rows = rows.withColumn("_own", _range_of(edges, F.col("_at"), slices))
     # A row at an edge is also sent to the range before, as that range's end; the first of all goes to the last.
-    lent = F.when(F.array_contains(edges, F.col("_at")), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
-    dealt = rows.select("*", slot.alias("_own"), F.explode(lent).alias("_lent"))
-    dealt = dealt.select("*", F.when(~F.col("_lent"), F.col("_own")).when(F.col("_own") == 0, F.lit(last)).otherwise(F.col("_own") - 1).alias("_slot"))
+    lent = F.when(F.get(edges, F.col("_own")) == F.col("_at"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    dealt = rows.select("_at", key_col, text_col, "_own", last.alias("_last"), F.explode(lent).alias("_lent"))
+    dealt = dealt.select("_at", key_col, text_col, "_lent", F.when(~F.col("_lent"), F.col("_own")).when(F.col("_own") == 0, F.col("_last")).otherwise(F.col("_own") - 1).alias("_slot"))
     order = W.partitionBy("_slot").orderBy("_lent", "_at", text_col)
     following = dealt.select("*", F.lead(text_col).over(order).alias("next_text"), F.lead("_at").over(order).alias("next_key"))
     return following.filter("NOT _lent").select(key_col, text_col, "next_text", "next_key")
