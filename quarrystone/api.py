@@ -22,7 +22,7 @@ class Attachments:
 
     def info(self, session: str, attachment_id: str | None = None, file_name: str | None = None) -> DataFrame:
         """One ref by id, the newest by exact name, or all of the session, newest first."""
-        own = store.valid_refs(self.refs).filter(F.col("owner_session_id") == session)
+        own = store.living(store.valid_refs(self.refs).filter(F.col("owner_session_id") == session), self.sessions, "owner_session_id")
         if attachment_id:
             return own.filter(F.col("id") == attachment_id)
         if file_name:
@@ -33,20 +33,34 @@ class Attachments:
         rows = self.refs.sparkSession.range(1).select(F.lit(session).alias("session_id"), F.lit(attachment_id).alias("id"), *[F.lit(v).alias(k) for k, v in more.items()])
         return rows
 
-    def read(self, session: str, attachment_id: str, page: int = 1) -> DataFrame:
-        """A page of the masked text."""
+    def read_lines(self, session: str, attachment_id: str, page: int = 1) -> DataFrame:
+        """A page of at most 2,000 lines of the masked text."""
         return lifecycle.governed_read(self._ask(session, attachment_id, page=page or 1), self.refs, self.blobs, self.sessions)
 
+    def read(self, session: str, attachment_id: str, offset: int = 0, page: int | None = None, page_end: int | None = None, paragraph_offset: int | None = None, paragraph_limit: int | None = None, sheet: str | None = None, range: str | None = None, archive_path: str | None = None) -> DataFrame:
+        """A window of the masked text: by byte, page, paragraph, cell range or archive entry, as the kind of file has it."""
+        if archive_path:
+            return self.read_archive_entry(session, attachment_id, archive_path)
+        if sheet or range:
+            return self.read_cells(session, attachment_id, sheet, range)
+        asked = {"offset": offset, "page": page, "page_end": page_end, "paragraph_offset": paragraph_offset, "paragraph_limit": paragraph_limit}
+        rows = self._ask(session, attachment_id).withColumns({k: F.lit(v).cast("long") for k, v in asked.items()})
+        return lifecycle.read_window(rows, self.refs, self.blobs, self.sessions)
+
     def read_cells(self, session: str, attachment_id: str, sheet: str | None = None, cells: str | None = None) -> DataFrame:
         """Rows of a sheet's range, masked."""
         allowed = store.authorize(self._ask(session, attachment_id), self.refs, self.sessions).filter("error_code IS NULL")
         found = readers.xlsx(allowed.select("id", "sha256").join(self.blobs, "sha256"))
         found = found.filter(F.col("sheet") == sheet) if sheet else found
         rows = paging.sheet_rows(paging.cells_in(found, cells), ["id", "sheet"])
-        return rows.withColumn("text", redacted("text")["text"])
+        # The range is masked as a whole, so that what spans rows is caught; its rows are the lines of that.
+        whole = rows.groupBy("id", "sheet").agg(F.array_sort(F.collect_list(F.struct("row_no", "text"))).alias("_rows"))
+        lines = F.split(redacted(F.array_join(F.transform("_rows", lambda x: F.regexp_replace(x["text"], r"\r?\n", " ")), "\n"))["text"], "\n", -1)
+        made = whole.select("id", "sheet", "_rows", lines.alias("_masked"))
+        return made.select("id", "sheet", F.explode(F.transform("_rows", lambda x, k: F.struct(x["row_no"].alias("row_no"), F.get("_masked", k).alias("text")))).alias("_row")).select("id", "sheet", "_row.*")
 
     def list_archive(self, session: str, attachment_id: str, prefix: str | None = None, cursor: int = 0, limit: int = 100) -> DataFrame:
-        return lifecycle.list_archive(self._ask(session, attachment_id), self.refs, self.blobs, prefix, cursor, limit)
+        return lifecycle.list_archive(self._ask(session, attachment_id), self.refs, self.blobs, prefix, cursor, limit, self.sessions)
 
     def read_archive_entry(self, session: str, attachment_id: str, path: str) -> DataFrame:
         allowed = store.authorize(self._ask(session, attachment_id, archive_path=path), self.refs, self.sessions).filter("error_code IS NULL")

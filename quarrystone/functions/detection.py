@@ -142,6 +142,9 @@ def mismatch(name: Column, declared_mime: Column, kind: Column, mime: Column) ->
 
 # Bytes.
 
+#: The record that ends a zip's directory, with the longest comment.
+ZIP_END = 22 + 65_535
+
 
 def signature(head: bytes) -> tuple[str, str] | None:
     return next(((ext, mime) for at, mark, ext, mime in SIGNATURES if head[at : at + len(mark)] == mark), None)
@@ -153,10 +156,10 @@ def zip_entries(data: bytes) -> list[zipfile.ZipInfo] | None:
         return None
     try:
         with zipfile.ZipFile(io.BytesIO(data)) as archive:
-            found = archive.infolist()
+            found, directory = archive.infolist(), len(data) - archive.start_dir
     except (zipfile.BadZipFile, NotImplementedError, ValueError, struct.error, OverflowError, UnicodeDecodeError):
         return None
-    return found if len(found) <= LIMITS.archive_entries else None
+    return found if len(found) <= LIMITS.archive_entries and directory <= LIMITS.zip_directory_bytes + ZIP_END else None
 
 
 def entry_name(info: zipfile.ZipInfo) -> str:
@@ -235,8 +238,8 @@ def decode_text(head: bytes, cut: bool = False) -> tuple[str, str] | None:
             text = head[len(mark) :].decode(encoding, "replace")
             return (text, encoding) if text.count("�") <= 0.01 * len(text) and _readable(text) else None
     text = head.decode("utf-8", "replace")
-    if text.count("�") <= 0.01 * len(text):
-        return (text, "utf-8") if _readable(text) else None
+    if text.count("�") <= 0.01 * len(text) and _readable(text):
+        return text, "utf-8"
     found = {"four": 0, "two": 0, "lone": 0, "ascii": 0}
     for match in _GB.finditer(head):
         found[match.lastgroup] += 1

@@ -17,6 +17,22 @@ STATUS = {
     504: ("PARSER_TIMEOUT",),
     403: ("ATTACHMENT_FORBIDDEN",),
 }
+#: (icon, colour) by family and kind; an empty kind stands for the rest of its family.
+LOOKS = {
+    "image": {"": ("🖼️", "#b06ec4")},
+    "archive": {"": ("🗜️", "#b7791f")},
+    "binary": {"": ("📦", "#8a8f98")},
+    "document": {"pdf": ("📕", "#e05656"), "xlsx xls ods": ("📊", "#3b9b68"), "pptx odp": ("📽️", "#d68a3c"), "epub": ("📖", "#6c8fd4"), "": ("📝", "#5b8ff9")},
+    "text": {
+        "markdown": ("📄", "#6c8fd4"),
+        "config-json config-yaml config-ini config-toml config-xml plist env": ("⚙️", "#b7791f"),
+        "csv tsv": ("📊", "#3b9b68"),
+        "sql": ("🗄️", "#5b8ff9"),
+        "shell source-typescript source-javascript source-python source-c source-cpp source-go source-rust source-java": ("💻", "#7a86a6"),
+        "": ("📃", "#8a8f98"),
+    },
+}
+NO_LOOK = ("❓", "#8a8f98")
 KIND_LABELS = {"source-typescript": "TS", "source-javascript": "JS", "source-python": "PY", "config-json": "JSON", "config-yaml": "YAML", "config-toml": "TOML", "config-ini": "INI", "config-xml": "XML", "markdown": "MD"}
 
 
@@ -73,6 +89,14 @@ def kind_label(kind: Column) -> Column:
     return F.coalesce(F.try_element_at(labels, kind), F.upper(kind))
 
 
+def presentation(family: Column, kind: Column) -> Column:
+    """Struct ``icon``, ``color`` of a file."""
+    known = {(own, x): look for own, kinds in LOOKS.items() for names in kinds for x in names.split() or [""] for look in [kinds[names]]}
+    looks = F.create_map(*[x for (own, name), look in known.items() for x in (F.lit(f"{own}/{name}"), F.struct(F.lit(look[0]).alias("icon"), F.lit(look[1]).alias("color")))])
+    at = lambda name: F.try_element_at(looks, F.concat_ws("/", family, name))
+    return F.coalesce(at(kind), at(F.lit("")), F.struct(F.lit(NO_LOOK[0]).alias("icon"), F.lit(NO_LOOK[1]).alias("color")))
+
+
 def byte_label(n: Column) -> Column:
     """Bytes as B, KB or MB; tenths are rounded half up."""
     tenths = lambda unit: F.round(n.cast("decimal(20,0)") / F.lit(unit), 1).cast("decimal(20,1)").cast("string")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarrystone.functions.names import utf8_prefix
 from quarrystone.limits import LIMITS
 
 MOST = 2**53 - 1
@@ -28,11 +29,39 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def line_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = LIMITS.page_lines) -> DataFrame:
     """id, ``page_no`` (from 1), ``n_lines``, ``text``, ``has_more``: pages of at most ``most`` lines."""
     whole = F.split(F.coalesce(text_col, F.lit("")), r"\r?\n", -1)
-    count = F.size("_lines")
     found = docs.select(id_col, whole.alias("_lines"))
-    found = found.select(id_col, "_lines", F.explode(F.sequence(F.lit(1), F.ceil(count / most).cast("int"))).alias("_page"))
-    page = F.slice("_lines", (F.col("_page") - 1) * most + 1, F.lit(most))
-    return found.select(id_col, F.col("_page").cast("long").alias("page_no"), F.size(page).cast("long").alias("n_lines"), F.array_join(page, "\n").alias("text"), (F.col("_page") * most < count).alias("has_more"))
+
+    def page(k):  # exploded as pages, so no page carries the lines of the others
+        own = F.slice("_lines", k * most + 1, most)
+        return F.struct((k + 1).cast("long").alias("page_no"), F.size(own).cast("long").alias("n_lines"), F.array_join(own, "\n").alias("text"), ((k + 1) * most < F.size("_lines")).alias("has_more"))
+
+    pages = F.transform(F.sequence(F.lit(0), F.ceil(F.size("_lines") / most).cast("int") - 1), page)
+    return found.select(id_col, F.explode(pages).alias("_page")).select(id_col, "_page.*")
+
+
+def page_span(page: Column, page_end: Column, pages: Column, most: int = LIMITS.pdf_pages) -> Column:
+    """Struct ``page``, ``page_end``: the pages asked for, clamped to those there are and to ``most`` at once."""
+    first = F.least(F.greatest(F.coalesce(page, F.lit(1)), F.lit(1)), F.greatest(pages, F.lit(1)))
+    last = F.least(F.greatest(F.coalesce(page_end, first), first), F.least(F.greatest(pages, F.lit(1)), first + most - 1))
+    return F.struct(first.cast("long").alias("page"), last.cast("long").alias("page_end"))
+
+
+def byte_window(text: Column, offset: Column, most_lines: int = LIMITS.page_lines, most_bytes: int = LIMITS.page_bytes) -> Column:
+    """Struct ``text``, ``has_more``, ``next_offset``: whole lines from a byte offset on, within both limits.
+
+    An offset inside a character begins with the next one; a line that alone is too long is cut at a character.
+    """
+    data = text.cast("binary")
+    part = utf8_prefix(F.substring(data, offset + 1, F.lit(most_bytes)), most_bytes)
+    part = F.regexp_replace(part, r"^\x{FFFD}+", "")
+    lines = F.regexp_extract_all(part, F.lit(r"([^\n]*\n|[^\n]+)"), 1)
+    rest = offset + most_bytes < F.octet_length(data)
+    whole = F.filter(lines, lambda x: ~rest | F.endswith(x, F.lit("\n")))
+    own = F.array_join(F.slice(F.when(F.size(whole) > 0, whole).otherwise(lines), 1, most_lines), "")
+    skipped = F.length(F.regexp_extract(F.hex(F.substring(data, offset + 1, F.lit(3))), r"^((?:[89AB][0-9A-F])*)", 1)) / 2
+    end = offset + skipped + F.octet_length(own)
+    more = end < F.octet_length(data)
+    return F.struct(own.alias("text"), more.alias("has_more"), F.when(more, end.cast("long")).alias("next_offset"))
 
 
 def byte_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_lines: int = LIMITS.page_lines, most_bytes: int = LIMITS.page_bytes) -> DataFrame:

@@ -27,7 +27,7 @@ def hashed(uploads: DataFrame, content_col: str = "content") -> DataFrame:
 def new_blobs(uploads: DataFrame, blobs: DataFrame | None = None) -> DataFrame:
     """One row for each content that ``blobs`` does not have yet: ``sha256``, ``bytes``, ``content``.
 
-    Hashes are compared before contents are moved: only the first upload of each new hash goes on.
+    Hashes already stored are left out first; of equal contents in a task only one enters the shuffle.
     """
     found = uploads if blobs is None else uploads.join(blobs.select("sha256"), "sha256", "left_anti")
     return found.select("sha256", "bytes", "content").dropDuplicates(["sha256"])
@@ -44,6 +44,8 @@ def admit(uploads: DataFrame, order_col: str = "seq", size_col: str = "bytes", l
     What is rejected uses no quota, so this is a fold, not a running sum.  Rows are sorted by batch and order and the fold
     keeps three numbers, so a batch of any length streams through its task.
     """
+    kept = list(dict.fromkeys([*BATCH, order_col, size_col, *(c for c in uploads.columns if c != "content")]))
+    uploads = uploads.select(*kept)  # contents take no part in the fold
     rows = uploads.repartition(*BATCH).sortWithinPartitions(*BATCH, order_col)
     files, most = limits.batch_files, limits.batch_bytes
 
@@ -109,6 +111,16 @@ def session_listing(refs: DataFrame, session: str = "owner_session_id", at: str
     return ranked if most is None else ranked.filter(F.col("position") <= most)
 
 
+def batch_listing(batches: DataFrame, refs: DataFrame) -> DataFrame:
+    """The refs of each batch (``session_id``, ``batch_id``, ``ids``) in the order of its ids, with ``position``.
+
+    Ids without a ref, and refs of another session or batch, are left out.
+    """
+    asked = batches.select("session_id", F.col("batch_id").alias("_batch"), F.posexplode("ids").alias("position", "id"))
+    found = asked.join(refs, "id").filter((F.col("owner_session_id") == F.col("session_id")) & (F.col("batch_id") == F.col("_batch")))
+    return found.select("position", *refs.columns)
+
+
 def remove_refs(refs: DataFrame, deletes: DataFrame) -> DataFrame:
     """Refs without those that their own session deletes (``session_id``, ``id``); blobs stay."""
     gone = deletes.select(F.col("session_id").alias("owner_session_id"), "id")
@@ -119,6 +131,13 @@ def unused_blobs(blobs: DataFrame, refs: DataFrame) -> DataFrame:
     return blobs.join(refs.select("sha256"), "sha256", "left_anti")
 
 
+def living(requests: DataFrame, sessions: DataFrame | None, session: str = "session_id") -> DataFrame:
+    """``requests`` of sessions that exist; all of them where no sessions are given."""
+    if sessions is None:
+        return requests
+    return requests.join(sessions.select(F.col("session_id").alias(session)).distinct(), session, "left_semi")
+
+
 def authorize(requests: DataFrame, refs: DataFrame, sessions: DataFrame | None = None, key: str = "id") -> DataFrame:
     """``requests`` (``session_id``, ``id``) with their ref's columns and ``error_code``; only owners in living sessions may read.
 

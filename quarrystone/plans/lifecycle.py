@@ -12,12 +12,19 @@ from quarrystone.operators import archives, paging, store
 from quarrystone.sources import legacy, readers
 
 
+#: What stands between the pages of a document that has pages.
+PAGE_BREAK = "\n\f\n"
+
+
 def ingest(uploads: DataFrame, blobs: DataFrame | None = None, limits: Limits = LIMITS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(new blobs, new refs, rejected) of ``uploads``.
 
     Contents are hashed and detected once; sizes and quotas work on rows without them.
     """
+    # Written once where the session has a folder for that: detection looks into the contents, and three results need it.
     seen = detect(store.hashed(uploads))
+    if uploads.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        seen = seen.checkpoint()
     seen = seen.withColumn("_large", store.oversize(F.col("detected.family"), F.col("bytes"), limits))
     narrow = seen.drop("content")
     judged = store.admit(narrow.filter("_large IS NULL").drop("_large"), limits=limits)
@@ -34,22 +41,59 @@ def governed_read(requests: DataFrame, refs: DataFrame, blobs: DataFrame, sessio
     paged after that, so a key block that spans pages stays masked.
     """
     judged = store.authorize(requests, refs, sessions)
-    allowed = judged.filter("error_code IS NULL")
-    needed = allowed.select("id", "sha256", F.col("detected.kind").alias("kind"), F.col("detected.family").alias("family")).distinct()
-    opened = needed.join(blobs.select("sha256", "content"), "sha256", "left")
-    texts = document_texts(opened)
-    masked = texts.withColumn("_r", redacted("text")).select("id", "kind", F.col("_r.text").alias("text"), F.col("_r.redacted").alias("redacted"), "error_code")
-    pages = paging.line_pages(masked.filter("error_code IS NULL"), "id", "text", most_lines)
-    state = masked.select("id", "kind", "redacted", F.col("error_code").alias("_failed"))
-    found = allowed.drop("error_code").join(state, "id", "left").join(pages.withColumnRenamed("page_no", "page"), ["id", "page"], "left")
-    found = found.withColumn("error_code", F.coalesce("_failed", F.when(F.col("text").isNull(), "PAGE_OUT_OF_RANGE")))
+    allowed = judged.filter("error_code IS NULL").drop("error_code")
+    # A document meets its requests whole, and each takes its own page of the lines: no other page is made.
+    masked = masked_texts(allowed, blobs).withColumn("_lines", F.split(F.replace("text", F.lit(PAGE_BREAK), F.lit("\n")), r"\r?\n", -1)).drop("text")
+    found = allowed.join(masked, "id", "left")
+    at, count = (F.col("page") - 1).cast("int") * most_lines, F.size("_lines")
+    inside = F.col("_failed").isNull() & (F.col("page") >= 1) & (at < count)
+    own = F.slice("_lines", F.when(inside, at).otherwise(0) + 1, F.lit(most_lines))
+    found = found.withColumns({"text": F.when(inside, F.array_join(own, "\n")), "n_lines": F.when(inside, F.size(own).cast("long")), "has_more": F.when(inside, at + most_lines < count)})
+    found = found.withColumn("error_code", F.coalesce("_failed", F.when(~F.coalesce(inside, F.lit(False)), "PAGE_OUT_OF_RANGE")))
     keep = ["session_id", "id", "page", "kind", "text", "n_lines", "has_more", "redacted", "error_code"]
     refused = judged.filter("error_code IS NOT NULL").select("session_id", "id", "page", "error_code")
     return found.select(*keep).unionByName(refused, allowMissingColumns=True)
 
 
+def masked_texts(allowed: DataFrame, blobs: DataFrame) -> DataFrame:
+    """``id, kind, text, redacted, _failed`` of the documents of allowed requests, each read and masked once, as a whole."""
+    needed = allowed.select("id", "sha256", F.col("detected.kind").alias("kind"), F.col("detected.family").alias("family")).distinct()
+    opened = needed.join(blobs.select("sha256", "content"), "sha256", "left")
+    return document_texts(opened).withColumn("_r", redacted("text")).select("id", "kind", F.col("_r.text").alias("text"), F.col("_r.redacted").alias("redacted"), F.col("error_code").alias("_failed"))
+
+
+def read_window(requests: DataFrame, refs: DataFrame, blobs: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
+    """Requests with a window of their own: ``session_id``, ``id``, ``offset`` (bytes), ``page``, ``page_end``, ``paragraph_offset``, ``paragraph_limit``.
+
+    Slides and PDF pages are read by page, at most ten of a PDF and one slide at once, clamped to those there are; word
+    processor texts by paragraph; all else by byte offset.  Null means the beginning.  Returns ``kind``, ``text``,
+    ``redacted``, ``has_more``, ``next`` (the page, paragraph or byte to go on from) and ``error_code``.
+    """
+    judged = store.authorize(requests, refs, sessions)
+    allowed = judged.filter("error_code IS NULL").drop("error_code")
+    found = allowed.join(masked_texts(allowed, blobs), "id", "left")
+    kind, text = F.col("kind"), F.coalesce("text", F.lit(""))
+    pages = F.split(text, PAGE_BREAK, -1)
+    span = paging.page_span(F.col("page"), F.when(kind == "pdf", F.col("page_end")), F.size(pages))
+    paged = F.struct(F.array_join(F.slice(pages, span["page"].cast("int"), (span["page_end"] - span["page"] + 1).cast("int")), "\n").alias("text"), (span["page_end"] < F.size(pages)).alias("has_more"), F.when(span["page_end"] < F.size(pages), span["page_end"] + 1).alias("next"))
+    items = F.split(text, "\n", -1)
+    begin = F.greatest(F.coalesce("paragraph_offset", F.lit(0)), F.lit(0)).cast("int")
+    limit = F.least(F.greatest(F.coalesce("paragraph_limit", F.lit(LIMITS.page_lines)), F.lit(1)), F.lit(LIMITS.page_lines)).cast("int")
+    more = F.size(items) > begin + limit
+    paragraphs = F.struct(F.array_join(F.slice(items, begin + 1, limit), "\n").alias("text"), more.alias("has_more"), F.when(more, (begin + limit).cast("long")).alias("next"))
+    own = paging.byte_window(text, F.greatest(F.coalesce("offset", F.lit(0)), F.lit(0)).cast("int"))
+    by_bytes = F.struct(own["text"].alias("text"), own["has_more"].alias("has_more"), own["next_offset"].alias("next"))
+    window = F.when(kind.isin("pdf", "pptx"), paged).when(kind.isin("docx", "doc", "odt"), paragraphs).otherwise(by_bytes)
+    found = found.withColumn("_w", F.when(F.col("_failed").isNull(), window))
+    done = found.select("session_id", "id", "kind", "_w.text", "redacted", "_w.has_more", "_w.next", F.col("_failed").alias("error_code"))
+    return done.unionByName(judged.filter("error_code IS NOT NULL").select("session_id", "id", "error_code"), allowMissingColumns=True)
+
+
 def document_texts(files: DataFrame) -> DataFrame:
-    """``id, kind, text, error_code`` of files (``id, kind, family, content``), each by the reader of its kind."""
+    """``id, kind, text, error_code`` of files (``id, kind, family, content``), each by the reader of its kind.
+
+    Slides and PDF pages are set apart by ``PAGE_BREAK``.
+    """
     of = lambda *kinds: files.filter(F.col("kind").isin(*kinds))
     join = lambda df, kind, group="paragraphs": df.select("id", F.lit(kind).alias("kind"), F.array_join(group, "\n").alias("text"), "error_code")
     plain = files.filter("family = 'text'").withColumn("_d", readers.decoded("content"))
@@ -58,9 +102,9 @@ def document_texts(files: DataFrame) -> DataFrame:
     for kind in ("odt", "odp"):
         out = out.unionByName(join(readers.open_document(of(kind)), kind))
     out = out.unionByName(join(readers.open_document(of("ods"), spreadsheet=True), "ods"))
-    numbered = lambda df, kind, no: df.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(no, "text"))).alias("_t"), F.max("error_code").alias("error_code")).select("id", F.lit(kind).alias("kind"), F.array_join(F.transform("_t", lambda x: x["text"]), "\n").alias("text"), "error_code")
-    out = out.unionByName(numbered(readers.pptx(of("pptx")), "pptx", "page_no"))
-    out = out.unionByName(numbered(readers.epub(of("epub")), "epub", "chapter_no"))
+    numbered = lambda df, kind, no, between: df.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(no, "text"))).alias("_t"), F.max("error_code").alias("error_code")).select("id", F.lit(kind).alias("kind"), F.array_join(F.transform("_t", lambda x: x["text"]), between).alias("text"), "error_code")
+    out = out.unionByName(numbered(readers.pptx(of("pptx")), "pptx", "page_no", PAGE_BREAK))
+    out = out.unionByName(numbered(readers.epub(of("epub")), "epub", "chapter_no", "\n"))
     sheets = readers.xlsx(of("xlsx")).unionByName(legacy.xls(of("xls")))
     kinds = of("xlsx", "xls").select("id", "kind")
     failed = sheets.groupBy("id").agg(F.max("error_code").alias("error_code"))
@@ -72,15 +116,15 @@ def document_texts(files: DataFrame) -> DataFrame:
     pages = readers.ordered_text(runs, ["id", "page_no"])
     state = runs.groupBy("id").agg(F.max("error_code").alias("error_code"))
     whole = pages.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("page_no", "text"))).alias("_t"))
-    out = out.unionByName(state.join(whole, "id", "left").select("id", F.lit("pdf").alias("kind"), F.coalesce(F.array_join(F.transform("_t", lambda x: x["text"]), "\n"), F.lit("")).alias("text"), "error_code"))
+    out = out.unionByName(state.join(whole, "id", "left").select("id", F.lit("pdf").alias("kind"), F.coalesce(F.array_join(F.transform("_t", lambda x: x["text"]), PAGE_BREAK), F.lit("")).alias("text"), "error_code"))
     known = ("docx", "doc", "xls", "odt", "odp", "ods", "pptx", "epub", "xlsx", "rtf", "pdf")
     rest = files.filter((F.col("family") != "text") & ~F.col("kind").isin(*known))
     return out.unionByName(rest.select("id", "kind", F.lit(None).cast("string").alias("text"), F.lit("UNSUPPORTED_FILE_TYPE").alias("error_code")))
 
 
-def list_archive(requests: DataFrame, refs: DataFrame, blobs: DataFrame, prefix: str | None = None, cursor: int = 0, limit: int = 100) -> DataFrame:
+def list_archive(requests: DataFrame, refs: DataFrame, blobs: DataFrame, prefix: str | None = None, cursor: int = 0, limit: int = 100, sessions: DataFrame | None = None) -> DataFrame:
     """A page of entries for each allowed request (``session_id``, ``id``) for an archive."""
-    allowed = store.authorize(requests, refs).filter("error_code IS NULL")
+    allowed = store.authorize(requests, refs, sessions).filter("error_code IS NULL")
     opened = allowed.select("id", "sha256").distinct().join(blobs.select("sha256", "content"), "sha256")
     return archives.listing(archives.entries(opened), ["id"], prefix, cursor, limit)
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrystone.functions.arrow import arrow_function
-from quarrystone.functions.detection import decode_text, zip_entries
+from quarrystone.functions.detection import zip_entries
 from quarrystone.functions.names import strip_markup, zip_target
 from quarrystone.limits import LIMITS
 
@@ -216,10 +216,23 @@ def rtf(content: pd.Series) -> pd.Series:
     return content.map(lambda x: None if x is None else rtf_text(bytes(x)))
 
 
+def whole_text(data: bytes) -> tuple[str, str]:
+    """The text of a file and its encoding: by its mark, else strict UTF-8, else strict GB18030, else UTF-8 with replacements."""
+    for mark, encoding in ((b"\xff\xfe", "utf-16le"), (b"\xfe\xff", "utf-16be"), (b"\xef\xbb\xbf", "utf-8")):
+        if data.startswith(mark):
+            return data[len(mark) :].decode(encoding, "replace"), encoding
+    for encoding in ("utf-8", "gb18030"):
+        try:
+            return data.decode(encoding), encoding
+        except UnicodeDecodeError:
+            continue
+    return data.decode("utf-8", "replace"), "utf-8"
+
+
 @arrow_function("text string, encoding string")
 def decoded(content: pd.Series) -> pd.DataFrame:
-    """The text of a file and its encoding; nulls where it is not text."""
-    rows = [(decode_text(bytes(x or b"")) or ("" if not x else None, None)) for x in content]
+    """The text of a file and its encoding; nulls for null."""
+    rows = [whole_text(bytes(x)) if x is not None else (None, None) for x in content]
     return pd.DataFrame({"text": [r[0] for r in rows], "encoding": [r[1] for r in rows]})
 
 
@@ -271,23 +284,39 @@ def _runs(stream: bytes) -> list[dict]:
     return out
 
 
+class _TooLarge(Exception):
+    """More is inflated than the documented budget."""
+
+
 def pdf_pages(data: bytes) -> tuple[list[list[dict]] | None, str | None]:
     """(runs of each page, error code)."""
     if b"/Encrypt" in data:
         return None, "ENCRYPTED_FILE"
     objects = {int(m[1]): m[3] for m in _OBJECT.finditer(data)}
+    left = LIMITS.decompressed_bytes
 
     def stream_of(body: bytes) -> bytes:
+        nonlocal left
         m = re.search(rb"stream\r?\n(.*?)\r?\n?endstream", body, re.S)
         if not m:
             return b""
         if b"/FlateDecode" not in body[: m.start()]:
             return m[1]
-        try:
-            return zlib.decompressobj().decompress(m[1], LIMITS.part_bytes)
-        except zlib.error:
-            return b""
+        out = zlib.decompressobj().decompress(m[1], left + 1)
+        left -= len(out)
+        if left < 0:
+            raise _TooLarge
+        return out
+
+    try:
+        return _pages_of(objects, stream_of)
+    except _TooLarge:
+        return None, "FILE_TOO_LARGE"
+    except zlib.error:
+        return None, "CORRUPT_FILE"
+
 
+def _pages_of(objects: dict[int, bytes], stream_of) -> tuple[list[list[dict]] | None, str | None]:
     for body in list(objects.values()):  # objects packed in streams
         if re.search(rb"/Type\s*/ObjStm", body):
             inner, first = stream_of(body), re.search(rb"/First\s+(\d+)", body)

@@ -16,9 +16,14 @@ OUTPUT = "session_id string, n_fresh long, ids array<string>, text string"
 STATE = "ids array<string>"
 
 
-def announce_stream(refs: DataFrame, session: str = "owner_session_id") -> DataFrame:
-    """One row for each session and trigger with new ids; ``refs``: session, ``id``, ``safe_name``, ``created_at``, ``family``, ``kind``."""
+def announce_stream(refs: DataFrame, session: str = "owner_session_id", known: DataFrame | None = None) -> DataFrame:
+    """One row for each session and trigger with new ids; ``refs``: session, ``id``, ``safe_name``, ``created_at``, ``family``, ``kind``.
+
+    ``known`` (``session_id``, ``id``; see ``sessions.announced``) is what a log shows as announced before the stream began.
+    """
     rows = refs.select(F.col(session).alias("session_id"), "id", "safe_name", "created_at", "family", "kind")
+    if known is not None:
+        rows = rows.join(known.select("session_id", "id"), ["session_id", "id"], "left_anti")
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         known = set(state.get[0]) if state.exists else set()
