@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import forget, written
+from quarrystone.llm.common import BROADCAST_ROWS, forget, written
 
 ROUNDS = 60
 
@@ -24,11 +24,13 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == before or not mark[0]:
             break
         before = mark
+        # A node is one row of the tables of least neighbours, which have two rows an edge at most.
+        light = F.broadcast if 2 * mark[0] <= BROADCAST_ROWS else lambda df: df
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = both.filter("b > a").join(light(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        small = large.join(light(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         old = path
         now, path = written(small.filter("a <> b").distinct())
         forget(spark, old)

@@ -42,7 +42,7 @@ from quarrystone.llm.components import components
 from quarrystone.llm.hashing import mix, shingles
 
 #: Nodes of a block (about), its shingles (about), and nodes of a subgroup.
-BLOCK, BLOCK_SHINGLES, SUBGROUP = 128, 1 << 21, 16
+BLOCK, BLOCK_SHINGLES, SUBGROUP = 96, 1 << 21, 16
 #: Shingles of a batch that is counted at once, and of a bucket (about); owners a batch can have.
 BATCH_SHINGLES, BUCKET_SHINGLES, OWNERS = 1 << 21, 1 << 21, (1 << 16) - 1
 #: A shingle with more owners in a batch is sent once, with their number.
