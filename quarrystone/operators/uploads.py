@@ -26,16 +26,17 @@ def checked(requests: DataFrame, sessions: DataFrame | None = None, limits: Limi
     trusted = F.coalesce(trusted_origin(F.col("origin"), F.col("host")), F.lit(False))
     name = decoded_name(F.col("file_name"))
     forbidden = F.lit("ATTACHMENT_FORBIDDEN")
+    said = lambda code, status: F.struct(code.alias("code"), F.lit(status).alias("status"))
     living = F.lit(True)
     if sessions is not None:
         requests = requests.join(sessions.select("session_id").distinct().withColumn("_living", F.lit(True)), "session_id", "left")
         living = F.col("_living").isNotNull()
     refused = (
-        F.when(~trusted, F.struct(forbidden.alias("code"), F.lit(403).alias("status")))
-        .when(~F.coalesce(given, F.lit(False)), F.struct(forbidden, F.lit(400)))
-        .when(~living, F.struct(forbidden, F.lit(403)))
-        .when(F.col("content_length") > limits.file_bytes, F.struct(F.lit("FILE_TOO_LARGE"), F.lit(413)))
-        .when(name.isNull(), F.struct(forbidden, F.lit(400)))
+        F.when(~trusted, said(forbidden, 403))
+        .when(~F.coalesce(given, F.lit(False)), said(forbidden, 400))
+        .when(~living, said(forbidden, 403))
+        .when(F.col("content_length") > limits.file_bytes, said(F.lit("FILE_TOO_LARGE"), 413))
+        .when(name.isNull(), said(forbidden, 400))
     )
     found = requests.withColumn("_refused", refused)
     name = F.when(F.col("_refused").isNull(), name)

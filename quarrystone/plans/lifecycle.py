@@ -140,4 +140,4 @@ def read_entries(asked: DataFrame, archives_of: DataFrame) -> DataFrame:
     texts = texts.select(F.col("id").alias("_entry"), "text", F.col("error_code").alias("_failed")).withColumn("_r", redacted("text"))
     joined = seen.join(texts, "_entry", "left")
     code = F.coalesce("error_code", "_failed", F.when(~F.col("detected.readable"), "UNSUPPORTED_FILE_TYPE"))
-    return joined.select("id", "archive_path", F.col("detected.kind").alias("kind"), F.col("_r.text").alias("text"), F.col("_r.redacted").alias("redacted"), code.alias("error_code"))
+    return joined.select("id", "archive_path", F.when(F.col("error_code").isNull(), F.col("detected.kind")).alias("kind"), F.col("_r.text").alias("text"), F.col("_r.redacted").alias("redacted"), code.alias("error_code"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarrystone.functions import detection, names
+from quarrystone.functions import detection, names, redaction
 from quarrystone.functions.redaction import redacted
 from quarrystone.limits import Limits
 from quarrystone.operators import paging, sessions, store
@@ -270,7 +270,17 @@ def redact_blocks(spark, sf_dir):
     return _masked(_table(spark, sf_dir, "part").select("p_partkey", text.alias("text")), "p_partkey")
 
 
-@query()
+_KEY = r"""("[^"]+"|'[^']+'|[A-Za-z_][A-Za-z0-9_-]*)"""
+_LEAD = rf"^(\s*(?:(?:export|set)\s+)*{_KEY}\s*[:=]\s*)".replace("'", "''")
+_QUOTE = "regexp_extract(substr(x, length(lead) + 1), '^[\"'']')"
+
+
+@query(
+    rf"""WITH l AS (SELECT doc_id, generate_subscripts(string_split_regex(text, '\r?\n'), 1) AS n, unnest(string_split_regex(text, '\r?\n')) AS x FROM documents),
+k AS (SELECT *, regexp_extract(x, '{_LEAD}', 1) AS lead, regexp_replace(regexp_extract(x, '{_LEAD}', 2), '^["'']|["'']$', '', 'g') AS key FROM l),
+m AS (SELECT *, CASE WHEN lead <> '' AND (regexp_matches(key, '{redaction.SECRET}') OR regexp_matches(key, '{redaction.SECRET_CAMEL}')) THEN lead || {_QUOTE} || '[REDACTED]' || {_QUOTE} ELSE x END AS y FROM k)
+SELECT doc_id, string_agg(y, chr(10) ORDER BY n) AS text, count(*) FILTER (y <> x) AS redacted FROM m GROUP BY doc_id"""
+)
 def redact_documents(spark, sf_dir):
     """Documents as they may leave the engine."""
     return _masked(_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
