@@ -295,4 +295,6 @@ def detect(files: DataFrame, name_col: str = "name", mime_col: str = "declared_m
     named = named.withColumn("_found", F.when(F.col("_looked.found").isNotNull(), F.col("_looked.found")).otherwise(of_text))
     wrong = mismatch(F.col("safe_name"), F.col(mime_col), F.col("_found.kind"), F.col("_found.mime"))
     detected = F.struct("_found.*", wrong.alias("mismatch"), F.when(wrong, F.array(F.lit("type-mismatch"))).otherwise(F.array().cast("array<string>")).alias("risks"))
-    return named.withColumn("detected", detected).drop("_looked", "_kind", "_found")
+    # Exploded, so that detection is made once for all that asks for it.
+    kept = [c for c in named.columns if c not in ("_looked", "_kind", "_found", "detected")]
+    return named.select(*kept, F.explode(F.array(detected)).alias("detected"))

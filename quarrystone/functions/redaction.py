@@ -15,7 +15,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrystone.functions.arrow import arrow_function
@@ -182,6 +182,11 @@ def redacted(text: Column | str) -> Column:
     return F.when(text.isNotNull(), _let(given, _with_keys)).otherwise(F.struct(F.lit(None).cast("string").alias("text"), F.lit(0).cast("long").alias("redacted")))
 
 
+def masked(rows: DataFrame, text_col: str = "text") -> DataFrame:
+    """``rows`` with ``_r``: ``redacted`` of a column.  Exploded, so that it is made once for all that uses it."""
+    return rows.select("*", F.explode(F.array(redacted(F.col(text_col)))).alias("_r"))
+
+
 def _with_keys(given: Column) -> Column:
     """Adds the spans of private keys: each from a line that begins one to the next that ends one, or to the end."""
     ends = _where(given["lines"], lambda x: x.rlike(KEY_END))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrystone.functions.detection import detect
-from quarrystone.functions.redaction import redacted
+from quarrystone.functions.redaction import masked
 from quarrystone.limits import LIMITS, Limits
 from quarrystone.operators import archives, paging, store
 from quarrystone.sources import legacy, readers
@@ -43,8 +43,8 @@ def governed_read(requests: DataFrame, refs: DataFrame, blobs: DataFrame, sessio
     judged = store.authorize(requests, refs, sessions)
     allowed = judged.filter("error_code IS NULL").drop("error_code")
     # A document meets its requests whole, and each takes its own page of the lines: no other page is made.
-    masked = masked_texts(allowed, blobs).withColumn("_lines", F.split(F.replace("text", F.lit(PAGE_BREAK), F.lit("\n")), r"\r?\n", -1)).drop("text")
-    found = allowed.join(masked, "id", "left")
+    texts = masked_texts(allowed, blobs).withColumn("_lines", F.split(F.replace("text", F.lit(PAGE_BREAK), F.lit("\n")), r"\r?\n", -1)).drop("text")
+    found = allowed.join(texts, "id", "left")
     at, count = (F.col("page") - 1).cast("int") * most_lines, F.size("_lines")
     inside = F.col("_failed").isNull() & (F.col("page") >= 1) & (at < count)
     own = F.slice("_lines", F.when(inside, at).otherwise(0) + 1, F.lit(most_lines))
@@ -59,7 +59,7 @@ def masked_texts(allowed: DataFrame, blobs: DataFrame) -> DataFrame:
     """``id, kind, text, redacted, _failed`` of the documents of allowed requests, each read and masked once, as a whole."""
     needed = allowed.select("id", "sha256", F.col("detected.kind").alias("kind"), F.col("detected.family").alias("family")).distinct()
     opened = needed.join(blobs.select("sha256", "content"), "sha256", "left")
-    return document_texts(opened).withColumn("_r", redacted("text")).select("id", "kind", F.col("_r.text").alias("text"), F.col("_r.redacted").alias("redacted"), F.col("error_code").alias("_failed"))
+    return masked(document_texts(opened)).select("id", "kind", F.col("_r.text").alias("text"), F.col("_r.redacted").alias("redacted"), F.col("error_code").alias("_failed"))
 
 
 def read_window(requests: DataFrame, refs: DataFrame, blobs: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
@@ -92,34 +92,49 @@ def read_window(requests: DataFrame, refs: DataFrame, blobs: DataFrame, sessions
 def document_texts(files: DataFrame) -> DataFrame:
     """``id, kind, text, error_code`` of files (``id, kind, family, content``), each by the reader of its kind.
 
-    Slides and PDF pages are set apart by ``PAGE_BREAK``.
+    Slides and PDF pages are set apart by ``PAGE_BREAK``.  A file is joined and opened once: every reader sees only the
+    contents of its kind, in the same pass.  Sheets, whose cells are grouped into rows, are a second branch.
     """
-    of = lambda *kinds: files.filter(F.col("kind").isin(*kinds))
-    join = lambda df, kind, group="paragraphs": df.select("id", F.lit(kind).alias("kind"), F.array_join(group, "\n").alias("text"), "error_code")
-    plain = files.filter("family = 'text'").withColumn("_d", readers.decoded("content"))
-    out = plain.select("id", "kind", F.col("_d.text").alias("text"), F.when(F.col("content").isNull(), "CORRUPT_FILE").when(F.col("_d.text").isNull(), "UNSUPPORTED_FILE_TYPE").alias("error_code"))
-    out = out.unionByName(join(readers.docx(of("docx")), "docx")).unionByName(join(legacy.doc(of("doc")), "doc"))
-    for kind in ("odt", "odp"):
-        out = out.unionByName(join(readers.open_document(of(kind)), kind))
-    out = out.unionByName(join(readers.open_document(of("ods"), spreadsheet=True), "ods"))
-    numbered = lambda df, kind, no, between: df.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(no, "text"))).alias("_t"), F.max("error_code").alias("error_code")).select("id", F.lit(kind).alias("kind"), F.array_join(F.transform("_t", lambda x: x["text"]), between).alias("text"), "error_code")
-    out = out.unionByName(numbered(readers.pptx(of("pptx")), "pptx", "page_no", PAGE_BREAK))
-    out = out.unionByName(numbered(readers.epub(of("epub")), "epub", "chapter_no", "\n"))
+    kind, content = F.col("kind"), F.col("content")
+    only = lambda *kinds: F.when(kind.isin(*kinds), content)
+    opened = files.filter(~kind.isin("xlsx", "xls")).select(
+        "id",
+        "kind",
+        F.col("family").alias("_family"),
+        content.isNull().alias("_none"),
+        readers.package(only("docx", "pptx", "odt", "odp", "ods", "epub"), kind).alias("_p"),
+        legacy.doc_text(only("doc")).alias("_doc"),
+        readers.rtf(only("rtf")).alias("_rtf"),
+        readers.pdf(only("pdf")).alias("_pdf"),
+        readers.decoded(F.when(F.col("family") == "text", content)).alias("_plain"),
+    )
+    parts = F.col("_p.parts")
+    docx, lines = readers.docx_lines(parts)
+    body, open_lines = readers.open_lines(parts)
+    _, open_rows = readers.open_lines(parts, spreadsheet=True)
+    text = (
+        F.when(F.col("_family") == "text", F.col("_plain.text"))
+        .when(kind == "docx", F.array_join(lines, "\n"))
+        .when(kind == "pptx", F.array_join(readers.pptx_pages(parts), PAGE_BREAK))
+        .when(kind.isin("odt", "odp"), F.array_join(open_lines, "\n"))
+        .when(kind == "ods", F.array_join(open_rows, "\n"))
+        .when(kind == "epub", F.array_join(F.transform(readers.epub_chapters(parts), lambda x: x["text"]), "\n"))
+        .when(kind == "doc", F.array_join(legacy.doc_lines(F.col("_doc.text")), "\n"))
+        .when(kind == "rtf", F.col("_rtf"))
+        .when(kind == "pdf", F.array_join(F.transform("_pdf.pages", readers.joined_runs), PAGE_BREAK))
+    )
+    readable = (F.col("_family") == "text") | kind.isin("docx", "pptx", "odt", "odp", "ods", "epub", "doc", "rtf", "pdf")
+    empty = (kind == "docx") & docx.isNull() | kind.isin("odt", "odp", "ods") & body.isNull()
+    code = F.when(~readable, "UNSUPPORTED_FILE_TYPE").when(F.col("_none"), "CORRUPT_FILE").otherwise(F.coalesce("_p.error_code", "_doc.error_code", "_pdf.error_code", F.when(empty, "CORRUPT_FILE")))
+    # Exploded, so that the text is made once and not inside each expression that masks it.
+    out = opened.select(F.explode(F.array(F.struct("id", "kind", text.alias("text"), code.alias("error_code")))).alias("_x")).select("_x.*")
+    of = lambda *kinds: files.filter(kind.isin(*kinds))
     sheets = readers.xlsx(of("xlsx")).unionByName(legacy.xls(of("xls")))
-    kinds = of("xlsx", "xls").select("id", "kind")
     failed = sheets.groupBy("id").agg(F.max("error_code").alias("error_code"))
     rows = paging.sheet_rows(sheets, ["id", "sheet"])
-    text = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("sheet", "row_no", "text"))).alias("_t"))
-    out = out.unionByName(failed.join(text, "id", "left").join(kinds, "id").select("id", "kind", F.array_join(F.transform("_t", lambda x: x["text"]), "\n").alias("text"), "error_code"))
-    out = out.unionByName(of("rtf").select("id", "kind", readers.rtf("content").alias("text"), F.lit(None).cast("string").alias("error_code")))
-    runs = readers.pdf_runs(of("pdf"))
-    pages = readers.ordered_text(runs, ["id", "page_no"])
-    state = runs.groupBy("id").agg(F.max("error_code").alias("error_code"))
-    whole = pages.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("page_no", "text"))).alias("_t"))
-    out = out.unionByName(state.join(whole, "id", "left").select("id", F.lit("pdf").alias("kind"), F.coalesce(F.array_join(F.transform("_t", lambda x: x["text"]), PAGE_BREAK), F.lit("")).alias("text"), "error_code"))
-    known = ("docx", "doc", "xls", "odt", "odp", "ods", "pptx", "epub", "xlsx", "rtf", "pdf")
-    rest = files.filter((F.col("family") != "text") & ~F.col("kind").isin(*known))
-    return out.unionByName(rest.select("id", "kind", F.lit(None).cast("string").alias("text"), F.lit("UNSUPPORTED_FILE_TYPE").alias("error_code")))
+    grouped = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("sheet", "row_no", "text"))).alias("_t"))
+    joined = failed.join(grouped, "id", "left").join(of("xlsx", "xls").select("id", "kind"), "id")
+    return out.unionByName(joined.select("id", "kind", F.array_join(F.transform("_t", lambda x: x["text"]), "\n").alias("text"), "error_code"))
 
 
 def list_archive(requests: DataFrame, refs: DataFrame, blobs: DataFrame, prefix: str | None = None, cursor: int = 0, limit: int = 100, sessions: DataFrame | None = None) -> DataFrame:
@@ -137,7 +152,7 @@ def read_entries(asked: DataFrame, archives_of: DataFrame) -> DataFrame:
     entry = F.sha1(F.concat_ws("\0", F.col("id").cast("string"), "archive_path"))
     seen = seen.withColumn("_entry", entry)
     texts = document_texts(seen.filter("error_code IS NULL AND detected.readable").select(F.col("_entry").alias("id"), F.col("detected.kind").alias("kind"), F.col("detected.family").alias("family"), F.col("entry").alias("content")).dropDuplicates(["id"]))
-    texts = texts.select(F.col("id").alias("_entry"), "text", F.col("error_code").alias("_failed")).withColumn("_r", redacted("text"))
+    texts = masked(texts.select(F.col("id").alias("_entry"), "text", F.col("error_code").alias("_failed")))
     joined = seen.join(texts, "_entry", "left")
     code = F.coalesce("error_code", "_failed", F.when(~F.col("detected.readable"), "UNSUPPORTED_FILE_TYPE"))
     return joined.select("id", "archive_path", F.when(F.col("error_code").isNull(), F.col("detected.kind")).alias("kind"), F.col("_r.text").alias("text"), F.col("_r.redacted").alias("redacted"), code.alias("error_code"))

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrystone.functions import detection, names, redaction
-from quarrystone.functions.redaction import redacted
+from quarrystone.functions.redaction import masked
 from quarrystone.limits import Limits
 from quarrystone.operators import paging, sessions, store
 
@@ -246,7 +246,7 @@ def strip_markup(spark, sf_dir):
 
 
 def _masked(rows: DataFrame, key: str) -> DataFrame:
-    return rows.withColumn("_r", redacted("text")).select(key, F.col("_r.text").alias("text"), F.col("_r.redacted").alias("redacted"))
+    return masked(rows).select(key, F.col("_r.text").alias("text"), F.col("_r.redacted").alias("redacted"))
 
 
 @query("""SELECT c_custkey, '  api_key: [REDACTED]' || chr(10) || 'name=' || c_name || chr(10) || 'export TOKEN="[REDACTED]" # ' || c_mktsegment AS text, 2::BIGINT AS redacted FROM customer""")

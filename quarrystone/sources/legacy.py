@@ -9,9 +9,11 @@ import re
 import struct
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrystone.functions.arrow import arrow_function
+
 _BROKEN = (struct.error, IndexError, ValueError, KeyError, MemoryError, OverflowError)
 _END = 0xFFFFFFFA
 
@@ -199,17 +201,21 @@ def xls(files: DataFrame, id_col: str = "id", content_col: str = "content") -> D
     return found.select(id_col, "error_code", F.explode_outer("cells").alias("c")).select(id_col, "c.*", "error_code")
 
 
-def doc(files: DataFrame, id_col: str = "id", content_col: str = "content") -> DataFrame:
-    """id, ``paragraphs``, ``error_code``."""
+@arrow_function("text string, error_code string")
+def doc_text(content: pd.Series) -> pd.DataFrame:
+    """The text of binary documents; nulls for null content."""
+    rows = [_try(document_text, x) if x is not None else (None, None) for x in content]
+    return pd.DataFrame({"text": [r[0] for r in rows], "error_code": [r[1] for r in rows]})
 
-    @F.pandas_udf("text string, error_code string")
-    def read(content: pd.Series) -> pd.DataFrame:
-        rows = [_try(document_text, x) for x in content]
-        return pd.DataFrame({"text": [r[0] for r in rows], "error_code": [r[1] for r in rows]})
 
-    found = files.select(id_col, read(content_col).alias("_d")).select(id_col, "_d.*")
-    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x) != "")
-    return found.select(id_col, lines.alias("paragraphs"), "error_code")
+def doc_lines(text: Column) -> Column:
+    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x) != "")
+
+
+def doc(files: DataFrame, id_col: str = "id", content_col: str = "content") -> DataFrame:
+    """id, ``paragraphs``, ``error_code``."""
+    found = files.select(id_col, doc_text(F.coalesce(content_col, F.lit(b""))).alias("_d")).select(id_col, "_d.*")
+    return found.select(id_col, doc_lines(F.col("text")).alias("paragraphs"), "error_code")
 
 
 def _try(reader, content) -> tuple:

@@ -61,6 +61,25 @@ def parts(content: Column, wanted: str) -> Column:
     return opened(content)
 
 
+#: The parts that are read of each kind of package.
+PACKAGES = {
+    "docx": r"^word/document\.xml$",
+    "pptx": r"^ppt/(slides/slide|notesSlides/notesSlide)\d+\.xml$",
+    "xlsx": r"^xl/(workbook|sharedStrings|worksheets/sheet\d+)\.xml$",
+    "odt": r"^content\.xml$",
+    "ods": r"^content\.xml$",
+    "odp": r"^content\.xml$",
+    "epub": r"(?i)(^META-INF/container\.xml|\.opf|\.x?html?|\.xml)$",
+}
+
+
+@arrow_function("parts map<string,string>, error_code string")
+def package(content: pd.Series, kind: pd.Series) -> pd.DataFrame:
+    """``parts`` of packages of any kind, each opened by what its kind needs; nulls for null content."""
+    rows = [package_parts(bytes(x), PACKAGES[k]) if x is not None else (None, None) for x, k in zip(content, kind, strict=True)]
+    return pd.DataFrame({"parts": [r[0] for r in rows], "error_code": [r[1] for r in rows]})
+
+
 def _opened(files: DataFrame, wanted: str, id_col: str, content_col: str) -> DataFrame:
     return files.select(id_col, parts(F.col(content_col), wanted).alias("_p")).select(id_col, "_p.*")
 
@@ -71,28 +90,38 @@ def _texts(xml: Column, pattern: str) -> Column:
 
 def docx(files: DataFrame, id_col: str = "id", content_col: str = "content") -> DataFrame:
     """id, ``paragraphs`` (those outside tables, then a line for each table, its cells joined by " | "), ``error_code``."""
-    found = _opened(files, r"^word/document\.xml$", id_col, content_col)
-    body = F.try_element_at("parts", F.lit("word/document.xml"))
+    found = _opened(files, PACKAGES["docx"], id_col, content_col)
+    body, lines = docx_lines(F.col("parts"))
+    return found.select(id_col, lines.alias("paragraphs"), F.coalesce("error_code", F.when(body.isNull(), "CORRUPT_FILE")).alias("error_code"))
+
+
+def docx_lines(parts: Column) -> tuple[Column, Column]:
+    """(the body, null where there is none; its lines)."""
+    body = F.try_element_at(parts, F.lit("word/document.xml"))
     tables = F.regexp_extract_all(F.coalesce(body, F.lit("")), F.lit(r"(?s)(<w:tbl[ >].*?</w:tbl>)"), 1)
     rows = F.transform(tables, lambda t: F.array_join(F.filter(_texts(t, r"<w:tc[ >].*?</w:tc>"), lambda x: x != ""), " | "))
     prose = _texts(F.regexp_replace(body, r"(?s)<w:tbl[ >].*?</w:tbl>", ""), r"<w:p[ >].*?</w:p>")
-    lines = F.filter(F.concat(prose, rows), lambda x: x != "")
-    return found.select(id_col, lines.alias("paragraphs"), F.coalesce("error_code", F.when(body.isNull(), "CORRUPT_FILE")).alias("error_code"))
+    return body, F.filter(F.concat(prose, rows), lambda x: x != "")
 
 
 def pptx(files: DataFrame, id_col: str = "id", content_col: str = "content") -> DataFrame:
     """id, ``page_no``, ``text`` (slide and notes), ``n_pages``, ``error_code``: a row for each slide, by its number."""
-    found = _opened(files, r"^ppt/(slides/slide|notesSlides/notesSlide)\d+\.xml$", id_col, content_col)
-    slides = F.filter(F.map_keys("parts"), lambda x: x.rlike(r"^ppt/slides/slide\d+\.xml$"))
+    found = _opened(files, PACKAGES["pptx"], id_col, content_col).withColumn("_pages", pptx_pages(F.col("parts")))
+    rows = found.select(id_col, "error_code", F.size("_pages").alias("n_pages"), F.posexplode_outer("_pages").alias("_at", "text"))
+    return rows.select(id_col, (F.col("_at") + 1).cast("long").alias("page_no"), "text", "n_pages", "error_code")
+
+
+def pptx_pages(parts: Column) -> Column:
+    """The texts of the slides, by their numbers, each with its notes."""
+    slides = F.filter(F.map_keys(parts), lambda x: x.rlike(r"^ppt/slides/slide\d+\.xml$"))
     numbers = F.array_sort(F.transform(slides, lambda x: F.regexp_extract(x, r"(\d+)\.xml$", 1).cast("int")))
-    rows = found.select(id_col, "parts", "error_code", F.size(numbers).alias("n_pages"), F.posexplode_outer(numbers).alias("_at", "_n"))
-    text = lambda folder: _texts(F.try_element_at("parts", F.concat(F.lit(folder), F.col("_n"), F.lit(".xml"))), r"<a:t[ >].*?</a:t>|<a:t>.*?</a:t>")
-    return rows.select(id_col, (F.col("_at") + 1).cast("long").alias("page_no"), F.array_join(F.concat(text("ppt/slides/slide"), text("ppt/notesSlides/notesSlide")), "\n").alias("text"), "n_pages", "error_code")
+    text = lambda folder, n: _texts(F.try_element_at(parts, F.concat(F.lit(folder), n, F.lit(".xml"))), r"<a:t[ >].*?</a:t>|<a:t>.*?</a:t>")
+    return F.transform(numbers, lambda n: F.array_join(F.concat(text("ppt/slides/slide", n), text("ppt/notesSlides/notesSlide", n)), "\n"))
 
 
 def xlsx(files: DataFrame, id_col: str = "id", content_col: str = "content") -> DataFrame:
     """id, ``sheet``, ``row_no``, ``col_no``, ``value``, ``error_code``: one row for each filled cell, at its true place."""
-    found = _opened(files, r"^xl/(workbook|sharedStrings|worksheets/sheet\d+)\.xml$", id_col, content_col)
+    found = _opened(files, PACKAGES["xlsx"], id_col, content_col)
     names = F.regexp_extract_all(F.coalesce(F.try_element_at("parts", F.lit("xl/workbook.xml")), F.lit("")), F.lit(r'<sheet[^>]*\bname="([^"]*)"'), 1)
     shared = _texts(F.try_element_at("parts", F.lit("xl/sharedStrings.xml")), r"<si[ >].*?</si>")
     sheets = found.select(id_col, "parts", "error_code", shared.alias("_shared"), F.posexplode_outer(names).alias("_at", "sheet"))
@@ -131,31 +160,47 @@ def _cells(sheet: pd.Series) -> pd.Series:
 
 def open_document(files: DataFrame, id_col: str = "id", content_col: str = "content", spreadsheet: bool = False) -> DataFrame:
     """id, ``paragraphs``, ``error_code``: paragraphs and headings of texts and slides; rows of sheets, cells joined by tabs."""
-    found = _opened(files, r"^content\.xml$", id_col, content_col)
-    body = F.try_element_at("parts", F.lit("content.xml"))
+    found = _opened(files, PACKAGES["odt"], id_col, content_col)
+    body, lines = open_lines(F.col("parts"), spreadsheet)
+    return found.select(id_col, lines.alias("paragraphs"), F.coalesce("error_code", F.when(body.isNull(), "CORRUPT_FILE")).alias("error_code"))
+
+
+def open_lines(parts: Column, spreadsheet: bool = False) -> tuple[Column, Column]:
+    """(the body, null where there is none; its lines)."""
+    body = F.try_element_at(parts, F.lit("content.xml"))
     if spreadsheet:
         rows = F.regexp_extract_all(F.coalesce(body, F.lit("")), F.lit(r"(?s)(<table:table-row[ >].*?</table:table-row>)"), 1)
         texts = F.transform(rows, lambda r: F.array_join(F.filter(F.transform(_texts(r, r"<table:table-cell[^>/]*>.*?</table:table-cell>"), lambda x: F.regexp_replace(x, r"\s+", " ")), lambda x: x != ""), "\t"))
     else:
         texts = _texts(body, r"<text:(?:p|h)[ >].*?</text:(?:p|h)>")
-    return found.select(id_col, F.filter(texts, lambda x: x != "").alias("paragraphs"), F.coalesce("error_code", F.when(body.isNull(), "CORRUPT_FILE")).alias("error_code"))
+    return body, F.filter(texts, lambda x: x != "")
 
 
 def epub(files: DataFrame, id_col: str = "id", content_col: str = "content") -> DataFrame:
     """id, ``chapter_no``, ``path``, ``text``, ``error_code``: the spine's chapters in order, or all by name where there is no spine."""
-    found = _opened(files, r"(?i)(^META-INF/container\.xml|\.opf|\.x?html?|\.xml)$", id_col, content_col)
-    opf = F.regexp_extract(F.coalesce(F.try_element_at("parts", F.lit("META-INF/container.xml")), F.lit("")), r'full-path="([^"]+)"', 1)
-    books = found.select(id_col, "parts", "error_code", F.regexp_replace(opf, "/?[^/]*$", "").alias("_base"), F.coalesce(F.try_element_at("parts", opf), F.lit("")).alias("_opf"))
-    items = F.regexp_extract_all("_opf", F.lit(r"(<item\b[^>]*>)"), 1)
+    found = _opened(files, PACKAGES["epub"], id_col, content_col).withColumn("_chapters", epub_chapters(F.col("parts")))
+    rows = found.select(id_col, "error_code", F.posexplode_outer("_chapters").alias("_at", "c"))
+    return rows.select(id_col, (F.col("_at") + 1).cast("long").alias("chapter_no"), "c.path", "c.text", "error_code")
+
+
+def epub_chapters(parts: Column) -> Column:
+    """Structs ``path``, ``text`` of the chapters."""
+    named = F.regexp_extract(F.coalesce(F.try_element_at(parts, F.lit("META-INF/container.xml")), F.lit("")), r'full-path="([^"]+)"', 1)
+    opf, base = F.coalesce(F.try_element_at(parts, named), F.lit("")), F.regexp_replace(named, "/?[^/]*$", "")
+    items = F.regexp_extract_all(opf, F.lit(r"(<item\b[^>]*>)"), 1)
     attribute = lambda tag, name: F.regexp_extract(tag, rf'\b{name}="([^"]*)"', 1)
     manifest = F.map_from_entries(F.array_distinct(F.transform(items, lambda x: F.struct(attribute(x, "id").alias("k"), attribute(x, "href").alias("v")))))
-    spine = F.regexp_extract_all("_opf", F.lit(r'<itemref\b[^>]*\bidref="([^"]*)"'), 1)
-    linked = F.transform(spine, lambda x: zip_target(F.col("_base"), F.try_element_at(manifest, x)))
-    held = F.filter(linked, lambda x: F.map_contains_key("parts", x) & x.rlike(r"(?i)\.(x?html?|xml)$"))
-    every = F.array_sort(F.filter(F.map_keys("parts"), lambda x: x.rlike(r"(?i)\.x?html?$")))
-    books = books.select(id_col, "parts", "error_code", F.when(F.size(held) > 0, held).otherwise(every).alias("_chapters"))
-    rows = books.select(id_col, "parts", "error_code", F.posexplode_outer("_chapters").alias("_at", "path"))
-    return rows.select(id_col, (F.col("_at") + 1).cast("long").alias("chapter_no"), "path", strip_markup(F.try_element_at("parts", F.col("path"))).alias("text"), "error_code")
+    spine = F.regexp_extract_all(opf, F.lit(r'<itemref\b[^>]*\bidref="([^"]*)"'), 1)
+    book = F.struct(base.alias("base"), manifest.alias("manifest"), spine.alias("spine"))
+
+    def chapters(book):  # the book's parts are lambda variables, so they are not made anew for each chapter
+        linked = F.transform(book["spine"], lambda x: zip_target(book["base"], F.try_element_at(book["manifest"], x)))
+        held = F.filter(linked, lambda x: F.map_contains_key(parts, x) & x.rlike(r"(?i)\.(x?html?|xml)$"))
+        every = F.array_sort(F.filter(F.map_keys(parts), lambda x: x.rlike(r"(?i)\.x?html?$")))
+        return F.when(F.size(held) > 0, held).otherwise(every)
+
+    paths = F.element_at(F.transform(F.array(book), chapters), 1)
+    return F.transform(paths, lambda p: F.struct(p.alias("path"), strip_markup(F.try_element_at(parts, p)).alias("text")))
 
 
 _RTF = re.compile(r"\\u(-?\d+) ?|\\'([0-9a-fA-F]{2})|\\([a-zA-Z]+)(-?\d+)? ?|\\(.)|([{}])|[\r\n]+|([^\\{}\r\n]+)", re.S)
@@ -332,15 +377,17 @@ def _pages_of(objects: dict[int, bytes], stream_of) -> tuple[list[list[dict]] |
     return [_runs(b"\n".join(stream_of(objects[c]) for c in refs(objects[n], b"Contents") if c in objects)) for n in order], None
 
 
+@arrow_function("pages array<array<struct<text:string,x:double,y:double,width:double>>>, error_code string")
+def pdf(content: pd.Series) -> pd.DataFrame:
+    """The runs of each page; nulls for null content."""
+    rows = [pdf_pages(bytes(x)) if x is not None else (None, None) for x in content]
+    return pd.DataFrame({"pages": [r[0] for r in rows], "error_code": [r[1] for r in rows]})
+
+
 def pdf_runs(files: DataFrame, id_col: str = "id", content_col: str = "content") -> DataFrame:
     """id, ``page_no``, ``run_no``, ``text``, ``x``, ``y``, ``width``, ``n_pages``, ``error_code``."""
 
-    @F.pandas_udf("pages array<array<struct<text:string,x:double,y:double,width:double>>>, error_code string")
-    def read(content: pd.Series) -> pd.DataFrame:
-        rows = [pdf_pages(bytes(x or b"")) for x in content]
-        return pd.DataFrame({"pages": [r[0] for r in rows], "error_code": [r[1] for r in rows]})
-
-    found = files.select(id_col, read(content_col).alias("_p")).select(id_col, "_p.*")
+    found = files.select(id_col, pdf(F.coalesce(content_col, F.lit(b""))).alias("_p")).select(id_col, "_p.*")
     pages = found.select(id_col, "error_code", F.size("pages").alias("n_pages"), F.posexplode_outer("pages").alias("_page", "_runs"))
     runs = pages.select(id_col, "error_code", "n_pages", "_page", F.posexplode_outer("_runs").alias("_run", "r"))
     return runs.select(id_col, (F.col("_page") + 1).cast("long").alias("page_no"), F.col("_run").cast("long").alias("run_no"), "r.*", "n_pages", "error_code")
@@ -351,15 +398,20 @@ def ordered_text(runs: DataFrame, group: list[str], line_height: float = 2.0) ->
 
     A run further than one unit from the end of the one before is set off by a space.
     """
-    line = F.floor(-F.col("y") / line_height)
-    sorted_ = F.array_sort(F.collect_list(F.struct(line.alias("line"), F.col("x"), F.col("width"), F.col("text"))))
+    runs = runs.filter(F.col("text").isNotNull()).groupBy(*group).agg(F.collect_list(F.struct("text", "x", "y", "width")).alias("_runs"))
+    return runs.select(*group, joined_runs(F.col("_runs"), line_height).alias("text"))
+
+
+def joined_runs(runs: Column, line_height: float = 2.0) -> Column:
+    """The text of an array of runs (``text``, ``x``, ``y``, ``width``)."""
+    placed = F.array_sort(F.transform(runs, lambda r: F.struct(F.floor(-r["y"] / line_height).alias("line"), r["x"].alias("x"), r["width"].alias("width"), r["text"].alias("text"))))
     joined = F.aggregate(
-        "_runs",
+        placed,
         F.struct(F.lit("").alias("text"), F.lit(None).cast("bigint").alias("line"), F.lit(0.0).alias("end")),
         lambda acc, r: F.struct(
             F.concat(acc["text"], F.when(acc["line"].isNull(), "").when(acc["line"] != r["line"], "\n").when(r["x"] > acc["end"] + 1, " ").otherwise(""), r["text"]).alias("text"),
             r["line"].alias("line"),
-            (r["x"] + r["width"]).alias("end"),
+            (r["x"] + r["width"]).cast("double").alias("end"),
         ),
     )
-    return runs.filter(F.col("text").isNotNull()).groupBy(*group).agg(sorted_.alias("_runs")).select(*group, joined["text"].alias("text"))
+    return joined["text"]
