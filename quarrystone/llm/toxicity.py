@@ -12,27 +12,32 @@ themselves unless the letters are far likelier.  A doubled look-alike is read as
 Score: a lexicon of restored words and word beginnings, each with its probability of standing in a toxic document.  It is learnt from
 labelled documents outside the held-out fold, at most ``SAMPLE`` of them, taken by a hash of their id.  A feature counts
 once for each group of near copies (documents with the same least hash of three words in a row), so that copies of one
-document prove little.  Only features whose shrunk probability is at least ``EVIDENCE`` count, and a document's score is its strongest one's
-(the beginnings of a word are not independent of it, so they are not multiplied); without evidence it is ``FLOOR``.
+document prove little.  Features whose shrunk probability is at least ``EVIDENCE`` are evidence.  The score is that of a small logistic model over the
+evidence of the restored text: the strongest one, how many words of it there are, and the length of the text.  It is
+fitted to the same bounded sample with a toxic document counted ``COST`` times, so evidence adds up and texts without
+evidence are told apart by their length.  Where the sample has no toxic document every score is ``FLOOR``.
 
-Sizes: the trigram table has 64 ** 3 entries at most and the lexicon is bounded by the sample; only these two go to the
-driver and to all tasks.  All else is passes over the rows without a shuffle of texts.
+Look-alikes stand for Latin letters; letters of other scripts are one class of the model and pass through as they are.
 
-Defined cases: a null or empty text scores ``FLOOR``; a null id is in fold crc32 of the empty text; of contradicting
+Sizes: the trigram table has 64 ** 3 entries at most and the lexicon is bounded by the sample; only these two, and
+four numbers for each row of the sample, go to the driver.  All else is passes over the rows without a shuffle of texts.
+
+Defined cases: a null or empty text is one without evidence and words; a null id is in fold crc32 of the empty text; of contradicting
 labels of one id the higher counts; labels that are null do not count; without labels nothing is toxic; repeated rows
-are scored each; other columns are ignored.
+are scored each; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from math import log, log1p
 from zlib import crc32
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import text_of
+from quarrystone.llm.common import cut, text_of
 
 FOLDS, SAMPLE, FLOOR = 5, 10_000, 0.02
 #: Lengths of the word beginnings that are features beside whole words.
@@ -41,6 +46,9 @@ STEMS = (4, 5, 6)
 #: toxic ones must have it, and the number of toxic documents in the sample to the power GROWTH.
 PRIOR, STRENGTH, LEAST, GROWTH, EVIDENCE = 0.1, 4.0, 5, 0.35, 0.6
 
+#: What a toxic document that is missed costs, in clean ones that are rejected.
+COST = 3.0
+
 #: What characters may stand for.
 LOOKALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g",
@@ -130,12 +138,22 @@ class Channel:
 
         A kept space costs ``gap``; with ``doubles``, every look-alike is a letter of its own.
         """
+        paths = {(BREAK, BREAK): (0.0, "")}
+        settled: list[str] = []
+        for at, options in enumerate(self.lattice(token, gap, doubles)):
+            paths = self._step(paths, options)
+            if at % PIECE == PIECE - 1:
+                paths = self._settle(paths, settled)
+        settled.append(min(self._step(paths, [(" ", 0.0)]).values())[1])
+        return "".join(settled).strip()
+
+    def lattice(self, token: str, gap: float = GAPS[0], doubles: bool = False):
+        """For each character of a token what it may stand for, with the cost of that."""
         letters = token.replace(" ", "")
         stutters = _RUN.search(letters) or len(_DOUBLE.findall(letters)) > 1
         number = not _LETTERS.search(letters)
-        paths = {(BREAK, BREAK): (0.0, "")}
-        before, settled = "", []
-        for at, ch in enumerate(token):
+        before = ""
+        for ch in token:
             options = []
             if ch == " ":
                 options += [("", DROP), (" ", gap)]
@@ -154,11 +172,7 @@ class Channel:
                     options.append((ch, 0.0 if itself else KEEP))
             if ch != " ":
                 before = ch
-            paths = self._step(paths, options)
-            if at % PIECE == PIECE - 1:
-                paths = self._settle(paths, settled)
-        settled.append(min(self._step(paths, [(" ", 0.0)]).values())[1])
-        return "".join(settled).strip()
+            yield options
 
     def _settle(self, paths, settled):
         """The paths that begin as the likeliest does, without that beginning, which ``settled`` takes."""
@@ -238,12 +252,17 @@ def held_out(id_col: str):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % FOLDS == 0
 
 
-def learn(docs: DataFrame, labels: DataFrame, channel, id_col: str, text_col: str, label_col: str, sample: int = SAMPLE) -> dict[str, float]:
-    """Evidence features and their probabilities, from at most ``sample`` labelled rows that are not held out."""
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int = SAMPLE) -> tuple[DataFrame, DataFrame]:
+    """(labels, texts with labels) of at most ``sample`` ids that are not held out."""
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
     known = known.filter(F.col("_id").isNotNull() & F.col("_label").isNotNull() & ~held_out("_id")).groupBy("_id").agg(F.max("_label").alias("_label"))
-    known = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)  # a bounded sample, so it may be broadcast
-    rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).join(F.broadcast(known), "_id").select("_label", "_text")
+    known = cut(known.orderBy(F.xxhash64("_id"), "_id").limit(sample))  # a bounded sample, so it may be broadcast
+    rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).join(F.broadcast(known), "_id").select("_id", "_label", "_text")
+    return known, cut(rows)
+
+
+def learn(known: DataFrame, rows: DataFrame, channel) -> dict[str, float]:
+    """Evidence features and their probabilities."""
 
     def seen_in(batches):
         import pyarrow as pa
@@ -258,7 +277,7 @@ def learn(docs: DataFrame, labels: DataFrame, channel, id_col: str, text_col: st
                     out += [(feature, copies, label) for feature in own]
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.int32()))], ["feature", "copies", "label"])
 
-    seen = rows.mapInArrow(seen_in, "feature string, copies long, label int").groupBy("feature", "copies").agg(F.max("label").alias("label"))
+    seen = rows.select("_label", "_text").mapInArrow(seen_in, "feature string, copies long, label int").groupBy("feature", "copies").agg(F.max("label").alias("label"))
     # The more there are to learn from, the more features stand in toxic documents only by chance.
     least = max(LEAST, round(known.filter("_label = 1").count() ** GROWTH))
     counts = seen.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("k"))
@@ -266,23 +285,85 @@ def learn(docs: DataFrame, labels: DataFrame, channel, id_col: str, text_col: st
     return {r["feature"]: r["p"] for r in counts.filter(F.col("k") >= least).select("feature", shrunk.alias("p")).filter(F.col("p") >= EVIDENCE).collect()}
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> DataFrame:
-    """One row for each input row: id, ``held_out``, ``score`` (0 to 1), ``predicted`` (1 if the score is at least 0.5)."""
+def evidence(text: str, channel: Channel, memo: dict, known: dict[str, float]) -> tuple[float, float, float]:
+    """Of a text: log odds of its strongest evidence (0 without any), log of how many words of evidence, log of how many words."""
+    found, tokens = restored_features(text, channel, memo, known)
+    best = max((known[f] for f in found), default=None)
+    words = sum(not f.endswith("*") for f in found)
+    return (0.0 if best is None else log(best / (1 - best)), 0.0 if best is None else log(max(1, words)) + 1.0, log1p(len(tokens)))
+
+
+def _inputs(x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Rows of ``evidence`` as the inputs of the logistic model; length counts apart with and without evidence.
+
+    ``lengths``: the least, mean and greatest of the sample; what is outside counts as the nearest.
+    """
+    some = (x[:, 1] > 0).astype(float)
+    length = np.clip(x[:, 2], lengths[0], lengths[2]) - lengths[1]
+    return np.stack((np.ones(len(x)), some, x[:, 0], np.maximum(0, x[:, 1] - 1), length * some, length * (1 - some)), axis=1)
+
+
+def fitted(x: np.ndarray, labels: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray] | None:
+    """Weights of the logistic model by Newton's method and the sample's lengths, or None without toxic rows."""
+    if not labels.any():
+        return None
+    lengths = np.array([x[:, 2].min(), x[:, 2].mean(), x[:, 2].max()])
+    inputs = _inputs(x, lengths)
+    weights = np.zeros(inputs.shape[1])
+    costs = np.where(labels > 0, COST, 1.0)
+    keep = np.full(len(weights), ridge)
+    keep[0] = 1e-3
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-inputs @ weights))
+        slope = inputs.T @ (costs * (labels - p)) - keep * weights
+        step = np.linalg.solve((inputs * (costs * p * (1 - p))[:, None]).T @ inputs + np.diag(keep), slope)
+        weights += step
+        if np.abs(step).max() < 1e-9:
+            break
+    return weights, lengths
+
+
+def scores_of(texts: list[str], channel: Channel, memo: dict, known: dict[str, float], model: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
+    if model is None or not texts:
+        return np.full(len(texts), FLOOR)
+    weights, lengths = model
+    return 1 / (1 + np.exp(-_inputs(np.array([evidence(t, channel, memo, known) for t in texts]), lengths) @ weights))
+
+
+def _model(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int):
+    """What a score needs, on all tasks: the channel, the lexicon and the weights."""
     context = docs.sparkSession.sparkContext
     counts = {r["code"]: r["n"] for r in trigrams(docs, text_col).collect()}  # 64 ** 3 rows at most
     channel = context.broadcast(Channel(counts))
-    lexicon = context.broadcast(learn(docs, labels, channel, id_col, text_col, label_col, sample))
+    known, rows = labelled(docs, labels, id_col, text_col, label_col, sample)
+    lexicon = context.broadcast(learn(known, rows, channel))
+
+    def described(batches):
+        import pyarrow as pa
+
+        memo: dict = {}
+        for batch in batches:
+            found = [evidence(t, channel.value, memo, lexicon.value) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([x[k] for x in found], pa.float64()) for k in range(3))], ["_id", "_label", "a", "b", "c"])
+
+    kind = rows.schema["_id"].dataType.simpleString()
+    # One row an id, so as many as the sample has at most; sorted, so that the fit is the same each time.
+    drawn = rows.mapInArrow(described, f"_id {kind}, _label int, a double, b double, c double").groupBy("_id").agg(F.max("_label"), F.max("a"), F.max("b"), F.max("c")).orderBy("_id").collect()
+    points = np.array([tuple(r)[1:] for r in drawn], float).reshape(-1, 4)
+    return channel, lexicon, fitted(points[:, 1:], points[:, 0])
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> DataFrame:
+    """One row for each input row: id, ``held_out``, ``score`` (0 to 1), ``predicted`` (1 if the score is at least 0.5)."""
+    channel, lexicon, model = _model(docs, labels, id_col, text_col, label_col, sample)
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
 
     def scored(batches):
         import pyarrow as pa
 
         memo: dict = {}
-        known = lexicon.value
         for batch in batches:
-            scores = []
-            for text in batch.column(1).to_pylist():
-                scores.append(max((known[f] for f in restored_features(text, channel.value, memo, known)[0]), default=FLOOR))
+            scores = scores_of(batch.column(1).to_pylist(), channel.value, memo, lexicon.value, model)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["_id", "score"])
 
     kind = rows.schema["_id"].dataType.simpleString()
@@ -290,21 +371,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return found.select(F.col("_id").alias(id_col), held_out("_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that the score does not call toxic."""
-    context = docs.sparkSession.sparkContext
-    counts = {r["code"]: r["n"] for r in trigrams(docs, text_col).collect()}
-    channel = context.broadcast(Channel(counts))
-    lexicon = context.broadcast(learn(docs, labels, channel, id_col, text_col, "toxic"))
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is under 0.5."""
+    channel, lexicon, model = _model(docs, labels, id_col, text_col, label_col, sample)
     at = docs.columns.index(text_col)
 
     def clean(batches):
         import pyarrow as pa
 
         memo: dict = {}
-        known = lexicon.value
         for batch in batches:
-            keep = [not restored_features(t or "", channel.value, memo, known)[0] for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            scores = scores_of([t or "" for t in batch.column(at).to_pylist()], channel.value, memo, lexicon.value, model)
+            yield batch.filter(pa.array(scores < 0.5, pa.bool_()))
 
     return docs.mapInArrow(clean, docs.schema)

@@ -2,6 +2,7 @@ import random
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarrystone.llm import html_extraction, toxicity
 from tests.llm.conftest import prose
@@ -197,10 +198,41 @@ def test_decoding_in_pieces(monkeypatch):
     assert channel.decode(token) == whole
 
 
-def test_held_out_labels_are_not_used(spark, corpus):
+def test_decoding_against_enumeration():
+    """The reading of least cost among all paths of the lattice."""
+    channel = channel_of("the idiot and the stupid moron walk by the cold river stone house as glass passes " * 20)
+
+    def best(token, gap, doubles):
+        found = [(0.0, 0, 0, "")]
+        for options in [*channel.lattice(token, gap, doubles), [(" ", 0.0)]]:
+            longer = []
+            for cost, a, b, text in found:
+                for out, noise in options:
+                    c = int(toxicity.classes(out)[0]) if out else None
+                    own = cost + noise + (channel.cost[(a * toxicity.WIDTH + b) * toxicity.WIDTH + c] if out else 0.0)
+                    longer.append((own, b, c, text + out) if out else (own, a, b, text))
+            found = longer
+        least = min(found)[0]
+        return {text.strip() for cost, _, _, text in found if cost < least + 1e-9}
+
+    rng = random.Random(4)
+    tokens = ["1d10t", "s.t.u", "i d i o", "@$$", "m0r0n", "stuuup", "5.t.u.p", "g l @ s s", "4$$"] + ["".join(rng.choices("as5$.1i0o t", k=rng.randint(2, 7))).strip() or "a" for _ in range(60)]
+    for token in tokens:
+        for gap, doubles in ((2.0, False), (-0.5, False), (2.0, True)):
+            assert channel.decode(token, gap, doubles) in best(token, gap, doubles), token
+
+
+def test_evidence_adds_up_and_scores_are_rates(spark, corpus):
     docs, labels = corpus
-    from pyspark.sql import functions as F
+    more = docs.unionByName(spark.createDataFrame([(1000, "a river idiot"), (1001, "a river idiot stupid moron"), (1002, "a river"), (1003, "a river " * 300)], "doc_id long, text string"))
+    got = {r.doc_id: r.score for r in toxicity.toxicity(more, labels).collect()}
+    assert got[1002] < 0.5 < got[1000] < got[1001] and got[1002] != got[1003]
+    mean = sum(got[k] for k in range(400)) / 400
+    assert 0.2 < mean < 0.35  # a quarter is toxic, and counts more
+
 
+def test_held_out_labels_are_not_used(spark, corpus):
+    docs, labels = corpus
     other = labels.withColumn("toxic", F.when(toxicity.held_out("doc_id"), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     one, two = ({r.doc_id: r.score for r in toxicity.toxicity(docs, x).collect()} for x in (labels, other))
     assert one == two
@@ -210,3 +242,10 @@ def test_toxicity_cases(spark, corpus):
     docs, labels = corpus
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
     assert {r.predicted for r in toxicity.toxicity(docs, labels.limit(0)).collect()} == {0}
+    rows = [(None, "you idiot"), (None, None), (5, "x" * 300_000), (5, "a i d i o t " + "river stone " * 30_000), (6, ""), (6, "")]
+    odd = spark.createDataFrame([(*r, 1.0, "x") for r in rows], "doc_id long, text string, score double, toxic string")
+    got = toxicity.toxicity(docs.withColumns({"score": F.lit(0.0), "toxic": F.lit("")}).unionByName(odd), labels).filter("doc_id IS NULL OR doc_id IN (5, 6)").collect()
+    assert len(got) == 8 and all(0 <= r.score <= 1 for r in got)
+    assert sorted(r.predicted for r in got if r.doc_id is None) == [0, 1] and {r.held_out for r in got if r.doc_id is None} == {True}
+    twice = labels.unionByName(labels.withColumn("toxic", F.lit(None).cast("int"))).unionByName(labels.limit(3))
+    assert toxicity.toxicity(docs, twice).count() == 400
