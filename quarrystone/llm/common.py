@@ -70,6 +70,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def ids_name_rows(docs: DataFrame, id_col: str) -> bool:
+    """Whether every row has an id and no two rows have the same."""
+    return docs.groupBy(F.col(id_col).alias("k")).agg(F.count(F.lit(1)).alias("n")).filter("k IS NULL OR n > 1").isEmpty()
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``_row`` and ``_doc`` (the whole row): rows with numbers of their own, written once so that the numbers stay."""
+    return cut(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct("*").alias("_doc")))
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if a count shows at most ``rows`` rows; else as it is, for a shuffled join.
 

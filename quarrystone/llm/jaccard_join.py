@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import broadcast_if_small, cut, partitions, text_of
+from quarrystone.llm.common import broadcast_if_small, cut, ids_name_rows, numbered, partitions, text_of
 from quarrystone.llm.components import components
 from quarrystone.llm.hashing import mix, shingles
 
@@ -339,13 +339,9 @@ def linked_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, num: in
     return found
 
 
-def _ids_name_rows(docs: DataFrame, id_col: str) -> bool:
-    return docs.groupBy(F.col(id_col).alias("k")).agg(F.count(F.lit(1)).alias("n")).filter("k IS NULL OR n > 1").isEmpty()
-
-
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """One row for each input row: id, ``n_shingles``, ``component_id`` (least id reached by links of at least num / den)."""
-    if _ids_name_rows(docs, id_col):
+    if ids_name_rows(docs, id_col):
         return _components_by_id(docs, id_col, text_col, width, num, den)
     rows = cut(docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text")))
     found = cut(rows.select("_row", "_id").join(_components_by_id(rows, "_row", "_text", width, num, den), "_row"))
@@ -454,11 +450,11 @@ def _verified(dealt: DataFrame, kind: str, num: int, den: int) -> DataFrame:
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of ``docs``, all columns, that stay if one document of each component stays: the one with the least id."""
-    if _ids_name_rows(docs, id_col):
+    if ids_name_rows(docs, id_col):
         found = _components_by_id(docs, id_col, text_col, width, num, den)
         kept = found.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept"))
         return docs.join(kept, docs[id_col] == kept["_kept"], "left_semi")
-    rows = cut(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct("*").alias("_doc")))
+    rows = numbered(docs)
     plain = rows.select("_row", F.col("_doc")[id_col].alias("_id"), F.col("_doc")[text_col].alias("_text"))
     found = plain.select("_row", "_id").join(_components_by_id(plain, "_row", "_text", width, num, den), "_row")
     first = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id"), F.col("_row"))).alias("first")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import WORD, cut, text_of
+from quarrystone.llm.common import WORD, cut, ids_name_rows, numbered, text_of
 
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
@@ -91,12 +91,18 @@ def _with(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` that the mix takes, each as many times as it is repeated."""
-    chosen = mix_sources(docs, id_col, text_col, source_col).filter("taken > 0")
-    chosen = chosen.groupBy(F.col(id_col).alias("_chosen")).agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    rows = docs.join(chosen, docs[id_col].eqNullSafe(chosen["_chosen"]))
-    whole = F.struct(*[docs[c] for c in docs.columns])
-    return rows.select(F.explode(F.array_repeat(whole, chosen["_times"])).alias("row")).select("row.*")
+    """The rows of ``docs`` that the mix takes, each as many times as it is repeated.
+
+    Where ids are null or repeat, rows are told apart by numbers given to them.
+    """
+    if ids_name_rows(docs, id_col):
+        rows, key = docs.select(F.col(id_col).alias("_row"), F.struct("*").alias("_doc")), docs.select(F.col(id_col).alias("_row"), F.col(text_col).alias("_text"), F.col(source_col).alias("_source"))
+    else:
+        rows = numbered(docs)
+        key = rows.select("_row", F.col("_doc")[text_col].alias("_text"), F.col("_doc")[source_col].alias("_source"))
+    chosen = mix_sources(key, "_row", "_text", "_source").filter("taken > 0").select(F.col("_row").alias("_chosen"), (F.col("taken") / F.col("size")).cast("int").alias("_times"))
+    taken = rows.join(chosen, F.col("_row") == F.col("_chosen"))
+    return taken.select(F.explode(F.array_repeat("_doc", F.col("_times"))).alias("row")).select("row.*")
 
 
 ORACLE = r"""
