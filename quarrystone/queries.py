@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from quarrystone.functions import detection, names, redaction
 from quarrystone.functions.redaction import masked
-from quarrystone.limits import Limits
 from quarrystone.operators import paging, sessions, store
 
 QUERIES: dict = {}
@@ -101,17 +100,17 @@ def blob_dedupe(spark, sf_dir):
     return found.withColumn("storage_path", names.storage_path(F.col("sha256")))
 
 
-@query("""WITH RECURSIVE u AS (SELECT source AS session_id, doc_id % 7 AS batch_id, doc_id AS seq, strlen(text) AS bytes,
+@query("""WITH RECURSIVE u AS (SELECT source AS session_id, doc_id % 7 AS batch_id, doc_id AS seq, strlen(text) * 9000 AS bytes,
     row_number() OVER (PARTITION BY source, doc_id % 7 ORDER BY doc_id) AS rn FROM documents),
-f AS (SELECT session_id, batch_id, seq, rn, CASE WHEN bytes <= 12000 THEN 1 ELSE 0 END AS n, CASE WHEN bytes <= 12000 THEN bytes ELSE 0 END AS used, bytes <= 12000 AS ok FROM u WHERE rn = 1
-  UNION ALL SELECT u.session_id, u.batch_id, u.seq, u.rn, f.n + CASE WHEN f.n < 4 AND f.used + u.bytes <= 12000 THEN 1 ELSE 0 END,
-    f.used + CASE WHEN f.n < 4 AND f.used + u.bytes <= 12000 THEN u.bytes ELSE 0 END, f.n < 4 AND f.used + u.bytes <= 12000
+f AS (SELECT session_id, batch_id, seq, rn, CASE WHEN bytes <= 52428800 THEN 1 ELSE 0 END AS n, CASE WHEN bytes <= 52428800 THEN bytes ELSE 0 END AS used, bytes <= 52428800 AS ok FROM u WHERE rn = 1
+  UNION ALL SELECT u.session_id, u.batch_id, u.seq, u.rn, f.n + CASE WHEN f.n < 10 AND f.used + u.bytes <= 52428800 THEN 1 ELSE 0 END,
+    f.used + CASE WHEN f.n < 10 AND f.used + u.bytes <= 52428800 THEN u.bytes ELSE 0 END, f.n < 10 AND f.used + u.bytes <= 52428800
   FROM f JOIN u ON u.session_id = f.session_id AND u.batch_id = f.batch_id AND u.rn = f.rn + 1)
 SELECT session_id, batch_id, seq, CASE WHEN NOT ok THEN 'MESSAGE_FILES_TOO_LARGE' END AS error_code FROM f""")
 def quota_admission(spark, sf_dir):
-    """Which uploads a batch's quota of 4 files and 12,000 bytes admits, in order of arrival."""
-    uploads = _table(spark, sf_dir, "documents").select(F.col("source").alias("session_id"), (F.col("doc_id") % 7).alias("batch_id"), F.col("doc_id").alias("seq"), F.octet_length("text").cast("long").alias("bytes"))
-    return store.admit(uploads, limits=Limits(batch_files=4, batch_bytes=12_000)).drop("bytes")
+    """Which uploads a batch's quota of 10 files and 50 MiB admits, in order of arrival; a character stands for 9,000 bytes."""
+    uploads = _table(spark, sf_dir, "documents").select(F.col("source").alias("session_id"), (F.col("doc_id") % 7).alias("batch_id"), F.col("doc_id").alias("seq"), (F.octet_length("text").cast("long") * 9000).alias("bytes"))
+    return store.admit(uploads).drop("bytes")
 
 
 @query(f"""WITH {_ATT} SELECT id, owner_session_id, safe_name, created_at FROM att
@@ -125,12 +124,14 @@ def session_listing(spark, sf_dir):
     return store.session_listing(_attachments(spark, sf_dir)).select("id", "owner_session_id", "position")
 
 
-_REQUESTS = "req AS (SELECT event_id, 'src' || (user_id % 20) AS session_id, 'att_' || md5((event_id % 2000)::VARCHAR) AS id FROM events)"
+_REQUESTS = "req AS (SELECT event_id, 'src' || (user_id % 20) AS session_id, 'att_' || md5((event_id % (SELECT count(*) FROM documents))::VARCHAR) AS id FROM events)"
 
 
 def _requests(spark, sf_dir):
-    events = _table(spark, sf_dir, "events")
-    return events.select("event_id", F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")).alias("session_id"), F.concat(F.lit("att_"), F.md5((F.col("event_id") % 2000).cast("string"))).alias("id"))
+    """Requests of the events, over all documents."""
+    total = _table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("n"))  # one row
+    events = _table(spark, sf_dir, "events").select("event_id", "user_id").crossJoin(F.broadcast(total))
+    return events.select("event_id", F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")).alias("session_id"), F.concat(F.lit("att_"), F.md5((F.col("event_id") % F.col("n")).cast("string"))).alias("id"))
 
 
 @query(f"WITH {_ATT}, {_REQUESTS} SELECT event_id, req.id, safe_name FROM req JOIN att ON req.id = att.id AND req.session_id = att.owner_session_id")
@@ -225,12 +226,12 @@ def cell_range(spark, sf_dir):
     return paging.cells_in(_table(spark, sf_dir, "lineitem"), "B2:D500000", "l_orderkey", "l_linenumber").select("l_orderkey", "l_linenumber", "l_quantity", "l_shipdate")
 
 
-@query("SELECT l_orderkey, l_linenumber, coalesce(p_name, l_partkey::VARCHAR) AS value FROM lineitem LEFT JOIN part ON p_partkey = l_partkey AND p_partkey % 3 > 0")
+@query("SELECT l_orderkey, l_linenumber, coalesce(p_name, (l_partkey * 2)::VARCHAR) AS value FROM lineitem LEFT JOIN part ON p_partkey = l_partkey * 2")
 def shared_strings(spark, sf_dir):
     """Cells whose value is an index into shared strings; an index out of range stays as it is."""
-    shared = _table(spark, sf_dir, "part").filter("p_partkey % 3 > 0").select(F.col("p_partkey").alias("l_partkey"), "p_name")
-    cells = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(shared, "l_partkey", "left")
-    return cells.select("l_orderkey", "l_linenumber", F.coalesce("p_name", F.col("l_partkey").cast("string")).alias("value"))
+    shared = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("index"), "p_name")
+    cells = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") * 2).alias("index")).join(shared, "index", "left")
+    return cells.select("l_orderkey", "l_linenumber", F.coalesce("p_name", F.col("index").cast("string")).alias("value"))
 
 
 @query(r"""SELECT l_orderkey, string_agg(l_linenumber || ':' || l_quantity::BIGINT, chr(9) ORDER BY l_linenumber, l_linenumber || ':' || l_quantity::BIGINT) AS text FROM lineitem GROUP BY l_orderkey""")
