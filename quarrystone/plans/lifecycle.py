@@ -121,7 +121,7 @@ def document_texts(files: DataFrame) -> DataFrame:
         .when(kind == "epub", F.array_join(F.transform(readers.epub_chapters(parts), lambda x: x["text"]), "\n"))
         .when(kind == "doc", F.array_join(legacy.doc_lines(F.col("_doc.text")), "\n"))
         .when(kind == "rtf", F.col("_rtf"))
-        .when(kind == "pdf", F.array_join(F.transform("_pdf.pages", readers.joined_runs), PAGE_BREAK))
+        .when(kind == "pdf", F.array_join(F.transform("_pdf.pages", lambda runs: readers.joined_runs(runs)), PAGE_BREAK))
     )
     readable = (F.col("_family") == "text") | kind.isin("docx", "pptx", "odt", "odp", "ods", "epub", "doc", "rtf", "pdf")
     empty = (kind == "docx") & docx.isNull() | kind.isin("odt", "odp", "ods") & body.isNull()
