@@ -110,6 +110,59 @@ def test_governed_read(engine):
     assert found["tools.zip"].error_code == "UNSUPPORTED_FILE_TYPE"
 
 
+def test_windows(engine):
+    made, _ = engine
+    key = {r.safe_name: r.id for r in made.refs.collect()}
+    one = lambda name, **window: made.read("s1", key[name], **window).collect()[0]
+    row = one("slides.pptx", page=1)
+    assert (row.text, row.has_more, row.next) == ("two\nnote", True, 2)
+    assert one("slides.pptx", page=9).text == "ten"
+    row = one("paper.pdf", page=0, page_end=99)
+    assert row.text == "page one\npage two\nline (b)" and not row.has_more
+    row = one("report.docx", paragraph_offset=1, paragraph_limit=1)
+    assert (row.text, row.has_more, row.next) == ("two & x", True, 2)
+    row = one("conf.txt", offset=7)
+    assert (row.text, row.has_more, row.redacted) == ("password=[REDACTED]\nport=1", False, 1)
+    assert made.read("s2", key["locked.pdf"]).collect()[0].error_code == "ENCRYPTED_FILE"
+    assert made.read("s2", key["conf.txt"]).collect()[0].error_code == "ATTACHMENT_FORBIDDEN"
+
+
+def test_dead_sessions_read_nothing(engine, spark):
+    made, _ = engine
+    key = {r.safe_name: r.id for r in made.refs.collect()}
+    dead = type(made)(made.refs, made.blobs, spark.createDataFrame([("s2",)], "session_id string"))
+    assert dead.info("s1").count() == 0 and dead.info("s2").count() == 3
+    assert dead.list_archive("s1", key["tools.zip"]).count() == 0
+    assert dead.read("s1", key["conf.txt"]).collect()[0].error_code == "ATTACHMENT_FORBIDDEN"
+    assert dead.read_archive_entry("s1", key["tools.zip"], "a.txt").count() == 0
+
+
+def test_byte_windows_are_the_text(spark):
+    from quarrystone.operators import paging
+
+    text = "é" * 7 + "\nab\n" + "x" * 30 + "\n日本語\nend"
+    rows = spark.createDataFrame([(text,)], "t string")
+    at, parts = 0, []
+    while at is not None:
+        row = rows.select(paging.byte_window(F.col("t"), F.lit(at), most_lines=2, most_bytes=11).alias("w")).first().w
+        parts.append(row.text)
+        assert len(row.text.encode()) <= 11 and row.has_more == (row.next_offset is not None)
+        at = row.next_offset
+    assert "".join(parts) == text
+    inside = rows.select(paging.byte_window(F.col("t"), F.lit(1), most_bytes=6).alias("w")).first().w
+    assert inside.text == "éé" and inside.next_offset == 6
+
+
+def test_whole_texts_are_decoded():
+    from quarrystone.sources.readers import whole_text
+
+    chinese = "中文文件" * 3
+    assert whole_text(chinese.encode("gb18030")) == (chinese, "gb18030")
+    assert whole_text(b"\xff\xfe" + "aé".encode("utf-16-le")) == ("aé", "utf-16le")
+    assert whole_text(b"ok \xff\xff bad") == ("ok \ufffd\ufffd bad", "utf-8")
+    assert whole_text(b"") == ("", "utf-8")
+
+
 def test_forbidden(engine):
     made, _ = engine
     other = made.refs.filter("safe_name = 'conf.txt'").select(F.lit("s2").alias("session_id"), "id", F.lit(1).alias("page"))
