@@ -189,7 +189,17 @@ def paragraph_window(spark, sf_dir):
     return rows.select("doc_id", "w.text", "w.has_more", F.coalesce("w.next_offset", F.lit(-1)).alias("next_offset"))
 
 
-@query()
+_PREFIX = " ,".join(f"try(decode(array_slice(encode(rest), 1, {n})))" for n in (2000, 1999, 1998, 1997))
+
+
+@query(
+    rf"""WITH RECURSIVE p AS (SELECT doc_id, 0::BIGINT AS page_no, 0::BIGINT AS byte_start, '' AS text, coalesce(text, '') AS rest FROM documents
+  UNION ALL SELECT doc_id, page_no + 1, byte_start + strlen(text), page, substr(rest, length(page) + 1)
+  FROM (SELECT *, CASE WHEN k IS NULL THEN coalesce({_PREFIX}) ELSE array_to_string(l[1:k], chr(10)) || CASE WHEN k < len(l) THEN chr(10) ELSE '' END END AS page
+    FROM (SELECT *, list_max(list_filter(range(1, least(len(l) - CASE WHEN l[-1] = '' THEN 1 ELSE 0 END, 40) + 1), lambda k: strlen(array_to_string(l[1:k], chr(10))) + CASE WHEN k < len(l) THEN 1 ELSE 0 END <= 2000)) AS k
+      FROM (SELECT *, string_split(rest, chr(10)) AS l FROM p WHERE rest <> '' OR page_no = 0))))
+SELECT doc_id, page_no, byte_start, strlen(text)::BIGINT AS byte_len, text FROM p WHERE page_no > 0"""
+)
 def byte_pages(spark, sf_dir):
     """Pages of whole lines within 2,000 bytes and 40 lines."""
     return paging.byte_pages(_table(spark, sf_dir, "documents"), most_lines=40, most_bytes=2000)
