@@ -5,14 +5,17 @@ Files are written from the tables' columns by Spark and read back by the engine'
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from quarrystone.functions import detection, names
 from quarrystone.operators import archives, paging, store, uploads
 from quarrystone.plans import lifecycle
-from quarrystone.queries import _ATT, _attachments, _table, query
+from quarrystone.queries import _ATT, ORACLES, _as_attachments, _attachments, _known, _table, query
 from quarrystone.sources import readers
 from quarrystone.sources.packages import escaped, packed
+from quarrystone.streaming.announce import announce_stream, batches_stream, stream_folder
 
 _TRIM = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 
@@ -295,3 +298,33 @@ def governed_lines(spark, sf_dir):
     asked = refs.select(F.col("owner_session_id").alias("session_id"), "id", F.lit(1).alias("page"))
     found = lifecycle.governed_read(asked, refs.drop("doc_id"), store.new_blobs(hashed), most_lines=3)
     return found.join(refs.select("id", "doc_id"), "id").select("doc_id", F.md5("text").alias("text_md5"), "has_more")
+
+
+# Streams.
+
+
+def _streamed(spark, sf_dir, table: str):
+    """A table's files as a stream."""
+    path = f"{sf_dir}/{table}.parquet"
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[t]")  # a pattern may stand for a file or a folder
+
+
+def _run_to_its_end(spark, stream, schema: str):
+    """What a stream has written when it has read all there is."""
+    out = f"{stream_folder(spark)}/{uuid4().hex}"
+    stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{out}/rows")
+
+
+@query(ORACLES["announce_fresh"])
+def announced_by_stream(spark, sf_dir):
+    """``announce_fresh`` as a stream over the documents' files, with the log's announcements as its beginning."""
+    said = announce_stream(_as_attachments(_streamed(spark, sf_dir, "documents")), known=_known(spark, sf_dir))
+    return _run_to_its_end(spark, said.select("session_id", "n_fresh", "text"), "session_id string, n_fresh long, text string")
+
+
+@query("""SELECT conv_id::VARCHAR AS session_id, turn::BIGINT AS seq, coalesce(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS batch_no FROM conversations""")
+def batches_by_stream(spark, sf_dir):
+    """``batch_rotation`` as a stream over the conversations' files."""
+    events = _streamed(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").cast("long").alias("seq"), (F.col("role") == "user").alias("is_send"))
+    return _run_to_its_end(spark, batches_stream(events), "session_id string, seq long, batch_no long")

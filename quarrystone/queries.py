@@ -34,7 +34,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as refs, without their texts."""
-    docs = _table(spark, sf_dir, "documents")
+    return _as_attachments(_table(spark, sf_dir, "documents"))
+
+
+def _as_attachments(docs: DataFrame) -> DataFrame:
     ident = F.concat(F.lit("att_"), F.md5(F.col("doc_id").cast("string")))
     return docs.select(ident.alias("id"), F.col("source").alias("owner_session_id"), F.concat("lang", F.lit("-"), (F.col("doc_id") % 5).cast("string"), F.lit(".txt")).alias("safe_name"), F.col("doc_id").alias("created_at"), F.lit("text").alias("family"), F.lit("text").alias("kind"))
 

@@ -5,10 +5,11 @@ State is a session's set of announced ids, kept by Spark in its checkpoint; it i
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -16,6 +17,16 @@ OUTPUT = "session_id string, n_fresh long, ids array<string>, text string"
 STATE = "ids array<string>"
 
 
+def stream_folder(spark: SparkSession) -> str:
+    """Where a stream keeps its state and rows: the folder all executors share; a temporary one only in local mode."""
+    context = spark.sparkContext
+    found = context._jsc.sc().getCheckpointDir()
+    folder = found.get() if found.isDefined() else context.getConf().get("spark.checkpoint.dir")
+    if not folder and not context.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return folder or tempfile.mkdtemp(prefix="stream-")
+
+
 def announce_stream(refs: DataFrame, session: str = "owner_session_id", known: DataFrame | None = None) -> DataFrame:
     """One row for each session and trigger with new ids; ``refs``: session, ``id``, ``safe_name``, ``created_at``, ``family``, ``kind``.
 
