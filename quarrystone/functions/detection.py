@@ -93,10 +93,12 @@ def is_json(text: pd.Series) -> pd.Series:
 def text_kind(name: Column, text: Column) -> Column:
     """The kind of a text file from its head and its name; the first rule that fits decides."""
     no_comments = F.regexp_replace(F.regexp_replace(text, r"^\s+", ""), r"^(?://[^\n]*\n|/\*[\s\S]*?\*/\s*)+", "")
-    json_like = F.when(no_comments.rlike(r"^[\[{]"), no_comments)
+    # Only what begins and ends as JSON does is parsed.
+    json_like = F.when(no_comments.rlike(r"^[\[{]") & no_comments.rlike(r"[}\]]\s*$"), no_comments)
     lines = F.filter(F.split(text, r"\r?\n"), lambda x: x != "")
     both = lambda mark: (F.size(lines) >= 2) & F.contains(F.get(lines, F.lit(0)), F.lit(mark)) & F.contains(F.get(lines, F.lit(1)), F.lit(mark))
     end, section = r"(?![A-Za-z0-9_])", r"(?md)^\s*\[[^\]\n]+\]\s*\n[\s\S]*?^\s*[A-Za-z0-9_.\-]+"
+    # The patterns of text kinds, in their order.
     rules = [
         ("shell", text.rlike(rf"^\s*#!\s*(?:/usr/bin/env\s+)?(?:/(?:usr/)?bin/)?(?:bash|zsh|sh|dash|fish){end}")),
         ("dockerfile", text.rlike(r"(?mdi)^FROM\s+\S")),

@@ -50,6 +50,7 @@ _HEAD = """coalesce(try(decode(array_slice(encode(text), 1, 4100))), try(decode(
 
 def _kind_sql(t: str, name: str) -> str:
     delimited = lambda m: f"len(list_filter(regexp_split_to_array({t}, '\\r?\\n'), lambda x: x <> '')) >= 2 AND contains(list_filter(regexp_split_to_array({t}, '\\r?\\n'), lambda x: x <> '')[1], {m}) AND contains(list_filter(regexp_split_to_array({t}, '\\r?\\n'), lambda x: x <> '')[2], {m})"
+    # The patterns of text kinds, in their order.
     return rf"""CASE
     WHEN regexp_matches({t}, '^\s*#!\s*(?:/usr/bin/env\s+)?(?:/(?:usr/)?bin/)?(?:bash|zsh|sh|dash|fish)\b') THEN 'shell'
     WHEN regexp_matches({t}, '(?mi)^FROM\s+\S') THEN 'dockerfile'
