@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarrystone.llm import exact_dedup, fill_in_middle, fingerprints, html_extraction, jaccard_join, mixing, packing, suffix_dedup, token_counts, toxicity, url_reputation
+from quarrystone.llm import exact_dedup, fill_in_middle, fingerprints, html_extraction, jaccard_join, mixing, mixture_packing, packing, suffix_dedup, token_counts, toxicity, url_reputation
 from quarrystone.llm.common import table
 
 
@@ -49,6 +49,11 @@ def op10(spark, sf_dir):
     return packed.withColumn("ids", F.crc32("ids")).withColumnRenamed("ids", "ids_crc32")
 
 
+def op12(spark, sf_dir):
+    packed = mixture_packing.pack_mixture(table(spark, sf_dir, "documents"))
+    return packed.withColumn("ids", F.crc32("ids")).withColumnRenamed("ids", "ids_crc32")
+
+
 def op13(spark, sf_dir):
     return fill_in_middle.digests(table(spark, sf_dir, "documents"))
 
@@ -64,6 +69,7 @@ QUERIES = {
     "op8_jaccard_components": op8,
     "op9_noisy_channel_toxicity": op9,
     "op10_best_fit_packing": op10,
+    "op12_mixture_packing": op12,
     "op13_fill_in_middle": op13,
 }
 
