@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarrystone.llm import exact_dedup, fill_in_middle, fingerprints, html_extraction, jaccard_join, mixing, mixture_packing, packing, suffix_dedup, token_counts, toxicity, url_reputation
+from quarrystone.llm import exact_dedup, fill_in_middle, fingerprints, html_extraction, jaccard_join, mixing, mixture_packing, packing, prefix_trie, suffix_dedup, token_counts, toxicity, url_reputation
 from quarrystone.llm.common import table
 
 
@@ -49,6 +49,10 @@ def op10(spark, sf_dir):
     return packed.withColumn("ids", F.crc32("ids")).withColumnRenamed("ids", "ids_crc32")
 
 
+def op11(spark, sf_dir):
+    return prefix_trie.trie_digests(table(spark, sf_dir, "conversations"))
+
+
 def op12(spark, sf_dir):
     packed = mixture_packing.pack_mixture(table(spark, sf_dir, "documents"))
     return packed.withColumn("ids", F.crc32("ids")).withColumnRenamed("ids", "ids_crc32")
@@ -69,6 +73,7 @@ QUERIES = {
     "op8_jaccard_components": op8,
     "op9_noisy_channel_toxicity": op9,
     "op10_best_fit_packing": op10,
+    "op11_prefix_trie": op11,
     "op12_mixture_packing": op12,
     "op13_fill_in_middle": op13,
 }
@@ -77,5 +82,6 @@ ORACLES = {
     "op3_exact_dedup": exact_dedup.ORACLE,
     "op5_url_reputation": url_reputation.ORACLE,
     "op7_fair_mixing": mixing.ORACLE,
+    "op11_prefix_trie": prefix_trie.ORACLE,
     "op13_fill_in_middle": fill_in_middle.ORACLE,
 }
