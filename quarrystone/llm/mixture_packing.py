@@ -25,6 +25,9 @@ or repeat, each row is packed; an empty table gives an empty result; other colum
 
 from __future__ import annotations
 
+import json
+import os
+import re
 from collections import defaultdict, deque
 from functools import lru_cache
 
@@ -42,28 +45,75 @@ CAPACITY, END = 4096, 2
 SLICE_TOKENS, LEAST = 4_000_000, 64
 
 
+#: Fixed: the pre-tokenizer's pattern for this vocabulary, and the same over lower-case letters of the first 256 characters.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\s0-9a-zß-öø-ÿ]+")
+_PLAIN = re.compile(r"[ \t\n\r\v\f!-~A-Za-zÀ-ÖØ-öø-ÿ]*")
+#: A byte that no plain text has ends each piece, in place of the vocabulary's mark of a word's end.
+MARK = "\x01"
+
+
+@lru_cache(maxsize=2)
+def piece_encoding(name: str):
+    """This vocabulary for the faster library, or None if it is no byte-level BPE with marked ends whose ids follow its merges.
+
+    A token with the end mark becomes its bytes and ``MARK``.  Those of one byte come before all merges by their ids, so
+    the mark joins its byte first, as in the vocabulary's own library.
+    """
+    import public_tokenizers
+    import tiktoken
+
+    with open(name if os.path.sep in name else public_tokenizers.path(name), encoding="utf-8") as file:
+        whole = json.load(file)
+    vocab, merges, suffix = whole["model"].get("vocab", {}), whole["model"].get("merges", []), whole["model"].get("end_of_word_suffix")
+    joined = ["".join(x if isinstance(x, list) else x.split(" ")) for x in merges]
+    if not suffix or PATTERN not in json.dumps(whole["pre_tokenizer"], ensure_ascii=False).replace("\\\\", "\\") or [vocab.get(x) for x in joined] != list(range(512, 512 + len(merges))):
+        return None
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    names = {chr(c): c for c in printable} | {chr(256 + k): c for k, c in enumerate(c for c in range(256) if c not in printable)}
+    ranks = {}
+    for token, k in vocab.items():
+        ends = token.endswith(suffix)
+        if set(token.removesuffix(suffix)) <= names.keys():
+            ranks[bytes(names[c] for c in token.removesuffix(suffix)) + MARK.encode() * ends] = k
+    ranks[MARK.encode()] = 1 << 20  # never left alone
+    return tiktoken.Encoding(name, pat_str=f"[^{MARK}]+{MARK}", mergeable_ranks=ranks, special_tokens={})
+
+
 class Encoder:
-    """Token ids of texts as packed numbers; texts are cut at white space, where this tokenizer cannot join, and words are remembered."""
+    """Token ids of texts as packed numbers.
+
+    Plain texts (ASCII and Latin-1 letters) are cut into the pre-tokenizer's pieces and encoded by the faster library.  In
+    others, the tokenizer's own library encodes words, which are remembered: it cannot join across white space.
+    """
 
     def __init__(self, name: str = TOKENIZER, end: int = END):
-        self.encoder, self.known = tokenizer(name), {}
+        self.encoder, self.fast, self.known = tokenizer(name), piece_encoding(name), {}
         self.kind = np.dtype("<u2" if self.encoder.get_vocab_size() <= 1 << 16 else "<u4")
         self.end = self.packed([end])
 
     def packed(self, ids) -> bytes:
         return np.asarray(ids, self.kind).tobytes()
 
-    def ids(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text (UTF-8) and the end id."""
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text and the end id."""
+        plain = [self.fast is not None and _PLAIN.fullmatch(t) is not None and "<|" not in t for t in texts]
+        rest = iter(self.by_words([t.encode() for t, p in zip(texts, plain, strict=True) if not p]))
+        return [(self.by_pieces(t) if p else next(rest)) + self.end for t, p in zip(texts, plain, strict=True)]
+
+    def by_pieces(self, text: str) -> bytes:
+        pieces = _PIECES.findall(text.lower())
+        return self.fast.encode_to_numpy(MARK.join(pieces) + MARK).astype(self.kind).tobytes() if pieces else b""
+
+    def by_words(self, texts: list[bytes]) -> list[bytes]:
         words = [t.split() if len(t) <= HUGE else None for t in texts]
         if len(self.known) > MEMO:
             self.known.clear()
         known = self.known
-        new = [w for w in set().union(*filter(None, words)) if w not in known]
+        new = list(set().union(*filter(None, words)).difference(known))
         found = self.encoder.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
         known.update(zip(new, (self.packed(x.ids) for x in found), strict=True))
-        whole = [b"".join(map(known.__getitem__, ws)) if ws is not None else self.huge(t.decode()) for t, ws in zip(texts, words, strict=True)]
-        return [x + self.end for x in whole]
+        return [b"".join(map(known.__getitem__, ws)) if ws is not None else self.huge(t.decode()) for t, ws in zip(texts, words, strict=True)]
 
     def huge(self, text: str) -> bytes:
         return b"".join(self.packed(run[2]) for run in resynchronised(self.encoder, text, CHUNK, OVERLAP))
@@ -76,7 +126,7 @@ def encoder(name: str, end: int) -> Encoder:
 
 def tokenized(docs: DataFrame, id_col: str, text_col: str, source_col: str, name: str, end: int) -> DataFrame:
     """``_id``, ``_source``, ``_task``, ``_before`` (tokens of the source before it in the task), ``_n``, ``_ids``."""
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), text_of(text_col).cast("binary").alias("_text"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), text_of(text_col).alias("_text"))
 
     def worked(batches):
         import pyarrow as pa

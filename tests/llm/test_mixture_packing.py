@@ -50,10 +50,18 @@ def test_every_id_once(docs, library, capacity, slice_tokens):
 
 
 def test_ids_as_the_library_gives(library, texts):
-    odd = [*(t or "" for t in texts), "<|endoftext|> x<|startoftext|>y", "x" * 5000, "日本語テキスト" * 20_000, "don't  stop\x1cit"]
+    odd = [*(t or "" for t in texts), "<|endoftext|> x<|startoftext|>y", "x" * 5000, "日本語テキスト" * 20_000, "don't  stop\x1cit", "\x01a", "ÀÉß÷×¡¿ñ'S we'LL 've''d'", "é" * 100_000, "a1b2!!'s..d", "   "]
+    rng = random.Random(4)
+    parts = [*"abcXYZéÈßÿ÷×¿İΣσ \t\n\x0b\x0c\r\x1c\x85\xa0'\"!?.,;<|>019²½", "'s", "'LL", "the", "Tion", "\u0301", "日本", "😀"]
+    odd += ["".join(rng.choices(parts, k=rng.randint(0, 60))) for _ in range(3000)]
+    odd += ["".join(rng.choices(parts[:12] + parts[15:18], k=rng.randint(0, 200))) for _ in range(3000)]
     own = mp.Encoder()
-    for text, ids in zip(odd, own.ids([t.encode() for t in odd]), strict=True):
+    assert own.fast is not None
+    for text, ids in zip(odd, own.ids(odd), strict=True):
         assert np.frombuffer(ids, own.kind).tolist() == [*library.encode(text, add_special_tokens=False).ids, 2]
+    slow = mp.Encoder()
+    slow.fast = None
+    assert slow.ids(odd) == own.ids(odd)
 
 
 def test_odd_rows(spark, library):
