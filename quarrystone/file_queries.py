@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quarrystone.functions import detection, names
 from quarrystone.operators import archives, paging, store, uploads
 from quarrystone.plans import lifecycle
-from quarrystone.queries import _ATT, ORACLES, _as_attachments, _attachments, _known, _table, query
+from quarrystone.queries import MASKED_DOCUMENTS, _ATT, ORACLES, _as_attachments, _attachments, _known, _table, query
 from quarrystone.sources import readers
 from quarrystone.sources.packages import escaped, packed
 from quarrystone.streaming.announce import announce_stream, batches_stream, stream_folder
@@ -277,27 +277,30 @@ def page_spans(spark, sf_dir):
     return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", span.alias("s")).select("l_orderkey", "l_linenumber", "s.page", "s.page_end")
 
 
-@query("""WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', '', 'g'), '[^\\n]{200}', chr(10), 'g') AS t FROM documents), p AS (SELECT doc_id, t, substr(t, 101, 400) AS c FROM a)
-SELECT doc_id, md5(CASE WHEN strlen(t) <= 500 THEN c ELSE regexp_extract(c, '^([\\s\\S]*\\n)', 1) END) AS text_md5, strlen(t) > 500 AS has_more FROM p""".replace("\\\\", "\\"))
+_CUT = ", ".join(f"try(decode(array_slice(b, {101 + k}, {500 - j})))" for k in range(4) for j in range(4))
+
+
+@query(f"""WITH t AS (SELECT doc_id, encode(coalesce(text, '')) AS b, strlen(coalesce(text, '')) AS n FROM documents),
+c AS (SELECT *, CASE WHEN n > 100 THEN coalesce({_CUT}) ELSE '' END AS c, CASE WHEN n > 100 THEN coalesce({", ".join(f"CASE WHEN try(decode(array_slice(b, {101 + k}, least(n, {104 + k})))) IS NOT NULL OR try(decode(array_slice(b, {101 + k}, least(n, {103 + k})))) IS NOT NULL OR try(decode(array_slice(b, {101 + k}, least(n, {102 + k})))) IS NOT NULL OR try(decode(array_slice(b, {101 + k}, least(n, {101 + k})))) IS NOT NULL THEN {k} END" for k in range(4))}) ELSE 0 END AS skipped FROM t),
+w AS (SELECT *, CASE WHEN n <= 500 OR NOT contains(c, chr(10)) THEN c ELSE regexp_extract(c, '^([\\s\\S]*\\n)', 1) END AS own FROM c)
+SELECT doc_id, own AS text, greatest(n, 100) > 100 + skipped + strlen(own) AS has_more, CASE WHEN greatest(n, 100) > 100 + skipped + strlen(own) THEN (100 + skipped + strlen(own))::BIGINT END AS next_offset FROM w""".replace("\\\\", "\\"))
 def byte_windows(spark, sf_dir):
-    """Whole lines from byte 100 on, within 400 bytes, of the documents' ASCII with short lines."""
-    text = F.regexp_replace(F.regexp_replace("text", r"[^\x00-\x7F]", ""), r"[^\n]{200}", "\n")
-    window = paging.byte_window(F.col("t"), F.lit(100), most_bytes=400)
-    return _documents(spark, sf_dir).select("doc_id", text.alias("t")).select("doc_id", window.alias("w")).select("doc_id", F.md5("w.text").alias("text_md5"), "w.has_more")
+    """Whole lines from byte 100 on, within 400 bytes: the window may begin and end inside a character."""
+    window = paging.byte_window(F.coalesce("text", F.lit("")), F.lit(100), most_bytes=400)
+    return _documents(spark, sf_dir).select("doc_id", window.alias("w")).select("doc_id", "w.text", "w.has_more", "w.next_offset")
 
 
-@query("""WITH l AS (SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)
-SELECT doc_id, md5(array_to_string(x[1:3], chr(10))) AS text_md5, len(x) > 3 AS has_more FROM l WHERE NOT regexp_matches(array_to_string(x, chr(10)), '(?i)pass|pwd|secret|token|key|auth|cookie|credential|url')""")
+@query(f"""WITH {MASKED_DOCUMENTS}, page AS (SELECT doc_id, string_split(text, chr(10)) AS x, redacted FROM r)
+SELECT doc_id, array_to_string(x[1:3], chr(10)) AS text, len(x) > 3 AS has_more, redacted FROM page""")
 def governed_lines(spark, sf_dir):
-    """The first three lines of each document, as its owner reads it; documents that could hold secrets are in other queries."""
+    """The first three lines of every document, as its owner reads it, and how many of the document's lines are masked."""
     docs = _documents(spark, sf_dir)
-    plain = docs.filter(~F.col("text").rlike("(?i)pass|pwd|secret|token|key|auth|cookie|credential|url"))
     ident = F.concat(F.lit("att_"), F.md5(F.col("doc_id").cast("string"))).alias("id")
-    hashed = store.hashed(plain.withColumn("content", F.col("text").cast("binary")))
+    hashed = store.hashed(docs.withColumn("content", F.coalesce("text", F.lit("")).cast("binary")))
     refs = hashed.select("doc_id", ident, F.coalesce("source", F.lit("none")).alias("owner_session_id"), "sha256", F.struct(F.lit("text").alias("kind"), F.lit("text").alias("family")).alias("detected"))
     asked = refs.select(F.col("owner_session_id").alias("session_id"), "id", F.lit(1).alias("page"))
     found = lifecycle.governed_read(asked, refs.drop("doc_id"), store.new_blobs(hashed), most_lines=3)
-    return found.join(refs.select("id", "doc_id"), "id").select("doc_id", F.md5("text").alias("text_md5"), "has_more")
+    return found.join(refs.select("id", "doc_id"), "id").select("doc_id", "text", "has_more", "redacted")
 
 
 # Streams.

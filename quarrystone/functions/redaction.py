@@ -3,9 +3,10 @@
 A document is masked as a whole, before it is cut into pages, by expressions over the array of its lines:
 
 * key-value lines by one pattern, with the mask in the value's quotes and a trailing comment kept;
-* private keys and YAML blocks as spans of lines: the few lines that open one are found first, each with the line that
-  ends it, and a line is masked if a span holds it;
+* private keys and YAML blocks by one scan over what each line is (``operators.masking`` scans documents in segments);
 * JSON by a small Arrow function, as its values nest.  Only texts and lines that could hold a secret key reach it.
+
+A text without a line that could hold or open a secret is not split into lines at all.
 """
 
 from __future__ import annotations
@@ -30,14 +31,18 @@ SECRET_CAMEL = r"^(password|passwd|pwd|secret|token|apiKey|authToken|authorizati
 KEY_BEGIN = r"^[ \t]*-----BEGIN (?:[A-Z0-9 ]+ )?PRIVATE KEY(?: BLOCK)?-----[ \t]*$"
 KEY_END = r"^[ \t]*-----END (?:[A-Z0-9 ]+ )?PRIVATE KEY(?: BLOCK)?-----[ \t]*$"
 
+# Fixed as well, for equal results: what a key may be, and what the head of a block scalar is.
 #: A key with what leads up to its value, and the value.
 _PAIR = r"""(?s)^(\s*(?:(?:export|set)\s+)*+("[^"]+"|'[^']+'|[A-Za-z_][A-Za-z0-9_-]*)\s*([:=])\s*)(.*)$"""
+_BLOCK = r"^\s*([A-Za-z][A-Za-z0-9_-]*)\s*:\s*[|>][-+]?\d*\s*(?:#.*)?$"
 #: A value up to a comment: strings, which may hold any sign, and other characters but a blank before a sign.
 _COMMENT = r"""(?s)^(?:"(?:[^"\\]|\\.)*+(?:"|$)|'(?:[^'\\]|\\.)*+(?:'|$)|\s(?![%s])|[^\s"'])*+(\s[%s].*)$"""
-_BLOCK = r"^\s*([A-Za-z][A-Za-z0-9_-]*)\s*:\s*[|>][-+]?\d*\s*(?:#.*)?$"
 #: What could be a JSON key that is secret: a key's end, and a secret's word or an escape.
 _KEY_END = r'"\s*:'
 _MAYBE = r"(?i)pass|pwd|secret|token|key|auth|cookie|credential|url|\\"
+#: The same, and on its line the sign that a value follows; what could open a key or a block.
+_MAYBE_PAIR = r"(?i)(?:pass|pwd|secret|token|key|auth|cookie|credential|url|\\)[^\n]*[:=]"
+_MAYBE_OPENS = r"PRIVATE KEY|:\s*[|>]"
 
 
 # JSON, by its grammar.
@@ -111,6 +116,16 @@ def _json_masked(text: pd.Series) -> pd.Series:
     return text.map(lambda x: y if x is not None and (y := mask_json(x)) != x else None)
 
 
+def json_masked(line: Column) -> Column:
+    """``line`` with the values of secret JSON keys masked; null where there are none."""
+    return _json_masked(F.when(_whole(line), line))
+
+
+def whole_json_masked(text: Column) -> Column:
+    """The same of a text that begins as JSON does; null for others."""
+    return _json_masked(F.when(text.rlike(r"^\s*[{\[]") & _whole(text), text))
+
+
 @arrow_function("array<string>")
 def _json_lines_masked(lines: pd.Series) -> pd.Series:
     """Of each line, null where it is null or nothing is masked; null for a text without any."""
@@ -131,10 +146,6 @@ def _secret(key: Column) -> Column:
     return key.rlike(SECRET) | key.rlike(SECRET_CAMEL)
 
 
-def _indent(line: Column) -> Column:
-    return F.length(F.regexp_extract(line, r"^(\s*)", 1))
-
-
 def _pair_masked(line: Column) -> Column:
     """A key-value line with its value masked, if its key is secret."""
     part = lambda k: F.regexp_extract(line, _PAIR, k)
@@ -147,21 +158,61 @@ def _pair_masked(line: Column) -> Column:
 
 def _line_masked(line: Column, as_json: Column) -> Column:
     kept = line.rlike(r'^\s*(?:(?:export|set)\s+)*+"') & line.rlike(_KEY_END)  # a JSON key that is not secret, or is torn
-    return F.when(as_json.isNotNull(), as_json).when(kept | ~line.rlike(_MAYBE), line).otherwise(_pair_masked(line))
+    return F.when(~line.rlike(_MAYBE_PAIR), line).when(as_json.isNotNull(), as_json).when(kept, line).otherwise(_pair_masked(line))
 
 
-def _let(value: Column, then) -> Column:
-    """``then(value)``, with ``value`` computed once for a row."""
-    return F.element_at(F.transform(F.array(value), then), 1)
+#: What a line is to the scan, and what the scan says of it.
+PLAIN, BEGIN, END, BLANK, START = range(5)
+ALONE, IN_BLOCK, IN_KEY, KEPT = range(4)
+
+
+def line_kind(line: Column) -> Column:
+    opens = line.rlike(_BLOCK) & _secret(F.regexp_extract(line, _BLOCK, 1))
+    return F.when(line.rlike(r"^\s*$"), BLANK).when(line.rlike(KEY_BEGIN), BEGIN).when(line.rlike(KEY_END), END).when(opens, START).otherwise(PLAIN)
+
+
+def line_indent(line: Column) -> Column:
+    return F.length(F.regexp_extract(line, r"^(\s*)", 1))
 
 
-def _where(lines: Column, test) -> Column:
-    """Places (from 0) of the lines that pass ``test``."""
-    return F.filter(F.transform(lines, lambda x, k: F.when(test(x), k)), lambda k: k.isNotNull())
+def scan(kinds, indents, key: bool = False, indent: int | None = None) -> tuple[list[int], bool, int | None]:
+    """What each line is part of, and the state behind the last: whether a private key is open, and the open block's indent.
+
+    A key goes from a line that begins one to the next that ends one; a block from a secret key's line to the next line
+    that is not indented more.  The key's delimiters and blank lines neither end a block nor are masked.
+    """
+    found = []
+    for kind, own in zip(kinds, indents, strict=True):
+        state = KEPT
+        if kind == BEGIN:
+            key = True
+        elif kind == END and key:
+            key = False
+        elif kind == BLANK:
+            pass
+        elif indent is not None and own > indent:
+            state = IN_BLOCK
+        else:
+            indent = own if kind == START else None
+            state = IN_KEY if key else ALONE
+        found.append(state)
+    return found, key, indent
+
+
+def line_masked(line: Column, state: Column, as_json: Column) -> Column:
+    """``line`` masked as its state says; ``as_json``: the line with JSON values masked, null where there are none."""
+    hidden = F.concat(F.regexp_extract(line, r"^(\s*)", 1), F.lit(MASK))
+    return F.when(state == KEPT, line).when(state.isin(IN_BLOCK, IN_KEY), hidden).otherwise(_line_masked(line, as_json))
 
 
-def _inside(spans: Column, k: Column) -> Column:
-    return F.exists(spans, lambda s: (s["a"] < k) & (k < s["b"]))
+@arrow_function("array<int>")
+def _states(kinds: pd.Series, indents: pd.Series) -> pd.Series:
+    return kinds.combine(indents, lambda a, b: None if a is None else scan(a.tolist(), b.tolist())[0])
+
+
+def _let(value: Column, then) -> Column:
+    """``then(value)``, with ``value`` computed once for a row."""
+    return F.element_at(F.transform(F.array(value), then), 1)
 
 
 def _whole(text: Column) -> Column:
@@ -171,15 +222,19 @@ def _whole(text: Column) -> Column:
 def redacted(text: Column | str) -> Column:
     """Struct ``text``, ``redacted``: the masked text (lines joined by line feeds), and how many lines were masked.
 
-    A text masked as JSON counts once for that.  Null text: null and 0.
+    A text masked as JSON counts once for that.  Null text: null and 0.  Time is linear in the text.
     """
     text = F.col(text) if isinstance(text, str) else text
-    as_json = _json_masked(F.when(text.rlike(r"^\s*[{\[]") & _whole(text), text))
+    as_json = whole_json_masked(text)
     whole = F.coalesce(as_json, text)
     lines = F.split(whole, r"\r?\n", -1)
     of_lines = _json_lines_masked(F.when(_whole(whole), F.transform(lines, lambda x: F.when(_whole(x), x))))
-    given = F.struct(lines.alias("lines"), of_lines.alias("json"), as_json.isNotNull().cast("long").alias("n"))
-    return F.when(text.isNotNull(), _let(given, _with_keys)).otherwise(F.struct(F.lit(None).cast("string").alias("text"), F.lit(0).cast("long").alias("redacted")))
+    opens = whole.rlike(_MAYBE_OPENS)
+    states = _states(F.when(opens, F.transform(lines, line_kind)), F.when(opens, F.transform(lines, line_indent)))
+    given = F.struct(lines.alias("lines"), of_lines.alias("json"), states.alias("states"), as_json.isNotNull().cast("long").alias("n"))
+    none = lambda x: F.struct(x.alias("text"), F.lit(0).cast("long").alias("redacted"))
+    plain = none(F.regexp_replace(text, r"\r\n", "\n"))
+    return F.when(text.isNull(), none(F.lit(None).cast("string"))).when(as_json.isNull() & ~opens & ~text.rlike(_MAYBE_PAIR), plain).otherwise(_let(given, _masked))
 
 
 def masked(rows: DataFrame, text_col: str = "text") -> DataFrame:
@@ -187,46 +242,13 @@ def masked(rows: DataFrame, text_col: str = "text") -> DataFrame:
     return rows.select("*", F.explode(F.array(redacted(F.col(text_col)))).alias("_r"))
 
 
-def _with_keys(given: Column) -> Column:
-    """Adds the spans of private keys: each from a line that begins one to the next that ends one, or to the end."""
-    ends = _where(given["lines"], lambda x: x.rlike(KEY_END))
-    begins = _where(given["lines"], lambda x: x.rlike(KEY_BEGIN))
-
-    def spanned(places):
-        end = lambda k: F.coalesce(F.array_min(F.filter(places["ends"], lambda e: e > k)), F.size(given["lines"]))
-        return F.transform(places["begins"], lambda k: F.struct(k.alias("a"), end(k).alias("b")))
-
-    return _let(_let(F.struct(begins.alias("begins"), ends.alias("ends")), spanned), lambda keys: _with_blocks(given, keys))
-
-
-def _with_blocks(given: Column, keys: Column) -> Column:
-    """Adds the spans of YAML blocks: each from a secret key's line to the next line that is not indented more."""
-    lines = given["lines"]
-    starts = _where(lines, lambda x: x.rlike(_BLOCK) & _secret(F.regexp_extract(x, _BLOCK, 1)))
-    edge = lambda k: F.exists(keys, lambda s: (s["a"] == k) | (s["b"] == k))
-    indents = F.transform(lines, lambda x, k: F.when((F.trim(x) != "") & ~x.rlike(r"^\s*$") & ~edge(k), _indent(x)))
-
-    def spanned(found):
-        after = lambda k: F.sequence(k + 1, F.size(lines))  # noqa: E731  the last one is past the end
-        ends = lambda k: F.array_min(F.filter(after(k), lambda e: F.coalesce(F.get(found["indents"], e) <= F.get(found["indents"], k), e == F.size(lines))))
-        return F.transform(found["starts"], lambda k: F.struct(k.alias("a"), ends(k).alias("b")))
-
-    none = F.array().cast("array<struct<a:int,b:int>>")
-    spans = _let(F.struct(starts.alias("starts"), indents.alias("indents")), spanned)
-    blocks = F.when(F.exists(lines, lambda x: x.rlike(_BLOCK)), spans).otherwise(none)
-    return _let(blocks, lambda blocks: _masked(given, keys, blocks))
-
-
-def _masked(given: Column, keys: Column, blocks: Column) -> Column:
+def _masked(given: Column) -> Column:
     def line(x, k):
-        hidden = F.concat(F.regexp_extract(x, r"^(\s*)", 1), F.lit(MASK))
-        blank, edge = x.rlike(r"^\s*$"), F.exists(keys, lambda s: (s["a"] == k) | (s["b"] == k))
-        in_block, in_key = _inside(blocks, k), _inside(keys, k)
-        text = F.when(blank | edge, x).when(in_block | in_key, hidden).otherwise(_line_masked(x, F.get(given["json"], k)))
-        return F.struct(text.alias("text"), (~blank & ~edge & in_block).alias("block"), x.alias("was"))
+        state = F.coalesce(F.get(given["states"], k), F.lit(ALONE))
+        text = line_masked(x, state, F.get(given["json"], k))
+        return F.struct(text.alias("text"), ((state == IN_BLOCK) | (text != x)).alias("counts"))
 
     def joined(out):
-        counted = F.filter(out, lambda x: x["block"] | (x["text"] != x["was"]))
-        return F.struct(F.array_join(F.transform(out, lambda x: x["text"]), "\n").alias("text"), (given["n"] + F.size(counted)).alias("redacted"))
+        return F.struct(F.array_join(F.transform(out, lambda x: x["text"]), "\n").alias("text"), (given["n"] + F.size(F.filter(out, lambda x: x["counts"]))).alias("redacted"))
 
     return _let(F.transform(given["lines"], line), joined)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quarrystone.functions import detection, names, redaction
 from quarrystone.functions.redaction import masked
-from quarrystone.operators import paging, sessions, store
+from quarrystone.operators import masking, paging, sessions, store
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -290,12 +290,54 @@ _LEAD = rf"^(\s*(?:(?:export|set)\s+)*{_KEY}\s*[:=]\s*)".replace("'", "''")
 _QUOTE = "regexp_extract(substr(x, length(lead) + 1), '^[\"'']')"
 
 
-@query(
-    rf"""WITH l AS (SELECT doc_id, generate_subscripts(string_split_regex(text, '\r?\n'), 1) AS n, unnest(string_split_regex(text, '\r?\n')) AS x FROM documents),
+_MASKED_LINES = rf"""l AS (SELECT doc_id, generate_subscripts(string_split_regex(coalesce(text, ''), '\r?\n'), 1) AS n, unnest(string_split_regex(coalesce(text, ''), '\r?\n')) AS x FROM documents),
 k AS (SELECT *, regexp_extract(x, '{_LEAD}', 1) AS lead, regexp_replace(regexp_extract(x, '{_LEAD}', 2), '^["'']|["'']$', '', 'g') AS key FROM l),
-m AS (SELECT *, CASE WHEN lead <> '' AND (regexp_matches(key, '{redaction.SECRET}') OR regexp_matches(key, '{redaction.SECRET_CAMEL}')) THEN lead || {_QUOTE} || '[REDACTED]' || {_QUOTE} ELSE x END AS y FROM k)
-SELECT doc_id, string_agg(y, chr(10) ORDER BY n) AS text, count(*) FILTER (y <> x) AS redacted FROM m GROUP BY doc_id"""
+m AS (SELECT *, CASE WHEN lead <> '' AND (regexp_matches(key, '{redaction.SECRET}') OR regexp_matches(key, '{redaction.SECRET_CAMEL}')) THEN lead || {_QUOTE} || '[REDACTED]' || {_QUOTE} ELSE x END AS y FROM k)"""
+MASKED_DOCUMENTS = f"""{_MASKED_LINES}, r AS (SELECT doc_id, string_agg(y, chr(10) ORDER BY n) AS text, count(*) FILTER (y <> x) AS redacted FROM m GROUP BY doc_id)"""
+
+
+@query(f"WITH {_MASKED_LINES} SELECT doc_id, n::BIGINT AS line_no, y AS line, (y <> x)::BIGINT AS counts FROM m")
+def redact_lines(spark, sf_dir):
+    """Documents as lines that may leave the engine, scanned in segments of three lines."""
+    return masking.redacted_lines(_table(spark, sf_dir, "documents"), segment=3)
+
+
+#: Parts of a size as a document whose lines open and close keys and blocks in many orders.
+_LINES = [
+    ("-----BEGIN PRIVATE KEY-----", False, 1),
+    ("-----END PRIVATE KEY-----", False, 2),
+    ("-----END PRIVATE KEY-----", False, 2),
+    ("password: |", True, 4),
+    ("", False, 3),
+    ("token: >", True, 4),
+    ("api_key = x", True, 0),
+]
+_FOLD = """list_reduce(list_prepend({'k': 0, 'i': 0, 'key': false, 'open': -1, 'st': 0}, own[1:n]), lambda a, x: {'k': x.k, 'i': x.i,
+  'key': CASE WHEN x.k = 1 THEN true WHEN x.k = 2 THEN false ELSE a.key END,
+  'open': CASE WHEN x.k IN (1, 3) OR (x.k = 2 AND a.key) OR (a.open >= 0 AND x.i > a.open) THEN a.open WHEN x.k = 4 THEN x.i ELSE -1 END,
+  'st': CASE WHEN x.k IN (1, 3) OR (x.k = 2 AND a.key) THEN 3 WHEN a.open >= 0 AND x.i > a.open THEN 1 WHEN a.key THEN 2 ELSE 0 END})"""
+
+
+@query(
+    f"""WITH c AS (SELECT p_size, p_partkey, p_name, p_partkey * 7 % 11 AS c, p_partkey // 3 % 5 AS d FROM part),
+l AS (SELECT p_size, p_partkey, CASE c {' '.join(f"WHEN {k} THEN {'0' if not d else 'd'}" for k, (_, d, _) in enumerate(_LINES))} ELSE d END AS i,
+  CASE c {' '.join(f"WHEN {k} THEN '{x}'" for k, (x, _, _) in enumerate(_LINES))} ELSE p_name END AS x, CASE c {' '.join(f"WHEN {k} THEN {kind}" for k, (_, _, kind) in enumerate(_LINES))} ELSE 0 END AS k FROM c),
+o AS (SELECT p_size, list({{'k': k, 'i': i::INT, 'key': false, 'open': -1, 'st': 0}} ORDER BY p_partkey) AS own, list(p_partkey ORDER BY p_partkey) AS ids, list(x ORDER BY p_partkey) AS xs FROM l GROUP BY p_size),
+s AS (SELECT p_size, ids[n] AS p_partkey, xs[n] AS x, own[n].i AS i, {_FOLD}.st AS st FROM (SELECT *, unnest(range(1, len(ids) + 1)) AS n FROM o)),
+m AS (SELECT *, repeat(' ', i) || x AS was, repeat(' ', i) || CASE WHEN st IN (1, 2) THEN '[REDACTED]' WHEN st = 0 THEN regexp_replace(x, '^(password: |token: |api_key = ).*$', '\\1[REDACTED]') ELSE x END AS masked FROM s)
+SELECT p_size, p_partkey, masked, st = 1 OR masked <> was AS counts FROM m"""
 )
+def mask_segments(spark, sf_dir):
+    """Fifty documents with a line for each part, scanned in segments of some lines: keys and blocks open over many segments."""
+    case, deep = F.col("p_partkey") * 7 % 11, F.floor(F.col("p_partkey") / 3) % 5
+    line = F.concat(F.repeat(F.lit(" "), deep.cast("int")), "p_name")
+    for k, (x, indented, _) in enumerate(_LINES):
+        line = F.when(case == k, F.concat(F.repeat(F.lit(" "), deep.cast("int")), F.lit(x)) if indented else F.lit(x)).otherwise(line)
+    rows = _table(spark, sf_dir, "part").select("p_size", "p_partkey", line.alias("line"))
+    return masking.mask_lines(rows, "p_size", "p_partkey", "line", segment=200).select("p_size", "p_partkey", "masked", "counts")
+
+
+@query(f"WITH {MASKED_DOCUMENTS} SELECT * FROM r")
 def redact_documents(spark, sf_dir):
     """Documents as they may leave the engine."""
     return _masked(_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
