@@ -7,13 +7,14 @@ from __future__ import annotations
 
 from uuid import uuid4
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrystone.functions import detection, names
-from quarrystone.operators import archives, paging, store, uploads
+from quarrystone.operators import archive_scan, archives, paging, store, uploads
 from quarrystone.plans import lifecycle
 from quarrystone.queries import MASKED_DOCUMENTS, _ATT, ORACLES, _as_attachments, _attachments, _known, _table, query
-from quarrystone.sources import readers
+from quarrystone.sources import ranges, readers
 from quarrystone.sources.packages import escaped, packed
 from quarrystone.streaming.announce import announce_stream, batches_stream, stream_folder
 
@@ -303,6 +304,65 @@ def governed_lines(spark, sf_dir):
     return found.join(refs.select("id", "doc_id"), "id").select("doc_id", "text", "has_more", "redacted")
 
 
+# Files on disk.
+
+
+def _on_disk(spark, rows: DataFrame) -> str:
+    """A shared folder with a file for each row (``name``, ``content``)."""
+    folder = f"{stream_folder(spark)}/{uuid4().hex}"
+    ranges.write_files(rows, folder)
+    return folder
+
+
+def _id_of(path: str = "path"):
+    return F.regexp_extract(path, r"/(\d+)\.[a-z]+$", 1).cast("long")
+
+
+@query("""WITH f AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages), p AS (SELECT *, unnest(range(0, octet_length(b), 1000)) AS o FROM f)
+SELECT page_id, o AS "offset", least(1000, octet_length(b) - o) AS length, octet_length(b) AS size, lower(hex(array_slice(b, o + 1, least(o + 1000, octet_length(b))))) AS bytes FROM p WHERE o >= 2000""")
+def ranged_windows(spark, sf_dir):
+    """Pages as files, read in windows of 1,000 bytes from byte 2,000 on: no range before that is opened."""
+    folder = _on_disk(spark, _table(spark, sf_dir, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("name"), F.coalesce("html", F.lit("")).alias("content")))
+    found = ranges.read_ranges(spark, folder, window=1000).filter("offset >= 2000")
+    return found.select(_id_of().alias("page_id"), "offset", "length", "size", F.lower(F.hex("content")).alias("bytes"))
+
+
+def _packages(spark, sf_dir) -> DataFrame:
+    """Pages as archives on disk; of five, one is of the 64-bit format, one split, and one cut short."""
+    html, case = F.coalesce("html", F.lit("")), F.col("id") % 5
+    wide = packed({"docs/url.txt": F.col("url")}, wide=True)
+    plain = _archives(spark, sf_dir).withColumnRenamed("content", "_plain").join(_table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), wide.alias("_wide"), html.alias("_html")), "id")
+    end = F.octet_length("_plain") - 22  # packages have no comment
+    split = F.concat(F.substring("_plain", F.lit(1), end + 4), F.lit(b"\x01\x00"), F.substring("_plain", end + 7, F.lit(16)))
+    content = F.when(case == 1, F.col("_wide")).when(case == 2, split).when(case == 3, F.substring("_plain", F.lit(1), end + 10)).otherwise(F.col("_plain"))
+    return plain.select(F.concat(F.col("id").cast("string"), F.lit(".zip")).alias("name"), content.alias("content"))
+
+
+@query(r"""WITH e AS (SELECT page_id, unnest([{'n': 0, 'p': 'docs/url.txt', 't': url, 'r': true}, {'n': 1, 'p': 'docs/page.html', 't': coalesce(html, ''), 'r': true}, {'n': 2, 'p': NULL, 't': NULL, 'r': false},
+  {'n': 3, 'p': 'notes/b.txt', 't': 'token = abc' || chr(10) || 'plain', 'r': true}, {'n': 4, 'p': 'docs/a.txt', 't': 'even', 'r': true}]) AS x FROM pages WHERE page_id % 5 IN (0, 4))
+SELECT page_id, x.n::BIGINT AS entry_no, x.p AS path, x.t AS text, CASE WHEN NOT x.r THEN 'ARCHIVE_PATH_REJECTED' END AS error_code FROM e WHERE x.n < 4 OR page_id % 2 = 0
+UNION ALL SELECT page_id, NULL, NULL, NULL, 'CORRUPT_FILE' FROM pages WHERE page_id % 5 IN (1, 2, 3)""")
+def archive_scan_entries(spark, sf_dir):
+    """Archives on disk: directories from their tails, every entry by its range, refusals as rows."""
+    files = ranges.read_ranges(spark, _on_disk(spark, _packages(spark, sf_dir))).select("path", "size")
+    entries = archive_scan.directories(files).cache()
+    read = archive_scan.read_entries(entries).select(_id_of().alias("page_id"), "entry_no", F.col("name").alias("path"), F.col("content").cast("string").alias("text"), "error_code")
+    return read.unionByName(entries.filter("entry_no IS NULL").select(_id_of().alias("page_id"), "entry_no", "error_code"), allowMissingColumns=True)
+
+
+@query("""SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'docx' WHEN 1 THEN 'odt' ELSE 'zip' END AS kind, page_id % 3 < 2 AS readable, page_id % 3 < 2 AS mismatch FROM pages""")
+def ranged_detection(spark, sf_dir):
+    """Packages on disk named .zip, by head and directory: their true kinds, without their contents."""
+    html, case = F.coalesce("html", F.lit("")), F.col("page_id") % 3
+    docx = packed({"big.bin": html, "[Content_Types].xml": F.lit("<Types/>"), "word/document.xml": html})
+    odt = packed({"mimetype": F.lit("application/vnd.oasis.opendocument.text"), "content.xml": html}, stored=True)
+    other = packed({"a.html": html})
+    pages = _table(spark, sf_dir, "pages").select("page_id", F.when(case == 0, docx).when(case == 1, odt).otherwise(other).alias("content"))
+    folder = _on_disk(spark, pages.select(F.concat(F.col("page_id").cast("string"), F.lit(".zip")).alias("name"), "content"))
+    files = ranges.read_ranges(spark, folder).select("path", "size", F.substring_index("path", "/", -1).alias("name"), F.lit("").alias("declared_mime"))
+    return ranges.detect_files(files).select(_id_of().alias("page_id"), "detected.kind", "detected.readable", "detected.mismatch")
+
+
 # Streams.
 
 

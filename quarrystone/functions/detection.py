@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrystone.functions import zips
 from quarrystone.functions.arrow import arrow_function
 from quarrystone.functions.names import extension, sanitize_filename, utf8_prefix
 from quarrystone.limits import LIMITS
@@ -144,24 +145,20 @@ def mismatch(name: Column, declared_mime: Column, kind: Column, mime: Column) ->
 
 # Bytes.
 
-#: The record that ends a zip's directory, with the longest comment.
-ZIP_END = 22 + 65_535
-
 
 def signature(head: bytes) -> tuple[str, str] | None:
     return next(((ext, mime) for at, mark, ext, mime in SIGNATURES if head[at : at + len(mark)] == mark), None)
 
 
 def zip_entries(data: bytes) -> list[zipfile.ZipInfo] | None:
-    """The entries of a zip's directory, or None where it is damaged, split, too long or has too many."""
-    if len(data) > LIMITS.archive_bytes:
+    """The entries of a zip's directory, or None where it is damaged, split, of the 64-bit format, too long or has too many."""
+    if zips.directory(zips.of_bytes(data), len(data)) is None:
         return None
     try:
         with zipfile.ZipFile(io.BytesIO(data)) as archive:
-            found, directory = archive.infolist(), len(data) - archive.start_dir
+            return archive.infolist()
     except (zipfile.BadZipFile, NotImplementedError, ValueError, struct.error, OverflowError, UnicodeDecodeError):
         return None
-    return found if len(found) <= LIMITS.archive_entries and directory <= LIMITS.zip_directory_bytes + ZIP_END else None
 
 
 def entry_name(info: zipfile.ZipInfo) -> str:
@@ -175,46 +172,54 @@ def entry_name(info: zipfile.ZipInfo) -> str:
         return info.filename
 
 
-def _container(data: bytes) -> tuple | None:
-    entries = zip_entries(data)
+def _container(read: zips.ReadAt, size: int) -> tuple | None:
+    entries = zips.directory(read, size)
     if entries is None:
         return None
-    names = {entry_name(x): x for x in entries}
+    names = {x.name: x for x in reversed(entries)}
     if "[Content_Types].xml" in names:
         for part, (kind, mime) in OPEN_XML.items():
             if part in names:
                 return "document", kind, mime, None, "high", True
-    info = names.get("mimetype")
-    if info is None or max(info.compress_size, info.file_size) > LIMITS.mimetype_bytes:
-        return None
-    try:
-        with zipfile.ZipFile(io.BytesIO(data)) as archive:
-            mime = archive.read(info).decode()
-    except (zipfile.BadZipFile, NotImplementedError, zlib.error, UnicodeDecodeError, RuntimeError, EOFError):
+    own = names.get("mimetype")
+    if own is None or max(own.compressed, own.size) > LIMITS.mimetype_bytes:
         return None
+    content, code = zips.payload(read, size, own.offset, own.method, own.flags, own.crc, own.compressed, LIMITS.mimetype_bytes)
+    mime = content.decode("utf-8", "replace") if code is None else None
     return ("document", PACKAGES[mime], mime, None, "high", True) if mime in PACKAGES else None
 
 
-def compound_names(data: bytes) -> list[str]:
-    """Stream names of a compound file, from its directory sectors; empty where it is damaged."""
+def compound_names(read: zips.ReadAt) -> list[str]:
+    """Stream names of a compound file, from its directory sectors; empty where it is damaged.  Only the table's and directory's sectors are read."""
     try:
-        shift, start = struct.unpack_from("<H", data, 30)[0], struct.unpack_from("<I", data, 48)[0]
-        size, names, seen = 1 << shift, [], set()
-        table = [x for sector in struct.unpack_from("<109I", data, 76) if sector < 0xFFFFFFFA for x in struct.unpack_from(f"<{size // 4}I", data, (sector + 1) * size)]
+        head = read(0, 512)
+        shift, start = struct.unpack_from("<H", head, 30)[0], struct.unpack_from("<I", head, 48)[0]
+        if not 7 <= shift <= 16:
+            return []
+        size, names, seen, tables = 1 << shift, [], set(), struct.unpack_from("<109I", head, 76)
+        parts = {}
+
+        def following(sector: int) -> int:
+            table = tables[sector * 4 // size]
+            if table not in parts:
+                parts[table] = struct.unpack(f"<{size // 4}I", read((table + 1) * size, size))
+            return parts[table][sector % (size // 4)]
+
         while start < 0xFFFFFFFA and start not in seen:
             seen.add(start)
-            for at in range((start + 1) * size, (start + 2) * size, 128):
-                length = struct.unpack_from("<H", data, at + 64)[0]
+            sector = read((start + 1) * size, size)
+            for at in range(0, size, 128):
+                length = struct.unpack_from("<H", sector, at + 64)[0]
                 if 2 <= length <= 64:
-                    names.append(data[at : at + length - 2].decode("utf-16-le", "replace"))
-            start = table[start]
-    except (struct.error, IndexError, MemoryError):
+                    names.append(sector[at : at + length - 2].decode("utf-16-le", "replace"))
+            start = following(start)
+    except (struct.error, IndexError):
         return []
     return names
 
 
-def _compound(data: bytes) -> tuple | None:
-    names = [x.lower() for x in compound_names(data)]
+def _compound(read: zips.ReadAt) -> tuple | None:
+    names = [x.lower() for x in compound_names(read)]
     if any("worddocument" in x for x in names):
         return "document", "doc", "application/msword", None, "high", True
     if any("workbook" in x or x == "book" for x in names):
@@ -257,14 +262,17 @@ def decode_text(head: bytes, cut: bool = False) -> tuple[str, str] | None:
     return None
 
 
-def _from_bytes(data: bytes) -> tuple[tuple | None, str | None, str | None]:
-    """(detected, text, encoding): of a file that is no text, or the text to classify."""
-    head = data[: LIMITS.head_bytes]
+def look(read: zips.ReadAt, size: int) -> tuple[tuple | None, str | None, str | None]:
+    """(detected, text, encoding): of a file that is no text, or the text to classify.
+
+    Reads the head, and of packages and compound files their directories and the entry that names the type.
+    """
+    head = read(0, LIMITS.head_bytes)
     marked = head[:3] == b"\xef\xbb\xbf" or head[:2] in (b"\xff\xfe", b"\xfe\xff")
     found = None if marked else signature(head)
     if found:
         ext, mime = found
-        special = _container(data) if ext == "zip" else _compound(data) if ext == "cfb" else None
+        special = _container(read, size) if ext == "zip" else _compound(read) if ext == "cfb" else None
         if special:
             return special, None, None
         if ext in ("pdf", "rtf"):
@@ -276,7 +284,7 @@ def _from_bytes(data: bytes) -> tuple[tuple | None, str | None, str | None]:
         return ("binary", "executable" if ext in ("elf", "exe") else ext, mime, None, "high", False), None, None
     if not head:
         return ("unknown", "unknown", "application/octet-stream", None, "low", False), None, None
-    decoded = decode_text(head, len(data) > len(head))
+    decoded = decode_text(head, size > len(head))
     if decoded is None:
         return ("binary", "unknown-binary", "application/octet-stream", None, "low", False), None, None
     return None, *decoded
@@ -285,12 +293,25 @@ def _from_bytes(data: bytes) -> tuple[tuple | None, str | None, str | None]:
 def detect(files: DataFrame, name_col: str = "name", mime_col: str = "declared_mime", content_col: str = "content") -> DataFrame:
     """``files`` with ``safe_name`` and ``detected``: family, kind, mime, encoding, confidence, readable, mismatch, risks."""
 
-    @F.pandas_udf(f"found struct<{DETECTED.replace(' ', ':').replace(',:', ',')}>, text string, encoding string")
+    @F.pandas_udf(LOOKED)
     def looked(content: pd.Series) -> pd.DataFrame:
-        rows = [_from_bytes(bytes(x) if x is not None else b"") for x in content]
-        return pd.DataFrame({"found": [dict(zip(("family", "kind", "mime", "encoding", "confidence", "readable"), r[0], strict=True)) if r[0] else None for r in rows], "text": [r[1] for r in rows], "encoding": [r[2] for r in rows]})
+        rows = [bytes(x) if x is not None else b"" for x in content]
+        return looked_frame([look(zips.of_bytes(x), len(x)) for x in rows])
+
+    return classified(files.withColumn("_looked", looked(F.col(content_col))), name_col, mime_col)
+
+
+LOOKED = f"found struct<{DETECTED.replace(' ', ':').replace(',:', ',')}>, text string, encoding string"
+
+
+def looked_frame(rows: list[tuple]) -> pd.DataFrame:
+    names = ("family", "kind", "mime", "encoding", "confidence", "readable")
+    return pd.DataFrame({"found": [dict(zip(names, r[0], strict=True)) if r[0] else None for r in rows], "text": [r[1] for r in rows], "encoding": [r[2] for r in rows]})
+
 
-    named = files.withColumn("safe_name", sanitize_filename(F.coalesce(name_col, F.lit("")))).withColumn("_looked", looked(F.col(content_col)))
+def classified(files: DataFrame, name_col: str = "name", mime_col: str = "declared_mime") -> DataFrame:
+    """``files`` with what ``look`` has found (``_looked``) put together with names and declared types."""
+    named = files.withColumn("safe_name", sanitize_filename(F.coalesce(name_col, F.lit(""))))
     kind = text_kind(F.col("safe_name"), F.col("_looked.text"))
     named = named.withColumn("_kind", F.when(F.col("_looked.text").isNotNull(), kind))
     of_text = F.struct(F.lit("text").alias("family"), F.col("_kind").alias("kind"), text_mime(F.col("_kind")).alias("mime"), F.col("_looked.encoding").alias("encoding"), F.lit("medium").alias("confidence"), F.lit(True).alias("readable"))

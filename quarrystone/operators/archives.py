@@ -1,7 +1,7 @@
 """Archives: entries as rows, listings with cursors, extraction of regular entries.
 
 zip and tar (plain, gzip, bzip2, xz) are read from the bytes in the row; other formats have an error code.  Unsafe paths
-are left out of listings and refused on extraction, and what is inflated is counted while it is inflated.
+are left out of listings, whose limit counts what is left, and refused on extraction, and what is inflated is counted while it is inflated.
 """
 
 from __future__ import annotations
@@ -35,12 +35,7 @@ def list_entries(data: bytes) -> list[tuple] | None:
         return [(k, entry_name(x), regular(x), x.compress_size, x.file_size) for k, x in enumerate(found)]
     try:
         with tarfile.open(fileobj=io.BytesIO(data)) as archive:
-            out = []
-            for k, x in enumerate(archive):
-                if k >= LIMITS.archive_entries:
-                    break
-                out.append((k, x.name, x.isreg(), x.size, x.size))
-            return out
+            return [(k, x.name, x.isreg(), x.size, x.size) for k, x in enumerate(archive)]
     except _BROKEN:
         return None
 

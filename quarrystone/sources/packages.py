@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import io
+import struct
 import zipfile
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quarrystone.functions import zips
 
-def packed(parts: dict[str, Column], stored: bool = False) -> Column:
-    """A zip (binary) with one entry for each of ``parts`` that is not null: name and text.  Names come from the plan; times are fixed."""
+
+def packed(parts: dict[str, Column], stored: bool = False, wide: bool = False) -> Column:
+    """A zip (binary) with one entry for each of ``parts`` that is not null: name and text.  Names come from the plan; times are fixed.  ``wide``: its end is in the 64-bit format."""
     names = list(parts)
 
     @F.pandas_udf("binary")
@@ -22,13 +25,22 @@ def packed(parts: dict[str, Column], stored: bool = False) -> Column:
                 for name, text in zip(names, texts, strict=True):
                     if text is not None:
                         archive.writestr(zipfile.ZipInfo(name), text)
-            return out.getvalue()
+            return _widened(out.getvalue()) if wide else out.getvalue()
 
         return pd.Series([one(texts) for texts in zip(*columns, strict=True)])
 
     return written(*parts.values())
 
 
+def _widened(data: bytes) -> bytes:
+    """``data`` with an end in the 64-bit format before its end record, which then points there."""
+    *_, count, length, begin, _ = zips.END.unpack(data[-zips.END.size :])
+    at = len(data) - zips.END.size
+    end = struct.pack("<4sQ2H2I4Q", b"PK\6\6", 44, 45, 45, 0, 0, count, count, length, begin)
+    place = struct.pack("<4sIQI", b"PK\6\7", 0, at, 1)
+    return data[:at] + end + place + zips.END.pack(zips.END_SIGN, 0, 0, zips.FULL_16, zips.FULL_16, zips.FULL_32, zips.FULL_32, 0)
+
+
 def escaped(text: Column) -> Column:
     """``text`` as the content of an XML element."""
     for char, reference in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):

@@ -2,7 +2,8 @@ import struct
 
 import pytest
 
-from quarrystone.functions.detection import _from_bytes
+from quarrystone.functions import zips
+from quarrystone.functions.detection import look
 from quarrystone.sources import legacy
 
 
@@ -75,7 +76,7 @@ def document():
 @pytest.mark.parametrize("small", [False, True])
 def test_workbook(spark, small):
     data = compound({"Workbook": workbook()}, small)
-    assert _from_bytes(data)[0][1] == "xls"
+    assert look(zips.of_bytes(data), len(data))[0][1] == "xls"
     want = [("清单", 1, 1, "名称"), ("清单", 1, 2, "count"), ("清单", 2, 1, "router"), ("清单", 2, 2, "3"), ("清单", 3, 1, "1.5"), ("清单", 3, 3, "long " * 10), ("清单", 4, 1, "7"), ("清单", 4, 2, "8"), ("清单", 5, 1, "sum")]
     assert legacy.workbook_cells(data) == want
     rows = spark.createDataFrame([("a", bytearray(data)), ("b", bytearray(b"broken")), ("c", None)], "id string, content binary")
@@ -87,7 +88,7 @@ def test_workbook(spark, small):
 @pytest.mark.parametrize("small", [False, True])
 def test_document(spark, small):
     data = compound(document(), small)
-    assert _from_bytes(data)[0][1] == "doc"
+    assert look(zips.of_bytes(data), len(data))[0][1] == "doc"
     rows = spark.createDataFrame([("a", bytearray(data)), ("b", bytearray(b"x"))], "id string, content binary")
     got = {r.id: (r.paragraphs, r.error_code) for r in legacy.doc(rows).collect()}
     assert got == {"a": (["Title", "field 17 end", "中文"], None), "b": ([], "CORRUPT_FILE")}
