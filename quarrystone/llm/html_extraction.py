@@ -7,9 +7,14 @@ article are not deleted for being on many pages, as texts are quoted; containers
 are.
 
 What is boilerplate by its nature is deleted wherever it stands: menus, site headers, footers, sidebars, forms, scripts,
-styles, what is hidden, and elements whose class, id or role names them as adverts, notices, comments and the like.
-Only whole names count (``ad-slot``, ``cookie-notice``), not names that merely hold such a word (``social-science``,
-``notice-board``).  A header inside an article stays if it holds a headline.
+styles, what is hidden, and boxes that are named as adverts, notices, comments and the like.  Only whole names count
+(``ad-slot``, ``cookie-notice``), not names that merely hold such a word (``social-science``, ``notice-board``).
+
+* Classes and roles name boxes (divisions, sections, lists, tables), and paragraphs and list items outside an article.
+  Headlines, inline elements, and paragraphs and list items inside an article are never judged by their names.
+* An id alone names a box only if it is not made of the words of the box's first headline, as generators make ids.
+* A header inside an article stays if it holds a headline; outside, if it holds an h1 and no h1 stands outside headers.
+* An article whose class says comment or reply is a reader's comment, not the page's article.
 
 The counts are combined before the shuffle, so a host with a third of all pages is counted everywhere.  How many
 subtrees can be templates is bounded for each host: on at least a share of the pages, they are at most the elements of a
@@ -59,6 +64,10 @@ BESIDE = frozenset(
     "tag text thread title toolbar tools top unit user view warning web wrap wrapper wp zone".split()
 )
 HEADERS = frozenset(("header", "masthead"))
+COMMENTS = frozenset("comment comments commentlist disqus reply replies respond".split())
+#: What is judged by its names inside an article; outside, paragraphs and list items as well.
+BOXES = frozenset("div section ul ol dl table menu fieldset details center article".split())
+JUDGED = BOXES | {"p", "li", "dd", "dt", "td", "tr", "tbody", "figure", "blockquote", "pre", "address", "summary", "search"}
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _SPACE = "\t\n\f\r "
@@ -74,10 +83,16 @@ _BOUNDS = frozenset("td th table caption template".split())
 
 
 class Element:
-    __slots__ = ("tag", "name", "role", "hidden", "children", "hash", "headed")
+    __slots__ = ("tag", "classes", "ident", "role", "hidden", "children", "hash", "headline", "titled")
+
+    def __init__(self, tag: str, classes: str = "", ident: str = "", role: str = "", hidden: bool = False):
+        self.tag, self.classes, self.ident, self.role, self.hidden, self.children, self.hash = tag, classes, ident, role, hidden, [], b""
+        self.headline = None  # the beginning of the first headline's text
+        self.titled = False  # whether it is a header that holds the page's title
 
-    def __init__(self, tag: str, name: str = "", role: str = "", hidden: bool = False):
-        self.tag, self.name, self.role, self.hidden, self.children, self.hash, self.headed = tag, name, role, hidden, [], b"", tag in HEADLINES
+    @property
+    def name(self) -> str:
+        return f"{self.classes} {self.ident}".strip()
 
     def close(self) -> None:
         own = blake2b(f"{self.tag}\0{self.name}".encode("utf-8", "surrogatepass"), digest_size=8)
@@ -86,10 +101,25 @@ class Element:
                 own.update(b"\1" + " ".join(child.split()).encode("utf-8", "surrogatepass"))
             else:
                 own.update(b"\2" + child.hash)
-                self.headed = self.headed or child.headed
+                if self.headline is None:
+                    self.headline = child.headline
+        if self.tag in HEADLINES:
+            self.headline = beginning(self)
         self.hash = own.digest()
 
 
+def beginning(element: Element, most: int = 64) -> str:
+    """The text of the first of ``element``'s nodes."""
+    found, stack = [], [element]
+    while stack and most:
+        node, most = stack.pop(), most - 1
+        if isinstance(node, str):
+            found.append(node)
+        else:
+            stack.extend(reversed(node.children[:most]))
+    return "".join(found)
+
+
 def attributes(html: str, at: int) -> tuple[dict[str, str], bool, int]:
     """The attributes that begin at ``at``, whether the tag closes itself, and where it ends (-1: it never does)."""
     found: dict[str, str] = {}
@@ -192,7 +222,7 @@ def parse(html: str) -> Element:
             tree.close(*_CLOSES[tag])
         element = Element(tag)
         if named:
-            element.name = f"{named.get('class', '')} {named.get('id', '')}".strip()
+            element.classes, element.ident = named.get("class", "").strip(), named.get("id", "").strip()
             element.role = named.get("role", "").lower()
             element.hidden = "hidden" in named or bool(_HIDDEN.search(named.get("style", "")))
         tree.stack[-1].children.append(element)
@@ -210,25 +240,61 @@ def parse(html: str) -> Element:
         else:
             tree.push(element)
     tree.pop(0)
+    _mark_titles(tree.root)
     return tree.root
 
 
-def is_named(name: str, inside: bool = False) -> bool:
-    """Whether a class or id names boilerplate: one of its names is made of such words alone.  An article's header is none."""
-    names = NAMES - HEADERS if inside else NAMES
+def _mark_titles(root: Element) -> None:
+    """Marks the headers that hold an h1, unless one stands outside headers and so is the title."""
+    headers, stack = {}, [(root, None)]
+    while stack:
+        element, header = stack.pop()
+        for child in element.children:
+            if isinstance(child, Element) and child.headline is not None:
+                if child.tag == "h1":
+                    if header is None:
+                        return
+                    headers[id(header)] = header
+                elif header is None and (child.tag == "header" or child.tag in BOXES and is_named(child.classes, HEADERS)):
+                    stack.append((child, child))
+                    continue
+                stack.append((child, header))
+    for header in headers.values():
+        header.titled = True
+
+
+def is_named(name: str, words: frozenset[str] = NAMES) -> bool:
+    """Whether one of the names in a class or an id is made of boilerplate's words alone, one of ``words`` among them."""
     for own in name.split():
         parts = [x.lower() for x in _PARTS.findall(own)]
-        if any(x in names for x in parts) and all(x in NAMES or x in BESIDE or x.isdigit() for x in parts):
+        if any(x in words for x in parts) and all(x in NAMES or x in BESIDE or x.isdigit() for x in parts):
             return True
     return False
 
 
+def _says(ident: str, headline: str | None) -> bool:
+    """Whether an id is made of the words of a headline, but for a number at its end."""
+    words = lambda x: [w.lower() for w in re.findall(r"\w+", x.replace("_", " "))]
+    own, other = words(ident), words(headline or "")
+    return bool(other) and (own == other or own[:-1] == other and own[-1].isdigit())
+
+
 def is_boilerplate(element: Element, inside: bool = False) -> bool:
     """``inside``: in an article."""
-    if element.tag in BOILERPLATE and not (inside and element.tag == "header" and element.headed) or element.role in ROLES or element.hidden:
+    if element.role in ROLES or element.hidden:
+        return True
+    if element.tag == "header":
+        return not (element.titled or inside and element.headline is not None)
+    if element.tag in BOILERPLATE:
+        return True
+    if element.tag == "article":
+        return is_named(element.classes, COMMENTS)
+    if element.tag not in (BOXES if inside else JUDGED) or element.titled:
+        return False
+    words = NAMES - HEADERS if inside else NAMES
+    if element.classes and is_named(element.classes, words):
         return True
-    plain = ("html", "body", "main", "header") if inside else ("html", "body", "main", "article")
-    return bool(element.name) and element.tag not in plain and is_named(element.name, inside)
+    return bool(element.ident) and element.tag in BOXES and is_named(element.ident, words) and not _says(element.ident, element.headline)
 
 
 def _is_article(element: Element, kind: str) -> bool:
