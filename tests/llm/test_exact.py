@@ -1,4 +1,5 @@
 import hashlib
+import time
 import re
 import unicodedata
 
@@ -80,6 +81,26 @@ def test_fingerprint_cases(spark, empty):
     assert fingerprints.fingerprint_documents(again).count() == 3
 
 
+def test_places_give_what_quantiles_give(docs, monkeypatch):
+    want = sorted(map(tuple, fingerprints.fingerprint_documents(docs).collect()))
+    monkeypatch.setattr(fingerprints, "MOST_EDGES", 0)
+    assert sorted(map(tuple, fingerprints.fingerprint_documents(docs).collect())) == want
+
+
+def test_many_rows_without_ids_of_their_own(spark):
+    """Null and repeated ids beside distinct ones, nearly all with one text: every row has a next, in linear time."""
+    rows = [(None, "same text") for _ in range(4000)] + [(7, "same text") for _ in range(4000)] + [(k, "same text") for k in range(10, 3000)] + [(None, "other"), (7, "more"), (7, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    began = time.time()
+    found = fingerprints.fingerprint_documents(frame).collect()
+    assert time.time() - began < 60
+    assert len(found) == len(rows)
+    assert sum(r.near_next == 0 for r in found) in range(4, 7)  # around the three others
+    assert sum(r.edited_sha256 == hashlib.sha256(b"same tesa").hexdigest() for r in found) > 10_900
+    ids = [r.doc_id for r in found]
+    assert (ids.count(None), ids.count(7)) == (4001, 4002)
+
+
 def test_equal_hashes_are_told_apart(spark):
     rows = spark.createDataFrame([(k, t) for k, t in enumerate(["a", "b", "a"])], "k long, t string")
 
