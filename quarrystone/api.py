@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarrystone.functions import redaction
 from quarrystone.functions.redaction import redacted
+from quarrystone.limits import LIMITS, Limits
 from quarrystone.operators import paging, store
 from quarrystone.plans import lifecycle
 from quarrystone.sources import readers
@@ -40,15 +41,15 @@ class Attachments:
     def read(self, session: str, attachment_id: str, offset: int = 0, page: int | None = None, page_end: int | None = None, paragraph_offset: int | None = None, paragraph_limit: int | None = None, sheet: str | None = None, range: str | None = None, archive_path: str | None = None) -> DataFrame:
         """A window of the masked text: by byte, page, paragraph, cell range or archive entry, as the kind of file has it."""
         if archive_path:
-            return self.read_archive_entry(session, attachment_id, archive_path)
+            return self.read_archive_entry(session, attachment_id, archive_path, offset)
         if sheet or range:
             return self.read_cells(session, attachment_id, sheet, range)
         asked = {"offset": offset, "page": page, "page_end": page_end, "paragraph_offset": paragraph_offset, "paragraph_limit": paragraph_limit}
         rows = self._ask(session, attachment_id).withColumns({k: F.lit(v).cast("long") for k, v in asked.items()})
         return lifecycle.read_window(rows, self.refs, self.blobs, self.sessions)
 
-    def read_cells(self, session: str, attachment_id: str, sheet: str | None = None, cells: str | None = None) -> DataFrame:
-        """Rows of a sheet's range, masked."""
+    def read_cells(self, session: str, attachment_id: str, sheet: str | None = None, cells: str | None = None, limits: Limits = LIMITS) -> DataFrame:
+        """Rows of a sheet's range, masked: those that fit into a reply; ``next_row`` is the first that did not."""
         allowed = store.authorize(self._ask(session, attachment_id), self.refs, self.sessions).filter("error_code IS NULL")
         found = readers.xlsx(allowed.select("id", "sha256").join(self.blobs, "sha256"))
         found = found.filter(F.col("sheet") == sheet) if sheet else found
@@ -56,16 +57,20 @@ class Attachments:
         # The range is masked as a whole, so that what spans rows is caught; its rows are the lines of that.
         whole = rows.groupBy("id", "sheet").agg(F.array_sort(F.collect_list(F.struct("row_no", "text"))).alias("_rows"))
         lines = F.split(redacted(F.array_join(F.transform("_rows", lambda x: F.regexp_replace(x["text"], r"\r?\n", " ")), "\n"))["text"], "\n", -1)
-        made = whole.select("id", "sheet", "_rows", lines.alias("_masked"))
-        return made.select("id", "sheet", F.explode(F.transform("_rows", lambda x, k: F.struct(x["row_no"].alias("row_no"), F.get("_masked", k).alias("text")))).alias("_row")).select("id", "sheet", "_row.*")
+        window = paging.window_of(F.col("_masked"), 0, limits.page_lines, limits.page_lines, limits.page_bytes)
+        made = whole.select("id", "sheet", "_rows", lines.alias("_masked")).withColumn("_w", window)
+        row = lambda x, k: F.struct(x["row_no"].alias("row_no"), F.get("_masked", k).alias("text"))
+        kept = F.transform(F.slice("_rows", F.lit(1), F.col("_w.n").cast("int")), row)
+        following = F.get("_rows", F.col("_w.next_offset").cast("int"))["row_no"].alias("next_row")
+        return made.select("id", "sheet", F.explode_outer(kept).alias("_row"), following, F.col("_w.error_code").alias("error_code")).select("id", "sheet", "_row.*", "next_row", "error_code")
 
     def list_archive(self, session: str, attachment_id: str, prefix: str | None = None, cursor: int = 0, limit: int = 100) -> DataFrame:
         return lifecycle.list_archive(self._ask(session, attachment_id), self.refs, self.blobs, prefix, cursor, limit, self.sessions)
 
-    def read_archive_entry(self, session: str, attachment_id: str, path: str) -> DataFrame:
-        allowed = store.authorize(self._ask(session, attachment_id, archive_path=path), self.refs, self.sessions).filter("error_code IS NULL")
+    def read_archive_entry(self, session: str, attachment_id: str, path: str, offset: int = 0) -> DataFrame:
+        allowed = store.authorize(self._ask(session, attachment_id, archive_path=path, offset=offset), self.refs, self.sessions).filter("error_code IS NULL")
         held = allowed.select("id", "sha256").join(self.blobs, "sha256").select("id", "content")
-        return lifecycle.read_entries(allowed.select("id", "archive_path"), held)
+        return lifecycle.read_entries(allowed.select("id", "archive_path", "offset"), held)
 
 
 def register(spark: SparkSession) -> None:

@@ -5,13 +5,15 @@ Files are written from the tables' columns by Spark and read back by the engine'
 
 from __future__ import annotations
 
+from dataclasses import replace
 from uuid import uuid4
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrystone.functions import detection, names
-from quarrystone.operators import archive_scan, archives, paging, store, uploads
+from quarrystone.limits import LIMITS
+from quarrystone.operators import archive_scan, archives, line_index, paging, store, uploads
 from quarrystone.plans import lifecycle
 from quarrystone.queries import MASKED_DOCUMENTS, _ATT, ORACLES, _as_attachments, _attachments, _known, _table, query
 from quarrystone.sources import ranges, readers
@@ -363,6 +365,51 @@ def ranged_detection(spark, sf_dir):
     return ranges.detect_files(files).select(_id_of().alias("page_id"), "detected.kind", "detected.readable", "detected.mismatch")
 
 
+@query(r"""WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x, unnest([1, 2, 3, 9]) AS page FROM documents), p AS (SELECT *, array_to_string(x[page * 4 - 3:page * 4], chr(10)) AS t, len(x) > page * 4 AS more, len(x) > page * 4 - 4 AS there FROM l),
+c AS (SELECT *, string_split(t, chr(10)) AS y FROM p),
+f AS (SELECT *, coalesce(list_max(list_filter(range(1, len(y) + 1), lambda k: strlen(array_to_string(y[1:k], chr(10))) + 1 <= 600)), 0) AS k, strlen(t) + CASE WHEN more THEN 1 ELSE 0 END > 600 AS over FROM c)
+SELECT doc_id, page, CASE WHEN NOT over THEN t WHEN k > 0 THEN array_to_string(y[1:k], chr(10)) ELSE coalesce(try(decode(array_slice(encode(t), 1, 600))), try(decode(array_slice(encode(t), 1, 599))), try(decode(array_slice(encode(t), 1, 598))), try(decode(array_slice(encode(t), 1, 597)))) END AS text, more OR over AS has_more, NULL AS error_code FROM f WHERE there
+UNION ALL SELECT doc_id, page, NULL, NULL, 'PAGE_OUT_OF_RANGE' FROM f WHERE NOT there""")
+def indexed_pages(spark, sf_dir):
+    """Pages of four lines of documents on disk by an index of lines, each read by one seek, within 600 bytes."""
+    docs = _documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    folder = _on_disk(spark, docs.select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), "content"))
+    files = ranges.read_ranges(spark, folder).select("path", "size", _id_of().alias("doc_id")).join(docs.select("doc_id", F.sha2(F.concat(F.col("doc_id").cast("string").cast("binary"), "content"), 256).alias("sha256")), "doc_id")
+    index = line_index.build(files, every=4, window=1000).cache()
+    asked = files.select("doc_id", "sha256", F.explode(F.array(*map(F.lit, (1, 2, 3, 9))).cast("array<long>")).alias("page"))
+    return line_index.read_pages(asked, index, most_bytes=600).select("doc_id", F.col("page").cast("int").alias("page"), "text", "has_more", "error_code")
+
+
+_WINDOW_LINES = "o AS (SELECT o_custkey, list(o_orderkey || ' of ' || o_orderstatus || repeat('x', (o_orderkey % 40)::INT) ORDER BY o_orderkey) AS l FROM orders GROUP BY o_custkey)"
+
+
+@query(f"""WITH {_WINDOW_LINES},
+d AS (SELECT o_custkey, 'docx' AS kind, l, o_custkey % 4 AS b, least(5, greatest(len(l) - o_custkey % 4, 0)) AS n FROM o WHERE o_custkey % 3 = 0
+  UNION ALL SELECT o_custkey, 'pptx', l, least(greatest(o_custkey % 7, 1), len(l)) - 1, 1 FROM o WHERE o_custkey % 3 = 1),
+k AS (SELECT *, coalesce(list_max(list_filter(range(1, n + 1), lambda k: strlen(array_to_string(l[b + 1:b + k], chr(10))) <= 48)), 0) AS k FROM d),
+t AS (SELECT o_custkey, array_to_string(l, chr(10)) AS x, o_custkey % 50 AS b FROM o WHERE o_custkey % 3 = 2),
+w AS (SELECT *, substr(x, b + 1, 48) AS c, b + 48 < length(x) AS rest FROM t),
+v AS (SELECT *, CASE WHEN NOT rest OR NOT contains(c, chr(10)) THEN c ELSE regexp_extract(c, '^([\\s\\S]*\\n)', 1) END AS own FROM w)
+SELECT o_custkey, kind, CASE WHEN k > 0 OR len(l) <= b THEN array_to_string(l[b + 1:b + k], chr(10)) END AS text, CASE WHEN k > 0 OR len(l) <= b THEN len(l) > b + k END AS has_more,
+  CASE WHEN k > 0 AND len(l) > b + k THEN b + k + CASE WHEN kind = 'pptx' THEN 1 ELSE 0 END END AS next, CASE WHEN k = 0 AND len(l) > b THEN 'PARSER_OUTPUT_LIMIT' END AS error_code FROM k
+UNION ALL SELECT o_custkey, 'text', own, b + length(own) < length(x), CASE WHEN b + length(own) < length(x) THEN b + length(own) END, NULL FROM v""".replace("\\\\", "\\"))
+def read_windows(spark, sf_dir):
+    """Customers' orders as files of three kinds, each read from a place of its own, within 48 bytes."""
+    line = F.concat(F.col("o_orderkey").cast("string"), F.lit(" of "), "o_orderstatus", F.repeat(F.lit("x"), (F.col("o_orderkey") % 40).cast("int")))
+    own = _table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("x")))), lambda s: s["x"]).alias("l"))
+    kind = F.element_at(F.array(F.lit("docx"), F.lit("pptx"), F.lit("text")), (F.col("o_custkey") % 3 + 1).cast("int"))
+    body = F.concat(F.lit("<w:document><w:body>"), F.array_join(F.transform("l", lambda x: F.concat(F.lit("<w:p><w:t>"), x, F.lit("</w:t></w:p>"))), ""), F.lit("</w:body></w:document>"))
+    slides = {f"ppt/slides/slide{k + 1}.xml": F.when(F.size("l") > k, F.concat(F.lit("<p:sp><a:t>"), F.get("l", F.lit(k)), F.lit("</a:t></p:sp>"))) for k in range(64)}  # no customer has more orders
+    content = F.when(kind == "docx", packed({"[Content_Types].xml": F.lit("<Types/>"), "word/document.xml": body})).when(kind == "pptx", packed({"ppt/presentation.xml": F.lit("<p/>")} | slides)).otherwise(F.array_join("l", "\n").cast("binary"))
+    files = store.hashed(own.select("o_custkey", kind.alias("kind"), content.alias("content")))
+    family = F.when(F.col("kind") == "text", "text").otherwise("document")
+    refs = files.select("o_custkey", F.concat(F.lit("att_"), F.md5(F.col("o_custkey").cast("string"))).alias("id"), F.lit("s").alias("owner_session_id"), "sha256", F.struct("kind", family.alias("family")).alias("detected"))
+    at = lambda x: x.cast("long")
+    asked = refs.select(F.lit("s").alias("session_id"), "id", at(F.col("o_custkey") % 50).alias("offset"), at(F.col("o_custkey") % 7).alias("page"), F.lit(None).cast("long").alias("page_end"), at(F.col("o_custkey") % 4).alias("paragraph_offset"), at(F.lit(5)).alias("paragraph_limit"))
+    found = lifecycle.read_window(asked, refs.drop("o_custkey"), store.new_blobs(files), limits=replace(LIMITS, page_bytes=48))
+    return found.join(refs.select("id", "o_custkey"), "id").select("o_custkey", "kind", "text", "has_more", "next", "error_code")
+
+
 # Streams.
 
 

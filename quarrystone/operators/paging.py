@@ -96,11 +96,39 @@ def cut_pages(data: bytes, most_lines: int, most_bytes: int):
         yield start, end, data[start:end].decode()
 
 
-def window_of(items: Column, offset: int = 0, limit: int = LIMITS.page_lines, most: int = LIMITS.page_lines) -> Column:
-    """Struct ``text, has_more, next_offset`` of ``limit`` items (paragraphs, rows) of an array from ``offset`` on."""
-    limit = max(1, min(limit, most))
-    more = F.size(items) > offset + limit
-    return F.struct(F.array_join(F.slice(items, offset + 1, limit), "\n").alias("text"), more.alias("has_more"), F.when(more, F.lit(offset + limit).cast("long")).alias("next_offset"))
+def fitting(items: Column, begin: Column, count: Column, sep: str = "\n", most_bytes: int = LIMITS.page_bytes) -> Column:
+    """How many items of an array, at most ``count`` from ``begin`` on, fit into ``most_bytes`` when joined.
+
+    The size grows with the number of items, so the largest number that fits is found by halving.
+    """
+    there = F.greatest(F.least(count.cast("int"), F.size(items) - begin.cast("int")), F.lit(0))
+    fits = lambda n: F.octet_length(F.array_join(F.slice(items, begin.cast("int") + 1, n), sep)) <= most_bytes
+
+    def halved(x, _):
+        middle = F.ceil((x["low"] + x["high"]) / 2).cast("int")
+        ok = fits(middle)
+        return F.struct(F.when(ok, middle).otherwise(x["low"]).alias("low"), F.when(ok, x["high"]).otherwise(middle - 1).alias("high"))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.greatest(F.ceil(F.log2(there + 1)).cast("int"), F.lit(1))), F.struct(F.lit(0).alias("low"), there.alias("high")), halved)
+    return F.when(fits(there), there).otherwise(found["low"])
+
+
+def window_of(items: Column, offset: Column | int = 0, limit: Column | int = LIMITS.page_lines, most: int = LIMITS.page_lines, most_bytes: int = LIMITS.page_bytes, sep: str = "\n") -> Column:
+    """Struct ``text, n, has_more, next_offset, error_code`` of ``limit`` items (paragraphs, rows, pages) of an array from ``offset`` on.
+
+    Fewer, if more would not fit into ``most_bytes``; where already the first does not, ``PARSER_OUTPUT_LIMIT``.
+    """
+    begin = F.greatest(F.lit(offset) if isinstance(offset, int) else offset, F.lit(0)).cast("int")
+    limit = F.least(F.greatest(F.lit(limit) if isinstance(limit, int) else limit, F.lit(1)), F.lit(most)).cast("int")
+
+    def window(x):
+        n, size = x["n"], F.size(items)
+        failed = (n == 0) & (size > begin)
+        more = size > begin + n
+        text = F.when(~failed, F.array_join(F.slice(items, begin + 1, n), sep))
+        return F.struct(text.alias("text"), n.cast("long").alias("n"), F.when(~failed, more).alias("has_more"), F.when(~failed & more, (begin + n).cast("long")).alias("next_offset"), F.when(failed, "PARSER_OUTPUT_LIMIT").alias("error_code"))
+
+    return F.element_at(F.transform(F.array(F.struct(fitting(items, begin, limit, sep, most_bytes).alias("n"))), window), 1)
 
 
 def cursor_page(rows: DataFrame, group: list[str], order: list[Column], cursor: int = 0, limit: int = 100, most: int = LIMITS.archive_entries) -> DataFrame:

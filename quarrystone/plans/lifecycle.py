@@ -34,8 +34,11 @@ def ingest(uploads: DataFrame, blobs: DataFrame | None = None, limits: Limits =
     return store.new_blobs(held, blobs), store.make_refs(admitted), rejected
 
 
-def governed_read(requests: DataFrame, refs: DataFrame, blobs: DataFrame, sessions: DataFrame | None = None, most_lines: int = LIMITS.page_lines) -> DataFrame:
-    """Requests (``session_id``, ``id``, ``page``) with ``text``, ``redacted``, ``has_more`` and ``error_code``.
+def governed_read(requests: DataFrame, refs: DataFrame, blobs: DataFrame, sessions: DataFrame | None = None, most_lines: int = LIMITS.page_lines, most_bytes: int = LIMITS.page_bytes) -> DataFrame:
+    """Requests (``session_id``, ``id``, ``page``) with ``text``, ``redacted``, ``has_more``, ``next_line`` and ``error_code``.
+
+    A page that would be longer than ``most_bytes`` has only the lines that fit; ``next_line`` (from 0) says where to go
+    on, and a request with a column ``line`` begins there.  One line that alone is too long is ``PARSER_OUTPUT_LIMIT``.
 
     Ownership is decided on refs alone; only contents of allowed rows are joined.  A document is masked as a whole and
     paged after that, so a key block that spans pages stays masked.
@@ -46,11 +49,13 @@ def governed_read(requests: DataFrame, refs: DataFrame, blobs: DataFrame, sessio
     texts = masked_texts(allowed, blobs).withColumn("_lines", F.split(F.replace("text", F.lit(PAGE_BREAK), F.lit("\n")), r"\r?\n", -1)).drop("text")
     found = allowed.join(texts, "id", "left")
     at, count = (F.col("page") - 1).cast("int") * most_lines, F.size("_lines")
-    inside = F.col("_failed").isNull() & (F.col("page") >= 1) & (at < count)
-    own = F.slice("_lines", F.when(inside, at).otherwise(0) + 1, F.lit(most_lines))
-    found = found.withColumns({"text": F.when(inside, F.array_join(own, "\n")), "n_lines": F.when(inside, F.size(own).cast("long")), "has_more": F.when(inside, at + most_lines < count)})
-    found = found.withColumn("error_code", F.coalesce("_failed", F.when(~F.coalesce(inside, F.lit(False)), "PAGE_OUT_OF_RANGE")))
-    keep = ["session_id", "id", "page", "kind", "text", "n_lines", "has_more", "redacted", "error_code"]
+    if "line" in requests.columns:
+        at = F.coalesce(F.col("line").cast("int"), at)
+    inside = F.col("_failed").isNull() & (F.col("page") >= 1) & (at >= 0) & (at < count)
+    found = found.withColumn("_w", F.when(inside, paging.window_of(F.col("_lines"), at, most_lines, most_lines, most_bytes)))
+    found = found.withColumns({"text": F.col("_w.text"), "n_lines": F.col("_w.n"), "has_more": F.col("_w.has_more"), "next_line": F.col("_w.next_offset")})
+    found = found.withColumn("error_code", F.coalesce("_failed", F.when(~F.coalesce(inside, F.lit(False)), "PAGE_OUT_OF_RANGE"), "_w.error_code"))
+    keep = ["session_id", "id", "page", "kind", "text", "n_lines", "has_more", "next_line", "redacted", "error_code"]
     refused = judged.filter("error_code IS NOT NULL").select("session_id", "id", "page", "error_code")
     return found.select(*keep).unionByName(refused, allowMissingColumns=True)
 
@@ -62,12 +67,13 @@ def masked_texts(allowed: DataFrame, blobs: DataFrame) -> DataFrame:
     return masked(document_texts(opened)).select("id", "kind", F.col("_r.text").alias("text"), F.col("_r.redacted").alias("redacted"), F.col("error_code").alias("_failed"))
 
 
-def read_window(requests: DataFrame, refs: DataFrame, blobs: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
+def read_window(requests: DataFrame, refs: DataFrame, blobs: DataFrame, sessions: DataFrame | None = None, limits: Limits = LIMITS) -> DataFrame:
     """Requests with a window of their own: ``session_id``, ``id``, ``offset`` (bytes), ``page``, ``page_end``, ``paragraph_offset``, ``paragraph_limit``.
 
     Slides and PDF pages are read by page, at most ten of a PDF and one slide at once, clamped to those there are; word
-    processor texts by paragraph; all else by byte offset.  Null means the beginning.  Returns ``kind``, ``text``,
-    ``redacted``, ``has_more``, ``next`` (the page, paragraph or byte to go on from) and ``error_code``.
+    processor texts by paragraph; all else by byte offset.  Null means the beginning.  A reply has at most the limit's
+    bytes: fewer pages or paragraphs where more would not fit, ``PARSER_OUTPUT_LIMIT`` where one alone does not.  Returns
+    ``kind``, ``text``, ``redacted``, ``has_more``, ``next`` (the page, paragraph or byte to go on from), ``error_code``.
     """
     judged = store.authorize(requests, refs, sessions)
     allowed = judged.filter("error_code IS NULL").drop("error_code")
@@ -75,17 +81,15 @@ def read_window(requests: DataFrame, refs: DataFrame, blobs: DataFrame, sessions
     kind, text = F.col("kind"), F.coalesce("text", F.lit(""))
     pages = F.split(text, PAGE_BREAK, -1)
     span = paging.page_span(F.col("page"), F.when(kind == "pdf", F.col("page_end")), F.size(pages))
-    paged = F.struct(F.array_join(F.slice(pages, span["page"].cast("int"), (span["page_end"] - span["page"] + 1).cast("int")), "\n").alias("text"), (span["page_end"] < F.size(pages)).alias("has_more"), F.when(span["page_end"] < F.size(pages), span["page_end"] + 1).alias("next"))
-    items = F.split(text, "\n", -1)
-    begin = F.greatest(F.coalesce("paragraph_offset", F.lit(0)), F.lit(0)).cast("int")
-    limit = F.least(F.greatest(F.coalesce("paragraph_limit", F.lit(LIMITS.page_lines)), F.lit(1)), F.lit(LIMITS.page_lines)).cast("int")
-    more = F.size(items) > begin + limit
-    paragraphs = F.struct(F.array_join(F.slice(items, begin + 1, limit), "\n").alias("text"), more.alias("has_more"), F.when(more, (begin + limit).cast("long")).alias("next"))
-    own = paging.byte_window(text, F.greatest(F.coalesce("offset", F.lit(0)), F.lit(0)).cast("int"))
-    by_bytes = F.struct(own["text"].alias("text"), own["has_more"].alias("has_more"), own["next_offset"].alias("next"))
+    paged = paging.window_of(pages, span["page"] - 1, span["page_end"] - span["page"] + 1, most_bytes=limits.page_bytes)
+    paged = F.struct(paged["text"].alias("text"), paged["has_more"].alias("has_more"), (paged["next_offset"] + 1).alias("next"), paged["error_code"].alias("error_code"))
+    lines = paging.window_of(F.split(text, "\n", -1), F.coalesce("paragraph_offset", F.lit(0)), F.coalesce("paragraph_limit", F.lit(limits.page_lines)), limits.page_lines, limits.page_bytes)
+    paragraphs = F.struct(lines["text"].alias("text"), lines["has_more"].alias("has_more"), lines["next_offset"].alias("next"), lines["error_code"].alias("error_code"))
+    own = paging.byte_window(text, F.greatest(F.coalesce("offset", F.lit(0)), F.lit(0)).cast("int"), limits.page_lines, limits.page_bytes)
+    by_bytes = F.struct(own["text"].alias("text"), own["has_more"].alias("has_more"), own["next_offset"].alias("next"), F.lit(None).cast("string").alias("error_code"))
     window = F.when(kind.isin("pdf", "pptx"), paged).when(kind.isin("docx", "doc", "odt"), paragraphs).otherwise(by_bytes)
     found = found.withColumn("_w", F.when(F.col("_failed").isNull(), window))
-    done = found.select("session_id", "id", "kind", "_w.text", "redacted", "_w.has_more", "_w.next", F.col("_failed").alias("error_code"))
+    done = found.select("session_id", "id", "kind", "_w.text", "redacted", "_w.has_more", "_w.next", F.coalesce("_failed", "_w.error_code").alias("error_code"))
     return done.unionByName(judged.filter("error_code IS NOT NULL").select("session_id", "id", "error_code"), allowMissingColumns=True)
 
 
@@ -144,8 +148,13 @@ def list_archive(requests: DataFrame, refs: DataFrame, blobs: DataFrame, prefix:
     return archives.listing(archives.entries(opened), ["id"], prefix, cursor, limit)
 
 
-def read_entries(asked: DataFrame, archives_of: DataFrame) -> DataFrame:
-    """``asked`` (``id``, ``archive_path``) with the masked text of each readable entry, ``kind`` and ``error_code``."""
+def read_entries(asked: DataFrame, archives_of: DataFrame, limits: Limits = LIMITS) -> DataFrame:
+    """``asked`` (``id``, ``archive_path``, and ``offset`` if given) with the masked text of each readable entry, ``kind`` and ``error_code``.
+
+    From byte ``offset`` on within the limits of a reply; ``has_more`` and ``next`` say whether and where to go on.
+    """
+    if "offset" not in asked.columns:
+        asked = asked.withColumn("offset", F.lit(0).cast("long"))
     found = archives.extract(asked, archives_of)
     named = found.withColumns({"name": F.col("archive_path"), "declared_mime": F.lit("")})
     seen = detect(named, content_col="entry").drop("name", "declared_mime", "safe_name")
@@ -155,4 +164,6 @@ def read_entries(asked: DataFrame, archives_of: DataFrame) -> DataFrame:
     texts = masked(texts.select(F.col("id").alias("_entry"), "text", F.col("error_code").alias("_failed")))
     joined = seen.join(texts, "_entry", "left")
     code = F.coalesce("error_code", "_failed", F.when(~F.col("detected.readable"), "UNSUPPORTED_FILE_TYPE"))
-    return joined.select("id", "archive_path", F.when(F.col("error_code").isNull(), F.col("detected.kind")).alias("kind"), F.col("_r.text").alias("text"), F.col("_r.redacted").alias("redacted"), code.alias("error_code"))
+    own = paging.byte_window(F.coalesce("_r.text", F.lit("")), F.greatest(F.coalesce("offset", F.lit(0)), F.lit(0)).cast("int"), limits.page_lines, limits.page_bytes)
+    joined = joined.withColumn("_w", F.when(F.col("_r.text").isNotNull(), own))
+    return joined.select("id", "archive_path", F.when(F.col("error_code").isNull(), F.col("detected.kind")).alias("kind"), "_w.text", F.col("_r.redacted").alias("redacted"), "_w.has_more", F.col("_w.next_offset").alias("next"), code.alias("error_code"))
