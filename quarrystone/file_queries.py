@@ -435,6 +435,10 @@ def announced_by_stream(spark, sf_dir):
 
 @query("""SELECT conv_id::VARCHAR AS session_id, turn::BIGINT AS seq, coalesce(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS batch_no FROM conversations""")
 def batches_by_stream(spark, sf_dir):
-    """``batch_rotation`` as a stream over the conversations' files."""
-    events = _streamed(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").cast("long").alias("seq"), (F.col("role") == "user").alias("is_send"))
-    return _run_to_its_end(spark, batches_stream(events), "session_id string, seq long, batch_no long")
+    """``batch_rotation`` as a stream over the conversations' files, in event time; a later event of another session moves the watermark past all."""
+    rows = _streamed(spark, sf_dir, "conversations")
+    event = lambda session, at, send: F.struct(session.alias("session_id"), F.timestamp_seconds(at).alias("at"), F.col("turn").cast("long").alias("seq"), send.alias("is_send"))
+    own = event(F.col("conv_id").cast("string"), F.col("turn") + 1, F.col("role") == "user")
+    events = rows.select(F.explode(F.array(own, event(F.lit("later"), F.col("turn") + 86_400, F.lit(False)))).alias("e")).select("e.*")
+    found = _run_to_its_end(spark, batches_stream(events), "session_id string, seq long, batch_no long")
+    return found.filter("session_id <> 'later'")

@@ -75,11 +75,14 @@ def receipts(events: DataFrame, session: str = "session_id", order: str = "seq")
     return grouped.filter(F.col("_sent") & (F.size("files") > 0)).drop("_sent")
 
 
-def match_receipts(found: DataFrame, messages: DataFrame, draft: str = "draft", text: str = "text") -> DataFrame:
-    """Receipts and the messages with the same text, but for zero-width spaces and outer blanks."""
+def match_receipts(found: DataFrame, messages: DataFrame, draft: str = "draft", text: str = "text", session: str | None = "session_id") -> DataFrame:
+    """Receipts and the messages of their session with the same text, but for zero-width spaces and outer blanks.
+
+    Where ``messages`` has no column ``session`` (or it is None), messages of all sessions are matched.
+    """
     left = found.withColumn("_key", receipt_key(F.col(draft)))
     right = messages.withColumn("_key", receipt_key(F.col(text)))
-    return left.join(right, "_key").drop("_key")
+    return left.join(right, ["_key", session] if session and session in messages.columns and session in found.columns else "_key").drop("_key")
 
 
 def read_signals(calls: DataFrame, key: str = "session_id", turn: str = "turn") -> DataFrame:

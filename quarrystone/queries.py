@@ -357,8 +357,8 @@ def receipt_match(spark, sf_dir):
     """Receipts of sent drafts and the messages with their text."""
     log = _table(spark, sf_dir, "conversations")
     found = log.filter("role = 'user'").select("conv_id", "turn", F.concat(F.lit("​"), "text", F.lit("  ")).alias("draft"))
-    messages = log.select(F.col("conv_id").alias("_conv"), F.col("turn").alias("message_turn"), "text")
-    return sessions.match_receipts(found, messages).filter("conv_id = _conv").select("conv_id", "turn", "message_turn")
+    messages = log.select("conv_id", F.col("turn").alias("message_turn"), "text")
+    return sessions.match_receipts(found, messages, session="conv_id").select("conv_id", "turn", "message_turn")
 
 
 _CALLS = """calls AS (SELECT user_id AS session_id, event_id % 4 AS turn, CASE WHEN event_type = 'click' THEN 'running' ELSE 'done' END AS state,
