@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quarrystone.functions.names import utf8_prefix
 from quarrystone.limits import LIMITS
+from quarrystone.operators.running import HOT, running
 
 MOST = 2**53 - 1
 
@@ -131,13 +132,15 @@ def window_of(items: Column, offset: Column | int = 0, limit: Column | int = LIM
     return F.element_at(F.transform(F.array(F.struct(fitting(items, begin, limit, sep, most_bytes).alias("n"))), window), 1)
 
 
-def cursor_page(rows: DataFrame, group: list[str], order: list[Column], cursor: int = 0, limit: int = 100, most: int = LIMITS.archive_entries) -> DataFrame:
+def cursor_page(rows: DataFrame, group: list[str], order: list[Column], cursor: int = 0, limit: int = 100, most: int = LIMITS.archive_entries, hot: int = HOT) -> DataFrame:
     """Of each group the rows from ``cursor`` on, ``limit`` of them, with ``entry_no`` and ``next_cursor`` where there are more."""
     cursor, limit = max(0, cursor), max(1, min(limit, most))
-    numbered = rows.withColumn("entry_no", (F.row_number().over(W.partitionBy(*group).orderBy(*order)) - 1).cast("long"))
-    numbered = numbered.withColumn("_total", F.least(F.count(F.lit(1)).over(W.partitionBy(*group)), F.lit(most)))
-    page = numbered.filter((F.col("entry_no") >= cursor) & (F.col("entry_no") < F.least(F.col("_total"), F.lit(cursor + limit))))
-    return page.withColumn("next_cursor", F.when(F.col("_total") > cursor + limit, F.lit(cursor + limit).cast("long"))).drop("_total")
+    upto = min(most, cursor + limit)
+    # One place more than is asked for tells whether there is more.
+    numbered = running(rows, group, order, name="entry_no", hot=hot).withColumn("entry_no", F.col("entry_no") - 1).filter(F.col("entry_no").between(cursor, upto))
+    more = F.max("entry_no").over(W.partitionBy(*group)) == upto  # at most limit + 1 rows
+    page = numbered.withColumn("next_cursor", F.when(more & F.lit(upto < most), F.lit(upto).cast("long")))
+    return page.filter(F.col("entry_no") < upto)
 
 
 @dataclass(frozen=True)

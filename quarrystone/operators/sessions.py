@@ -7,10 +7,10 @@ Each is a join, an aggregate or a window over a session's events; the streaming
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrystone.functions.names import ID_IN_TEXT, receipt_key
+from quarrystone.operators.running import HOT, running
 
 PLUGIN = "attachments"
 
@@ -32,14 +32,19 @@ def announcement(name: str = "safe_name", key: str = "id", family: str = "family
     return F.format_string("%s (%s, %s/%s)", F.col(name), F.col(key), F.col(family), F.col(kind))
 
 
-def announce(refs: DataFrame, known: DataFrame, session: str = "owner_session_id", at: str = "created_at", key: str = "id") -> DataFrame:
+def announce(refs: DataFrame, known: DataFrame, session: str = "owner_session_id", at: str = "created_at", key: str = "id", page: int | None = None, hot: int = HOT) -> DataFrame:
     """One row for each session with attachments that are not ``known`` (``session_id``, ``id``) yet: ``session_id``, ``n_fresh``, ``ids``, ``text``.
 
-    Newest first.  Sessions without fresh attachments have no row.  A session's list is bounded by its own uploads.
+    Newest first.  Sessions without fresh attachments have no row.  With ``page``, a row has at most so many attachments
+    and a session as many rows as it needs, so no row grows with a session.
     """
     fresh = refs.withColumnRenamed(session, "session_id").join(known.select("session_id", key), ["session_id", key], "left_anti")
     item = F.struct(F.col(at), F.col(key), announcement(key=key).alias("said"))
-    grouped = fresh.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_fresh"), F.sort_array(F.collect_list(item), asc=False).alias("_items"))
+    by = ["session_id"]
+    if page:
+        by.append("_page")
+        fresh = running(fresh, ["session_id"], [F.desc(at), F.desc(key)], name="_place", hot=hot).withColumn("_page", F.floor((F.col("_place") - 1) / page))
+    grouped = fresh.groupBy(*by).agg(F.count(F.lit(1)).alias("n_fresh"), F.sort_array(F.collect_list(item), asc=False).alias("_items"))
     return grouped.select("session_id", "n_fresh", F.transform("_items", lambda x: x[key]).alias("ids"), F.array_join(F.transform("_items", lambda x: x["said"]), ", ").alias("text"))
 
 
@@ -54,11 +59,11 @@ def may_announce(messages: DataFrame) -> DataFrame:
     return last.filter(F.col("_last.kind") == "user").select("session_id")
 
 
-def draft_batches(events: DataFrame, session: str = "session_id", order: str = "seq", sends: Column | None = None) -> DataFrame:
+def draft_batches(events: DataFrame, session: str = "session_id", order: str = "seq", sends: Column | None = None, hot: int = HOT) -> DataFrame:
     """``events`` with ``batch_no``: each send ends a batch, the next event opens the next one."""
-    sends = F.col("is_send") if sends is None else sends
-    before = W.partitionBy(session).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    return events.withColumn("batch_no", F.coalesce(F.sum(sends.cast("long")).over(before), F.lit(0)))
+    sends = F.coalesce((F.col("is_send") if sends is None else sends).cast("long"), F.lit(0))
+    numbered = running(events, [session], [F.col(order)], sends, "batch_no", hot)
+    return numbered.withColumn("batch_no", F.col("batch_no") - sends)
 
 
 def receipts(events: DataFrame, session: str = "session_id", order: str = "seq") -> DataFrame:

@@ -10,11 +10,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrystone.functions.names import ID, attachment_id, sanitize_filename, storage_path
 from quarrystone.limits import LIMITS, Limits
+from quarrystone.operators.running import HOT, running
 
 BATCH = ["session_id", "batch_id"]
 
@@ -105,9 +105,9 @@ def latest_by_name(refs: DataFrame, session: str = "owner_session_id", name: str
     return newest.select(session, name, "_newest.*").select(*refs.columns)
 
 
-def session_listing(refs: DataFrame, session: str = "owner_session_id", at: str = "created_at", key: str = "id", most: int | None = None) -> DataFrame:
-    """Refs with ``position``, newest first within their session."""
-    ranked = refs.withColumn("position", F.row_number().over(W.partitionBy(session).orderBy(F.desc(at), F.desc(key))).cast("long"))
+def session_listing(refs: DataFrame, session: str = "owner_session_id", at: str = "created_at", key: str = "id", most: int | None = None, hot: int = HOT) -> DataFrame:
+    """Refs with ``position``, newest first within their session, whatever a session holds."""
+    ranked = running(refs, [session], [F.desc(at), F.desc(key)], hot=hot)
     return ranked if most is None else ranked.filter(F.col("position") <= most)
 
 
