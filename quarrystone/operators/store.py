@@ -1,7 +1,7 @@
 """Content-addressed store: hashing, de-duplication, quotas, refs, look-ups, ownership.
 
 Contents are read once, to be hashed; all else works on narrow refs.  Nothing collects a session or a batch: latest rows
-are aggregates, ranks are windows of one session, and quotas are a running state over sorted rows.
+are aggregates; ranks and quotas have a plan for sessions and batches that are too large for one task.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quarrystone.functions.names import ID, attachment_id, sanitize_filename, storage_path
 from quarrystone.limits import LIMITS, Limits
-from quarrystone.operators.running import HOT, running
+from quarrystone.operators.running import HOT, running, written_once
 
 BATCH = ["session_id", "batch_id"]
 
@@ -38,22 +38,30 @@ def oversize(family: Column, size: Column, limits: Limits = LIMITS) -> Column:
     return F.when(size > limits.archive_bytes, "FILE_TOO_LARGE").when((family != "archive") & (size > limits.file_bytes), "FILE_TOO_LARGE")
 
 
-def admit(uploads: DataFrame, order_col: str = "seq", size_col: str = "bytes", limits: Limits = LIMITS) -> DataFrame:
+def admit(uploads: DataFrame, order_col: str = "seq", size_col: str = "bytes", limits: Limits = LIMITS, hot: int = HOT) -> DataFrame:
     """``uploads`` with ``error_code``: in arrival order, a file is taken while its batch has room in number and bytes.
 
     What is rejected uses no quota, so this is a fold, not a running sum.  Rows are sorted by batch and order and the fold
-    keeps three numbers, so a batch of any length streams through its task.
+    keeps three numbers, so a batch streams through its task.  Where a count shows a batch of more than ``hot`` rows, the
+    quota is filled in rounds instead: as a batch takes at most so many files, in as many rounds each takes its first file
+    that still fits, which is a minimum and combines before the shuffle; no batch is sorted or kept together.
+
+    A null size counts nothing; null sessions and batches are a batch; files that tie in the order come as they are read.
     """
     kept = list(dict.fromkeys([*BATCH, order_col, size_col, *(c for c in uploads.columns if c != "content")]))
     uploads = uploads.select(*kept)  # contents take no part in the fold
+    largest = uploads.groupBy(*BATCH).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest > hot:
+        return _admitted_in_rounds(uploads, order_col, size_col, limits)
     rows = uploads.repartition(*BATCH).sortWithinPartitions(*BATCH, order_col)
     files, most = limits.batch_files, limits.batch_bytes
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, count, used = None, 0, 0
+        key, count, used = (), 0, 0
         for pdf in batches:
             codes = []
-            for session, batch, size in zip(pdf["session_id"], pdf["batch_id"], pdf[size_col], strict=True):
+            named = [pdf[c].astype(object).where(pdf[c].notna(), None) for c in BATCH]
+            for session, batch, size in zip(*named, pdf[size_col].fillna(0), strict=True):
                 if (session, batch) != key:
                     key, count, used = (session, batch), 0, 0
                 if count >= files or used + size > most:
@@ -66,6 +74,30 @@ def admit(uploads: DataFrame, order_col: str = "seq", size_col: str = "bytes", l
     return rows.mapInPandas(fold, f"{_ddl(uploads)}, error_code string")
 
 
+def _admitted_in_rounds(uploads: DataFrame, order_col: str, size_col: str, limits: Limits) -> DataFrame:
+    rows = written_once(uploads.withColumn("__row", F.monotonically_increasing_id()))
+    size = F.coalesce(F.col(size_col), F.lit(0)).cast("long")
+    narrow = rows.select(*BATCH, F.struct(F.col(order_col).alias("o"), F.col("__row").alias("r")).alias("at"), size.alias("size")).filter(F.col("size") <= limits.batch_bytes)
+    taken = state = None
+    for _ in range(limits.batch_files):
+        left = narrow.withColumn("used", F.lit(0).cast("long"))
+        if state is not None:
+            held = state.toDF("_s", "_b", "last", "used")
+            held = F.broadcast(held) if state.limit(100_001).count() <= 100_000 else held
+            same = F.col("session_id").eqNullSafe(F.col("_s")) & F.col("batch_id").eqNullSafe(F.col("_b"))
+            left = narrow.join(held, same & (F.col("at") > F.col("last")) & (F.col("size") + F.col("used") <= limits.batch_bytes))
+        first = left.groupBy(*BATCH).agg(F.min(F.struct("at", "size")).alias("first"), F.max("used").alias("used"))
+        state = written_once(first.select(*BATCH, F.col("first.at").alias("last"), (F.col("used") + F.col("first.size")).alias("used")))
+        if state.isEmpty():
+            break
+        own = state.select(F.col("last.r").alias("_taken"))
+        taken = own if taken is None else taken.unionByName(own)
+    if taken is None:
+        return uploads.withColumn("error_code", F.lit("MESSAGE_FILES_TOO_LARGE"))
+    code = F.when(F.col("_taken").isNull(), "MESSAGE_FILES_TOO_LARGE")
+    return rows.join(taken, F.col("__row") == F.col("_taken"), "left").withColumn("error_code", code).drop("__row", "_taken")
+
+
 def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 

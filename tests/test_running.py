@@ -56,3 +56,23 @@ def test_pages_by_cursor(spark):
 
 def test_empty(spark):
     assert running(spark.createDataFrame([], "g string, o long"), ["g"], [F.col("o")]).collect() == []
+
+
+@pytest.mark.parametrize("hot", [0, 10**6])
+def test_quota_in_rounds_and_as_a_fold(spark, hot):
+    from quarrystone.limits import Limits
+
+    rng = random.Random(8)
+    rows = [(rng.choice(["s"] * 8 + ["t", None]), rng.choice(["b", "c", None]), k, rng.choice([1, 5, 20, 49, 60, None])) for k in range(600)]
+    frame = spark.createDataFrame([(*r, b"x") for r in rows], "session_id string, batch_id string, seq long, bytes long, content binary").repartition(4)
+    used, want = {}, {}
+    for s, b, k, n in rows:
+        count, size = used.get((s, b), (0, 0))
+        want[k] = count < 4 and size + (n or 0) <= 50
+        if want[k]:
+            used[s, b] = count + 1, size + (n or 0)
+    found = store.admit(frame, limits=Limits(batch_files=4, batch_bytes=50), hot=hot)
+    assert "content" not in found.columns
+    assert {r.seq: r.error_code is None for r in found.collect()} == want
+    assert store.admit(frame.limit(0), hot=hot).collect() == []
+    assert not any(r.error_code is None for r in store.admit(frame.filter("bytes = 60"), limits=Limits(batch_files=4, batch_bytes=50), hot=hot).collect())
