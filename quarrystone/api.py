@@ -12,6 +12,7 @@ from quarrystone.functions.redaction import redacted
 from quarrystone.limits import LIMITS, Limits
 from quarrystone.operators import paging, store
 from quarrystone.plans import lifecycle
+from quarrystone.plans.texts import TextStore
 from quarrystone.sources import readers
 
 
@@ -20,6 +21,8 @@ class Attachments:
     refs: DataFrame
     blobs: DataFrame
     sessions: DataFrame | None = None
+    #: Where texts are kept; null: every read opens its contents.
+    kept: TextStore | None = None
 
     def info(self, session: str, attachment_id: str | None = None, file_name: str | None = None) -> DataFrame:
         """One ref by id, the newest by exact name, or all of the session, newest first."""
@@ -36,7 +39,7 @@ class Attachments:
 
     def read_lines(self, session: str, attachment_id: str, page: int = 1) -> DataFrame:
         """A page of at most 2,000 lines of the masked text."""
-        return lifecycle.governed_read(self._ask(session, attachment_id, page=page or 1), self.refs, self.blobs, self.sessions)
+        return lifecycle.governed_read(self._ask(session, attachment_id, page=page or 1), self.refs, self.blobs, self.sessions, kept=self.kept)
 
     def read(self, session: str, attachment_id: str, offset: int = 0, page: int | None = None, page_end: int | None = None, paragraph_offset: int | None = None, paragraph_limit: int | None = None, sheet: str | None = None, range: str | None = None, archive_path: str | None = None) -> DataFrame:
         """A window of the masked text: by byte, page, paragraph, cell range or archive entry, as the kind of file has it."""
@@ -46,7 +49,7 @@ class Attachments:
             return self.read_cells(session, attachment_id, sheet, range)
         asked = {"offset": offset, "page": page, "page_end": page_end, "paragraph_offset": paragraph_offset, "paragraph_limit": paragraph_limit}
         rows = self._ask(session, attachment_id).withColumns({k: F.lit(v).cast("long") for k, v in asked.items()})
-        return lifecycle.read_window(rows, self.refs, self.blobs, self.sessions)
+        return lifecycle.read_window(rows, self.refs, self.blobs, self.sessions, kept=self.kept)
 
     def read_cells(self, session: str, attachment_id: str, sheet: str | None = None, cells: str | None = None, limits: Limits = LIMITS) -> DataFrame:
         """Rows of a sheet's range, masked: those that fit into a reply; ``next_row`` is the first that did not."""

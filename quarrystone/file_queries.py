@@ -15,6 +15,7 @@ from quarrystone.functions import detection, names
 from quarrystone.limits import LIMITS
 from quarrystone.operators import archive_scan, archives, line_index, paging, store, uploads
 from quarrystone.plans import lifecycle
+from quarrystone.plans.texts import TextStore
 from quarrystone.queries import MASKED_DOCUMENTS, _ATT, ORACLES, _as_attachments, _attachments, _known, _table, query
 from quarrystone.sources import ranges, readers
 from quarrystone.sources.packages import escaped, packed
@@ -306,6 +307,19 @@ def governed_lines(spark, sf_dir):
     return found.join(refs.select("id", "doc_id"), "id").select("doc_id", "text", "has_more", "redacted")
 
 
+@query(f"""WITH {MASKED_DOCUMENTS} SELECT doc_id, text, redacted, NULL AS error_code FROM r""")
+def kept_texts(spark, sf_dir):
+    """Every document read from the store of texts, after the contents themselves are gone."""
+    docs = _documents(spark, sf_dir)
+    files = store.hashed(docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("content")))
+    asked = files.select(F.col("doc_id").alias("id"), "sha256", F.struct(F.lit("text").alias("kind"), F.lit("text").alias("family")).alias("detected"))
+    kept = TextStore(spark, f"{stream_folder(spark)}/{uuid4().hex}")
+    blobs = store.new_blobs(files)
+    lifecycle.masked_texts(asked, blobs, kept)
+    gone = blobs.withColumn("content", F.lit(None).cast("binary"))
+    return lifecycle.masked_texts(asked, gone, kept).select(F.col("id").alias("doc_id"), "text", "redacted", F.col("_failed").alias("error_code"))
+
+
 # Files on disk.
 
 

@@ -9,6 +9,7 @@ from quarrystone.functions.detection import detect
 from quarrystone.functions.redaction import masked
 from quarrystone.limits import LIMITS, Limits
 from quarrystone.operators import archives, paging, store
+from quarrystone.plans.texts import TextStore
 from quarrystone.sources import legacy, readers
 
 
@@ -34,7 +35,7 @@ def ingest(uploads: DataFrame, blobs: DataFrame | None = None, limits: Limits =
     return store.new_blobs(held, blobs), store.make_refs(admitted), rejected
 
 
-def governed_read(requests: DataFrame, refs: DataFrame, blobs: DataFrame, sessions: DataFrame | None = None, most_lines: int = LIMITS.page_lines, most_bytes: int = LIMITS.page_bytes) -> DataFrame:
+def governed_read(requests: DataFrame, refs: DataFrame, blobs: DataFrame, sessions: DataFrame | None = None, most_lines: int = LIMITS.page_lines, most_bytes: int = LIMITS.page_bytes, kept: TextStore | None = None) -> DataFrame:
     """Requests (``session_id``, ``id``, ``page``) with ``text``, ``redacted``, ``has_more``, ``next_line`` and ``error_code``.
 
     A page that would be longer than ``most_bytes`` has only the lines that fit; ``next_line`` (from 0) says where to go
@@ -46,7 +47,7 @@ def governed_read(requests: DataFrame, refs: DataFrame, blobs: DataFrame, sessio
     judged = store.authorize(requests, refs, sessions)
     allowed = judged.filter("error_code IS NULL").drop("error_code")
     # A document meets its requests whole, and each takes its own page of the lines: no other page is made.
-    texts = masked_texts(allowed, blobs).withColumn("_lines", F.split(F.replace("text", F.lit(PAGE_BREAK), F.lit("\n")), r"\r?\n", -1)).drop("text")
+    texts = masked_texts(allowed, blobs, kept).withColumn("_lines", F.split(F.replace("text", F.lit(PAGE_BREAK), F.lit("\n")), r"\r?\n", -1)).drop("text")
     found = allowed.join(texts, "id", "left")
     at, count = (F.col("page") - 1).cast("int") * most_lines, F.size("_lines")
     if "line" in requests.columns:
@@ -60,14 +61,20 @@ def governed_read(requests: DataFrame, refs: DataFrame, blobs: DataFrame, sessio
     return found.select(*keep).unionByName(refused, allowMissingColumns=True)
 
 
-def masked_texts(allowed: DataFrame, blobs: DataFrame) -> DataFrame:
-    """``id, kind, text, redacted, _failed`` of the documents of allowed requests, each read and masked once, as a whole."""
+def masked_texts(allowed: DataFrame, blobs: DataFrame, kept: TextStore | None = None) -> DataFrame:
+    """``id, kind, text, redacted, _failed`` of the documents of allowed requests, each read and masked once, as a whole.
+
+    With ``kept``, only contents whose texts it does not have are opened.
+    """
     needed = allowed.select("id", "sha256", F.col("detected.kind").alias("kind"), F.col("detected.family").alias("family")).distinct()
-    opened = needed.join(blobs.select("sha256", "content"), "sha256", "left")
-    return masked(document_texts(opened)).select("id", "kind", F.col("_r.text").alias("text"), F.col("_r.redacted").alias("redacted"), F.col("error_code").alias("_failed"))
+    if kept is None:
+        texts = document_texts(needed.join(blobs.select("sha256", "content"), "sha256", "left"))
+    else:
+        texts = needed.select("id", "sha256", "kind").join(kept.read(needed, blobs, document_texts), ["sha256", "kind"])
+    return masked(texts).select("id", "kind", F.col("_r.text").alias("text"), F.col("_r.redacted").alias("redacted"), F.col("error_code").alias("_failed"))
 
 
-def read_window(requests: DataFrame, refs: DataFrame, blobs: DataFrame, sessions: DataFrame | None = None, limits: Limits = LIMITS) -> DataFrame:
+def read_window(requests: DataFrame, refs: DataFrame, blobs: DataFrame, sessions: DataFrame | None = None, limits: Limits = LIMITS, kept: TextStore | None = None) -> DataFrame:
     """Requests with a window of their own: ``session_id``, ``id``, ``offset`` (bytes), ``page``, ``page_end``, ``paragraph_offset``, ``paragraph_limit``.
 
     Slides and PDF pages are read by page, at most ten of a PDF and one slide at once, clamped to those there are; word
@@ -77,7 +84,7 @@ def read_window(requests: DataFrame, refs: DataFrame, blobs: DataFrame, sessions
     """
     judged = store.authorize(requests, refs, sessions)
     allowed = judged.filter("error_code IS NULL").drop("error_code")
-    found = allowed.join(masked_texts(allowed, blobs), "id", "left")
+    found = allowed.join(masked_texts(allowed, blobs, kept), "id", "left")
     kind, text = F.col("kind"), F.coalesce("text", F.lit(""))
     pages = F.split(text, PAGE_BREAK, -1)
     span = paging.page_span(F.col("page"), F.when(kind == "pdf", F.col("page_end")), F.size(pages))
