@@ -287,11 +287,11 @@ _CUT = ", ".join(f"try(decode(array_slice(b, {101 + k}, {500 - j})))" for k in r
 @query(f"""WITH t AS (SELECT doc_id, encode(coalesce(text, '')) AS b, strlen(coalesce(text, '')) AS n FROM documents),
 c AS (SELECT *, CASE WHEN n > 100 THEN coalesce({_CUT}) ELSE '' END AS c, CASE WHEN n > 100 THEN coalesce({", ".join(f"CASE WHEN try(decode(array_slice(b, {101 + k}, least(n, {104 + k})))) IS NOT NULL OR try(decode(array_slice(b, {101 + k}, least(n, {103 + k})))) IS NOT NULL OR try(decode(array_slice(b, {101 + k}, least(n, {102 + k})))) IS NOT NULL OR try(decode(array_slice(b, {101 + k}, least(n, {101 + k})))) IS NOT NULL THEN {k} END" for k in range(4))}) ELSE 0 END AS skipped FROM t),
 w AS (SELECT *, CASE WHEN n <= 500 OR NOT contains(c, chr(10)) THEN c ELSE regexp_extract(c, '^([\\s\\S]*\\n)', 1) END AS own FROM c)
-SELECT doc_id, own AS text, greatest(n, 100) > 100 + skipped + strlen(own) AS has_more, CASE WHEN greatest(n, 100) > 100 + skipped + strlen(own) THEN (100 + skipped + strlen(own))::BIGINT END AS next_offset FROM w""".replace("\\\\", "\\"))
+SELECT doc_id, own AS text, greatest(n, 100) > 100 + skipped + strlen(own) AS has_more, CASE WHEN greatest(n, 100) > 100 + skipped + strlen(own) THEN 100 + skipped + strlen(own) ELSE -1 END::BIGINT AS next_offset FROM w""".replace("\\\\", "\\"))
 def byte_windows(spark, sf_dir):
     """Whole lines from byte 100 on, within 400 bytes: the window may begin and end inside a character."""
     window = paging.byte_window(F.coalesce("text", F.lit("")), F.lit(100), most_bytes=400)
-    return _documents(spark, sf_dir).select("doc_id", window.alias("w")).select("doc_id", "w.text", "w.has_more", "w.next_offset")
+    return _documents(spark, sf_dir).select("doc_id", window.alias("w")).select("doc_id", "w.text", "w.has_more", "w.next_offset").fillna(-1, ["next_offset"])
 
 
 @query(f"""WITH {MASKED_DOCUMENTS}, page AS (SELECT doc_id, string_split(text, chr(10)) AS x, redacted FROM r)
@@ -357,13 +357,13 @@ def _packages(spark, sf_dir) -> DataFrame:
 @query(r"""WITH e AS (SELECT page_id, unnest([{'n': 0, 'p': 'docs/url.txt', 't': url, 'r': true}, {'n': 1, 'p': 'docs/page.html', 't': coalesce(html, ''), 'r': true}, {'n': 2, 'p': NULL, 't': NULL, 'r': false},
   {'n': 3, 'p': 'notes/b.txt', 't': 'token = abc' || chr(10) || 'plain', 'r': true}, {'n': 4, 'p': 'docs/a.txt', 't': 'even', 'r': true}]) AS x FROM pages WHERE page_id % 5 IN (0, 4))
 SELECT page_id, x.n::BIGINT AS entry_no, x.p AS path, x.t AS text, CASE WHEN NOT x.r THEN 'ARCHIVE_PATH_REJECTED' END AS error_code FROM e WHERE x.n < 4 OR page_id % 2 = 0
-UNION ALL SELECT page_id, NULL, NULL, NULL, 'CORRUPT_FILE' FROM pages WHERE page_id % 5 IN (1, 2, 3)""")
+UNION ALL SELECT page_id, -1, NULL, NULL, 'CORRUPT_FILE' FROM pages WHERE page_id % 5 IN (1, 2, 3)""")
 def archive_scan_entries(spark, sf_dir):
     """Archives on disk: directories from their tails, every entry by its range, refusals as rows."""
     files = ranges.read_ranges(spark, _on_disk(spark, _packages(spark, sf_dir))).select("path", "size")
     entries = archive_scan.directories(files).cache()
     read = archive_scan.read_entries(entries).select(_id_of().alias("page_id"), "entry_no", F.col("name").alias("path"), F.col("content").cast("string").alias("text"), "error_code")
-    return read.unionByName(entries.filter("entry_no IS NULL").select(_id_of().alias("page_id"), "entry_no", "error_code"), allowMissingColumns=True)
+    return read.unionByName(entries.filter("entry_no IS NULL").select(_id_of().alias("page_id"), "entry_no", "error_code"), allowMissingColumns=True).fillna(-1, ["entry_no"])
 
 
 @query("""SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'docx' WHEN 1 THEN 'odt' ELSE 'zip' END AS kind, page_id % 3 < 2 AS readable, page_id % 3 < 2 AS mismatch FROM pages""")
@@ -405,8 +405,8 @@ t AS (SELECT o_custkey, array_to_string(l, chr(10)) AS x, o_custkey % 50 AS b FR
 w AS (SELECT *, substr(x, b + 1, 48) AS c, b + 48 < length(x) AS rest FROM t),
 v AS (SELECT *, CASE WHEN NOT rest OR NOT contains(c, chr(10)) THEN c ELSE regexp_extract(c, '^([\\s\\S]*\\n)', 1) END AS own FROM w)
 SELECT o_custkey, kind, CASE WHEN k > 0 OR len(l) <= b THEN array_to_string(l[b + 1:b + k], chr(10)) END AS text, CASE WHEN k > 0 OR len(l) <= b THEN len(l) > b + k END AS has_more,
-  CASE WHEN k > 0 AND len(l) > b + k THEN b + k + CASE WHEN kind = 'pptx' THEN 1 ELSE 0 END END AS next, CASE WHEN k = 0 AND len(l) > b THEN 'PARSER_OUTPUT_LIMIT' END AS error_code FROM k
-UNION ALL SELECT o_custkey, 'text', own, b + length(own) < length(x), CASE WHEN b + length(own) < length(x) THEN b + length(own) END, NULL FROM v""".replace("\\\\", "\\"))
+  CASE WHEN k > 0 AND len(l) > b + k THEN b + k + CASE WHEN kind = 'pptx' THEN 1 ELSE 0 END ELSE -1 END AS next, CASE WHEN k = 0 AND len(l) > b THEN 'PARSER_OUTPUT_LIMIT' END AS error_code FROM k
+UNION ALL SELECT o_custkey, 'text', own, b + length(own) < length(x), CASE WHEN b + length(own) < length(x) THEN b + length(own) ELSE -1 END, NULL FROM v""".replace("\\\\", "\\"))
 def read_windows(spark, sf_dir):
     """Customers' orders as files of three kinds, each read from a place of its own, within 48 bytes."""
     line = F.concat(F.col("o_orderkey").cast("string"), F.lit(" of "), "o_orderstatus", F.repeat(F.lit("x"), (F.col("o_orderkey") % 40).cast("int")))
@@ -421,7 +421,7 @@ def read_windows(spark, sf_dir):
     at = lambda x: x.cast("long")
     asked = refs.select(F.lit("s").alias("session_id"), "id", at(F.col("o_custkey") % 50).alias("offset"), at(F.col("o_custkey") % 7).alias("page"), F.lit(None).cast("long").alias("page_end"), at(F.col("o_custkey") % 4).alias("paragraph_offset"), at(F.lit(5)).alias("paragraph_limit"))
     found = lifecycle.read_window(asked, refs.drop("o_custkey"), store.new_blobs(files), limits=replace(LIMITS, page_bytes=48))
-    return found.join(refs.select("id", "o_custkey"), "id").select("o_custkey", "kind", "text", "has_more", "next", "error_code")
+    return found.join(refs.select("id", "o_custkey"), "id").select("o_custkey", "kind", "text", "has_more", "next", "error_code").fillna(-1, ["next"])
 
 
 # Streams.
