@@ -40,9 +40,8 @@ _COMMENT = r"""(?s)^(?:"(?:[^"\\]|\\.)*+(?:"|$)|'(?:[^'\\]|\\.)*+(?:'|$)|\s(?![%
 #: What could be a JSON key that is secret: a key's end, and a secret's word or an escape.
 _KEY_END = r'"\s*:'
 _MAYBE = r"(?i)pass|pwd|secret|token|key|auth|cookie|credential|url|\\"
-#: The same, and on its line the sign that a value follows; what could open a key or a block.
+#: The same, and on its line the sign that a value follows.
 _MAYBE_PAIR = r"(?i)(?:pass|pwd|secret|token|key|auth|cookie|credential|url|\\)[^\n]*[:=]"
-_MAYBE_OPENS = r"PRIVATE KEY|:\s*[|>]"
 
 
 # JSON, by its grammar.
@@ -158,7 +157,7 @@ def _pair_masked(line: Column) -> Column:
 
 def _line_masked(line: Column, as_json: Column) -> Column:
     kept = line.rlike(r'^\s*(?:(?:export|set)\s+)*+"') & line.rlike(_KEY_END)  # a JSON key that is not secret, or is torn
-    return F.when(~line.rlike(_MAYBE_PAIR), line).when(as_json.isNotNull(), as_json).when(kept, line).otherwise(_pair_masked(line))
+    return F.when(~_may_pair(line), line).when(as_json.isNotNull(), as_json).when(kept, line).otherwise(_pair_masked(line))
 
 
 #: What a line is to the scan, and what the scan says of it.
@@ -216,7 +215,16 @@ def _let(value: Column, then) -> Column:
 
 
 def _whole(text: Column) -> Column:
-    return text.rlike(_KEY_END) & text.rlike(_MAYBE)
+    return F.contains(text, F.lit('"')) & F.contains(text, F.lit(":")) & text.rlike(_KEY_END) & text.rlike(_MAYBE)
+
+
+def _may_pair(text: Column) -> Column:
+    """Whether a key-value line that is secret may be in ``text``: the plain search for its sign comes first, as most texts have none."""
+    return (F.contains(text, F.lit(":")) | F.contains(text, F.lit("="))) & text.rlike(_MAYBE_PAIR)
+
+
+def _may_open(text: Column) -> Column:
+    return F.contains(text, F.lit("PRIVATE KEY")) | F.contains(text, F.lit(":")) & text.rlike(r":\s*[|>]")
 
 
 def redacted(text: Column | str) -> Column:
@@ -229,12 +237,12 @@ def redacted(text: Column | str) -> Column:
     whole = F.coalesce(as_json, text)
     lines = F.split(whole, r"\r?\n", -1)
     of_lines = _json_lines_masked(F.when(_whole(whole), F.transform(lines, lambda x: F.when(_whole(x), x))))
-    opens = whole.rlike(_MAYBE_OPENS)
+    opens = _may_open(whole)
     states = _states(F.when(opens, F.transform(lines, line_kind)), F.when(opens, F.transform(lines, line_indent)))
     given = F.struct(lines.alias("lines"), of_lines.alias("json"), states.alias("states"), as_json.isNotNull().cast("long").alias("n"))
     none = lambda x: F.struct(x.alias("text"), F.lit(0).cast("long").alias("redacted"))
     plain = none(F.regexp_replace(text, r"\r\n", "\n"))
-    return F.when(text.isNull(), none(F.lit(None).cast("string"))).when(as_json.isNull() & ~opens & ~text.rlike(_MAYBE_PAIR), plain).otherwise(_let(given, _masked))
+    return F.when(text.isNull(), none(F.lit(None).cast("string"))).when(as_json.isNull() & ~opens & ~_may_pair(text), plain).otherwise(_let(given, _masked))
 
 
 def masked(rows: DataFrame, text_col: str = "text") -> DataFrame:
