@@ -1,11 +1,14 @@
 """Toxicity: noisy-channel restoration of disguised words, then a score of the restored text.
 
-Channel: a writer may swap letters for look-alike digits and signs, put single spaces or signs between letters, and
-repeat letters.  A token that shows such signs becomes a lattice of the letters each character may stand for (or of
+Channel: a writer may swap letters for look-alike digits and signs, put white space, signs or invisible signs between
+letters, split a word, and repeat letters.  A token that shows such signs becomes a lattice of the letters each character may stand for (or of
 nothing, for separators and repeated letters), and Viterbi decoding finds the reading that is likeliest under a
 character trigram model, whose counts Spark gathers from all documents.  In a run of single characters each space may be
 kept or dropped, so the decoding finds where words end; as three letters say little of that, a run is read once for each
-of some costs of a kept space, and as one word, in which the lexicon's longer words count wherever they stand.  Tokens and runs of any length are decoded: what the likeliest path begins
+of some costs of a kept space, and as one word, in which the lexicon's longer words count wherever they stand.  A gap that is wider than the least of its run is dearer
+to drop than to keep.  An invisible sign stands for nothing or for a space, so its text is read both ways.  Neighbouring
+tokens that together spell a longer word of the lexicon are a lattice whose spaces may be dropped too, and count as
+that word if the decoding joins them ("stu pid", but not "pen is").  Tokens and runs of any length are decoded: what the likeliest path begins
 with is settled piece by piece.  A token without letters is decoded if it has look-alikes; digits in it are taken for
 themselves unless the letters are far likelier.  A doubled look-alike is read as one letter and as two.
 
@@ -59,14 +62,19 @@ SEPARATORS = " .-_*~^'`,/\\"
 SWAP, DROP, REPEAT, KEEP = 1.0, 0.7, 0.4, 3.0
 #: Costs of a kept space in a run of single characters; each gives a reading, from few words to many.
 GAPS = (2.0, 0.7, -0.5, -1.5)
-#: Lexicon words of so many letters count inside a spaced run that is read as one word.
+#: What dropping a gap that is wider than the others of its run costs, and keeping it.
+WIDE, WIDE_DROP, WIDE_KEEP = "\t", 3.0, 0.0
+#: Lexicon words of so many letters count inside a spaced run that is read as one word, and where they are split.
 INSIDE = 5
 #: Decoding settles its reading after so many characters, but for the last ones.
 PIECE, OPEN = 256, 128
 
 _LETTERS = re.compile(r"[^\W\d_]+")
-_SPACED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
-_MAYBE_SPACED = re.compile(r"\s\S\s\S\s\S\s")
+_SPACED = re.compile(r"(?<!\S)\S(?:\s++\S){2,}(?!\S)")
+_MAYBE_SPACED = re.compile(r"\s\S\s++\S\s++\S\s")
+#: Signs without width: soft hyphen, joiners, marks of direction.
+_HIDDEN = re.compile("[\u00ad\u034f\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
+_GAP = re.compile(r"\s+")
 _DOUBLE = re.compile(r"(.)\1")
 _RUN = re.compile(r"(.)\1\1")
 _EDGE = ".,;:?\"'()[]{}<>*_-~`/\\«»“”„…"
@@ -134,7 +142,7 @@ class Channel:
         self.cost = (-np.log(p3)).ravel().tolist()
 
     def decode(self, token: str, gap: float = GAPS[0], doubles: bool = False) -> str:
-        """The likeliest reading of a lower-cased token, or of a run of single characters with a space between them.
+        """The likeliest reading of a lower-cased token, or of characters with spaces or ``WIDE`` ones between them.
 
         A kept space costs ``gap``; with ``doubles``, every look-alike is a letter of its own.
         """
@@ -149,7 +157,7 @@ class Channel:
 
     def lattice(self, token: str, gap: float = GAPS[0], doubles: bool = False):
         """For each character of a token what it may stand for, with the cost of that."""
-        letters = token.replace(" ", "")
+        letters = token.replace(" ", "").replace(WIDE, "")
         stutters = _RUN.search(letters) or len(_DOUBLE.findall(letters)) > 1
         number = not _LETTERS.search(letters)
         before = ""
@@ -157,6 +165,8 @@ class Channel:
             options = []
             if ch == " ":
                 options += [("", DROP), (" ", gap)]
+            elif ch == WIDE:
+                options += [("", WIDE_DROP), (" ", WIDE_KEEP)]
             elif ch.isalpha():
                 options.append((ch, 0.0))
                 if ch == before and stutters:
@@ -170,7 +180,7 @@ class Channel:
                     options.append(("", DROP))
                 elif itself or not (doubles and options):
                     options.append((ch, 0.0 if itself else KEEP))
-            if ch != " ":
+            if ch not in (" ", WIDE):
                 before = ch
             yield options
 
@@ -214,15 +224,58 @@ class Channel:
             read.append(self.decode(core, doubles=True))
         return tuple(dict.fromkeys(written + _LETTERS.findall(" ".join(read))))
 
-    def spaced_words(self, run: str, wanted=None) -> tuple[str, ...]:
+    def spaced_words(self, run: str, wanted: Lexicon | None = None) -> tuple[str, ...]:
         """The words of a lower-cased run of single characters, and those of ``wanted`` anywhere in its letters."""
         letters = run.split()
+        gaps = [len(gap) for gap in _GAP.findall(run)]
+        least = min(gaps)
+        spaced = letters[0] + "".join((" " if gap == least else WIDE) + ch for gap, ch in zip(gaps, letters[1:], strict=True))
         whole = self.decode("".join(letters))
-        found = _LETTERS.findall(" ".join([whole, *(self.decode(" ".join(letters), gap) for gap in GAPS)]))
-        for n in {len(w) for w in wanted or () if len(w) >= INSIDE and w[-1] != "*"}:
+        found = _LETTERS.findall(" ".join([whole, *(self.decode(spaced, gap) for gap in GAPS)]))
+        for n in wanted.lengths if wanted else ():
             found += [w for w in (whole[at : at + n] for at in range(len(whole) - n + 1)) if w in wanted]
         return tuple(dict.fromkeys(found))
 
+    def split_words(self, tokens: list[str], wanted: Lexicon, memo: dict[str, str]) -> list[str]:
+        """The longer words of ``wanted`` that neighbouring tokens spell together, where the lattice joins them."""
+        found = []
+        for at in range(len(tokens) - 1):
+            first = tokens[at].lstrip(_EDGE)
+            spelt = first if first.isalpha() else self._fragment(first, memo)
+            if spelt not in wanted.starts:
+                continue
+            parts = [spelt]
+            for token in tokens[at + 1 : at + 1 + wanted.longest]:
+                part = token.rstrip(_EDGE)
+                parts.append(part if part.isalpha() else self._fragment(part, memo))
+                spelt += parts[-1]
+                if not parts[-1]:
+                    break
+                if spelt in wanted and len(spelt) >= INSIDE and self.decode(" ".join(parts), 0.0) == spelt:
+                    found.append(spelt)
+                if part != token or spelt not in wanted.starts:
+                    break
+        return found
+
+    def _fragment(self, token: str, memo: dict[str, str]) -> str:
+        """What a token with other characters than letters reads as, if that is one word."""
+        own = memo.get(token)
+        if own is None:
+            reading = self.decode(token) if any(c in LOOKALIKES for c in token) and len(token) <= OPEN else ""
+            own = memo[token] = reading if reading.isalpha() else ""
+        return own
+
+
+class Lexicon(dict):
+    """Features and their probabilities, with what looking for words in runs and in neighbours needs."""
+
+    def __init__(self, known: dict[str, float]):
+        super().__init__(known)
+        longer = [w for w in known if len(w) >= INSIDE and w[-1] != "*"]
+        self.lengths = sorted({len(w) for w in longer})
+        self.longest = max(self.lengths, default=0)
+        self.starts = {w[:n] for w in longer for n in range(1, len(w))}
+
 
 def features(words: tuple[str, ...] | list[str], wanted=None) -> tuple[str, ...]:
     """Words and their beginnings, marked by a star; only those in ``wanted``, where that is given."""
@@ -230,22 +283,31 @@ def features(words: tuple[str, ...] | list[str], wanted=None) -> tuple[str, ...]
     return tuple(f for f in dict.fromkeys(found) if wanted is None or f in wanted)
 
 
-def restored_features(text: str, channel: Channel, memo: dict[str, tuple[str, ...]], wanted=None) -> tuple[set[str], list[str]]:
+def restored_features(text: str, channel: Channel, memo: dict, wanted: Lexicon | None = None) -> tuple[set[str], list[str]]:
     """The features of a text, as written and as restored, and its tokens."""
     low = text.lower()
+    readings = [low]
+    if _HIDDEN.search(low):
+        readings = [_HIDDEN.sub("", low), _HIDDEN.sub(" ", low)]
     if len(memo) > 300_000:
         memo.clear()
-    tokens = low.split()
+    fragments = memo.setdefault(None, {})
+    if len(fragments) > 300_000:
+        fragments.clear()
     found: set[str] = set()
-    for token in set(tokens):
-        own = memo.get(token)
-        if own is None:
-            own = memo[token] = features(channel.words(token), wanted)
-        found.update(own)
-    if _MAYBE_SPACED.search(f" {low} "):
-        for match in _SPACED.finditer(low):
-            found.update(features(channel.spaced_words(match[0], wanted), wanted))
-    return found, tokens
+    for reading in readings:
+        tokens = reading.split()
+        for token in set(tokens):
+            own = memo.get(token)
+            if own is None:
+                own = memo[token] = features(channel.words(token), wanted)
+            found.update(own)
+        if _MAYBE_SPACED.search(f" {reading} "):
+            for match in _SPACED.finditer(reading):
+                found.update(features(channel.spaced_words(match[0], wanted), wanted))
+        if wanted:
+            found.update(channel.split_words(tokens, wanted, fragments))
+    return found, readings[0].split()
 
 
 def held_out(id_col: str):
@@ -285,7 +347,7 @@ def learn(known: DataFrame, rows: DataFrame, channel) -> dict[str, float]:
     return {r["feature"]: r["p"] for r in counts.filter(F.col("k") >= least).select("feature", shrunk.alias("p")).filter(F.col("p") >= EVIDENCE).collect()}
 
 
-def evidence(text: str, channel: Channel, memo: dict, known: dict[str, float]) -> tuple[float, float, float]:
+def evidence(text: str, channel: Channel, memo: dict, known: Lexicon) -> tuple[float, float, float]:
     """Of a text: log odds of its strongest evidence (0 without any), log of how many words of evidence, log of how many words."""
     found, tokens = restored_features(text, channel, memo, known)
     best = max((known[f] for f in found), default=None)
@@ -323,7 +385,7 @@ def fitted(x: np.ndarray, labels: np.ndarray, ridge: float = 1.0) -> tuple[np.nd
     return weights, lengths
 
 
-def scores_of(texts: list[str], channel: Channel, memo: dict, known: dict[str, float], model: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
+def scores_of(texts: list[str], channel: Channel, memo: dict, known: Lexicon, model: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
     if model is None or not texts:
         return np.full(len(texts), FLOOR)
     weights, lengths = model
@@ -336,7 +398,7 @@ def _model(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     counts = {r["code"]: r["n"] for r in trigrams(docs, text_col).collect()}  # 64 ** 3 rows at most
     channel = context.broadcast(Channel(counts))
     known, rows = labelled(docs, labels, id_col, text_col, label_col, sample)
-    lexicon = context.broadcast(learn(known, rows, channel))
+    lexicon = context.broadcast(Lexicon(learn(known, rows, channel)))
 
     def described(batches):
         import pyarrow as pa

@@ -198,6 +198,44 @@ def test_tokens_of_signs_and_numbers():
     assert channel.words("455") == channel.words("1999") == channel.words("--") == ()
 
 
+def test_spacing_of_any_kind(spark, corpus):
+    docs, labels = corpus
+    hidden = [
+        "what a s  t  u  p  i  d man",
+        "what a s\t\tt\tu p\n i d man",
+        "what a s\u200bt\u200bu\u200bp\u200bi\u200bd man",
+        "what a s\u200b t\u200b u\u200b p\u200b i\u200b d man",
+        "what a stu\u00adpid man",
+        "here\u200bstupid\u200bwalks",
+        "what a stu pid man",
+        "what a st up id, man",
+        "what a stu p1d man",
+        "an (id iot) walks",
+        "the stu. pid walks",
+        "w  a  t  e  r",
+        "wa\u200bter and so ft ly",
+    ]
+    more = docs.unionByName(spark.createDataFrame([(1000 + k, f"the river stone {t}") for k, t in enumerate(hidden)], "doc_id long, text string"))
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity(more, labels).collect()}
+    assert [got[1000 + k] for k in range(len(hidden))] == [1] * 10 + [0] * 3
+
+
+def test_split_words_are_joined_by_the_lattice():
+    channel = channel_of("the pen is on the table and a pen is here as the stupid one is at the penis of it " * 20 + "a pen is in the den is on " * 60)
+    wanted = toxicity.Lexicon({"penis": 0.9, "stupid": 0.9, "stup*": 0.9, "ass": 0.9})
+    assert channel.split_words("the pen is here stu pid one a ss stu".split(), wanted, {}) == ["stupid"]
+    assert channel.split_words([], wanted, {}) == channel.split_words(["stu"], wanted, {}) == []
+    assert wanted.lengths == [5, 6]
+
+
+def test_wide_gaps_end_words():
+    channel = channel_of("the stupid man walks by the river " * 20)
+    assert {"stupid", "man"} <= set(channel.spaced_words("s t u p i d   m a n"))
+    began = time.process_time()
+    assert toxicity._SPACED.search("a" + " " * 500_000 + "b" + " " * 500_000 + "cc") is None
+    assert time.process_time() - began < 2
+
+
 def test_decoding_in_pieces(monkeypatch):
     channel = channel_of("the idiot and the stupid moron walk by the river stone house " * 20)
     token = "the1d10tandthe5tup1dmoron" * 40
