@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quarrystone.functions import redaction
 from quarrystone.functions.redaction import redacted
 from quarrystone.limits import LIMITS, Limits
-from quarrystone.operators import paging, store
+from quarrystone.operators import paging, store, tables
 from quarrystone.plans import lifecycle
 from quarrystone.plans.texts import TextStore
 from quarrystone.sources import readers
@@ -67,6 +67,19 @@ class Attachments:
         following = F.get("_rows", F.col("_w.next_offset").cast("int"))["row_no"].alias("next_row")
         return made.select("id", "sheet", F.explode_outer(kept).alias("_row"), following, F.col("_w.error_code").alias("error_code")).select("id", "sheet", "_row.*", "next_row", "error_code")
 
+    def publish(self, requests: str, name: str) -> DataFrame:
+        """A temporary view ``name`` of the answers to a table or view of requests, to be joined and filtered in SQL.
+
+        The requests hold ``session_id``, ``id`` and any of ``offset``, ``page``, ``page_end``, ``paragraph_offset`` and
+        ``paragraph_limit``.  Only contents that some request may read are opened, when the view is queried.
+        """
+        rows = self.refs.sparkSession.table(requests)
+        for column in ("offset", "page", "page_end", "paragraph_offset", "paragraph_limit"):
+            rows = rows.withColumn(column, (F.col(column) if column in rows.columns else F.lit(None)).cast("long"))
+        answers = lifecycle.read_window(rows, self.refs, self.blobs, self.sessions, kept=self.kept)
+        answers.createOrReplaceTempView(name)
+        return answers
+
     def list_archive(self, session: str, attachment_id: str, prefix: str | None = None, cursor: int = 0, limit: int = 100) -> DataFrame:
         return lifecycle.list_archive(self._ask(session, attachment_id), self.refs, self.blobs, prefix, cursor, limit, self.sessions)
 
@@ -77,7 +90,8 @@ class Attachments:
 
 
 def register(spark: SparkSession) -> None:
-    """SQL functions ``json_redacted(text)`` (null where nothing is masked), ``rtf_text(bytes)`` and ``decoded_text(bytes)``."""
+    """SQL functions ``json_redacted(text)`` (null where nothing is masked), ``rtf_text(bytes)`` and ``decoded_text(bytes)``, and the table functions."""
+    tables.register(spark)
     spark.udf.register("json_redacted", redaction._json_masked.made())
     spark.udf.register("rtf_text", readers.rtf.made())
     spark.udf.register("decoded_text", readers.decoded.made())

@@ -5,6 +5,7 @@ Files are written from the tables' columns by Spark and read back by the engine'
 
 from __future__ import annotations
 
+import re
 from dataclasses import replace
 from uuid import uuid4
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quarrystone.functions import detection, names
 from quarrystone.limits import LIMITS
-from quarrystone.operators import archive_scan, archives, line_index, paging, store, uploads
+from quarrystone.operators import archive_scan, archives, line_index, paging, store, tables, uploads
 from quarrystone.plans import lifecycle
 from quarrystone.plans.texts import TextStore
 from quarrystone.queries import MASKED_DOCUMENTS, _ATT, ORACLES, _as_attachments, _attachments, _known, _table, query
@@ -320,6 +321,42 @@ def kept_texts(spark, sf_dir):
     return lifecycle.masked_texts(asked, gone, kept).select(F.col("id").alias("doc_id"), "text", "redacted", F.col("_failed").alias("error_code"))
 
 
+# Table functions.
+
+
+@query(ORACLES["byte_pages"])
+def sql_text_pages(spark, sf_dir):
+    """Pages of every document by the table function, in a LATERAL join."""
+    tables.register(spark)
+    return spark.sql("SELECT d.doc_id, p.* FROM {docs} d, LATERAL text_pages(d.text, 40, 2000) p", docs=_documents(spark, sf_dir))
+
+
+@query(f"""WITH {re.sub("^WITH RECURSIVE p AS", "RECURSIVE p AS", ORACLES["byte_pages"].split("SELECT doc_id, page_no, byte_start, strlen")[0])},
+o AS (SELECT doc_id, max(page_no) AS n FROM p GROUP BY doc_id), q AS (SELECT doc_id, n, doc_id % 4 + 1 AS page FROM o)
+SELECT q.doc_id, p.text, CASE WHEN q.page < n THEN q.page + 1 ELSE -1 END::BIGINT AS next_page, CASE WHEN q.page > n THEN 'PAGE_OUT_OF_RANGE' END AS error_code
+FROM q LEFT JOIN p ON p.doc_id = q.doc_id AND p.page_no = q.page""")
+def sql_text_windows(spark, sf_dir):
+    """One page of every document, which the row itself names, by the table function."""
+    tables.register(spark)
+    docs = _documents(spark, sf_dir).withColumn("page", F.col("doc_id") % 4 + 1)
+    return spark.sql("SELECT d.doc_id, w.text, coalesce(w.next_page, -1) AS next_page, w.error_code FROM {docs} d, LATERAL text_window(d.text, d.page, 40, 2000) w", docs=docs)
+
+
+@query(ORACLES["archive_listing"])
+def sql_archive_listing(spark, sf_dir):
+    """The first two entries under docs of each archive, by the table function."""
+    tables.register(spark)
+    return spark.sql("SELECT a.id, e.path, e.entry_no, coalesce(e.next_cursor, -1) AS next_cursor FROM {held} a, LATERAL list_archive(a.content, 'docs', 0, 2) e", held=_archives(spark, sf_dir))
+
+
+@query(r"""SELECT page_id AS id, CASE page_id % 3 WHEN 0 THEN url WHEN 2 THEN 'token = abc' || chr(10) || 'plain' END AS text, CASE WHEN page_id % 3 = 1 THEN 'ARCHIVE_PATH_REJECTED' END AS error_code FROM pages""")
+def sql_archive_entry(spark, sf_dir):
+    """One entry of each archive, whose path a request names, by the table function."""
+    tables.register(spark)
+    path = F.when(F.col("id") % 3 == 0, "docs/url.txt").when(F.col("id") % 3 == 1, "../out.txt").otherwise("notes//b.txt")
+    return spark.sql("SELECT a.id, decode(e.entry, 'UTF-8') AS text, e.error_code FROM {held} a, LATERAL read_entry(a.content, a.path) e", held=_archives(spark, sf_dir).withColumn("path", path))
+
+
 # Files on disk.
 
 
