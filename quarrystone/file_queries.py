@@ -20,7 +20,7 @@ from quarrystone.plans.texts import TextStore
 from quarrystone.queries import MASKED_DOCUMENTS, _ATT, ORACLES, _as_attachments, _attachments, _known, _table, query
 from quarrystone.sources import ranges, readers
 from quarrystone.sources.packages import escaped, packed
-from quarrystone.streaming.announce import announce_stream, batches_stream, stream_folder
+from quarrystone.streaming.announce import announce_stream, batches_stream, stream_folder, whole_announcements
 
 _TRIM = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 
@@ -481,7 +481,8 @@ def _run_to_its_end(spark, stream, schema: str):
 def announced_by_stream(spark, sf_dir):
     """``announce_fresh`` as a stream over the documents' files, with the log's announcements as its beginning."""
     said = announce_stream(_as_attachments(_streamed(spark, sf_dir, "documents")), known=_known(spark, sf_dir))
-    return _run_to_its_end(spark, said.select("session_id", "n_fresh", "text"), "session_id string, n_fresh long, text string")
+    rows = _run_to_its_end(spark, said.select("session_id", "items", "error_code"), "session_id string, items array<struct<at:long,id:string,said:string>>, error_code string")
+    return whole_announcements(rows).drop("ids")
 
 
 @query("""SELECT conv_id::VARCHAR AS session_id, turn::BIGINT AS seq, coalesce(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS batch_no FROM conversations""")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-OUTPUT = "session_id string, n_fresh long, ids array<string>, text string, error_code string"
+OUTPUT = "session_id string, n_fresh long, ids array<string>, text string, error_code string, items array<struct<at:{0},id:string,said:string>>"
 #: Attachments of one announcement: a session with more in a trigger gets several, so a task holds no more.
 PAGE = 1000
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -53,7 +53,7 @@ class Announcer(StatefulProcessor):
         for pdf in rows:
             for own, name, at, family, kind in zip(*(pdf[c].astype(object).where(pdf[c].notna(), None) for c in ("id", "safe_name", "created_at", "family", "kind")), strict=True):
                 if key[0] is None or own is None or at is None:
-                    yield self._row(key[0], None, [own], None, "INVALID_REQUEST")
+                    yield self._row(key[0], None, [own], None, "INVALID_REQUEST", [])
                 elif not self.known.containsKey((own,)):
                     self.known.updateValue((own,), (True,))
                     fresh.append((at, own, f"{name} ({own}, {family}/{kind})"))
@@ -65,10 +65,11 @@ class Announcer(StatefulProcessor):
 
     def _said(self, session, fresh: list[tuple]) -> pd.DataFrame:
         fresh.sort(reverse=True)  # newest first
-        return self._row(session, len(fresh), [x[1] for x in fresh], ", ".join(x[2] for x in fresh), None)
+        items = [dict(zip(("at", "id", "said"), x, strict=True)) for x in fresh]
+        return self._row(session, len(fresh), [x[1] for x in fresh], ", ".join(x[2] for x in fresh), None, items)
 
-    def _row(self, session, n, ids, text, code) -> pd.DataFrame:
-        return pd.DataFrame({"session_id": [session], "n_fresh": pd.array([n], "Int64"), "ids": [ids], "text": [text], "error_code": [code]})
+    def _row(self, session, n, ids, text, code, items) -> pd.DataFrame:
+        return pd.DataFrame({"session_id": [session], "n_fresh": pd.array([n], "Int64"), "ids": [ids], "text": [text], "error_code": [code], "items": [items]})
 
     def close(self) -> None:
         pass
@@ -78,14 +79,22 @@ def announce_stream(refs: DataFrame, session: str = "owner_session_id", known: D
     """One row for each session and trigger with new ids; ``refs``: session, ``id``, ``safe_name``, ``created_at``, ``family``, ``kind``.
 
     ``known`` (``session_id``, ``id``; see ``sessions.announced``) is what a log shows as announced before the stream began.
-    A session with more than ``page`` new ids in a trigger has several rows.  Rows without session, id or time have
-    ``error_code``.
+    A session with more than ``page`` new ids in a trigger has several rows, each newest first; ``items`` are their parts,
+    from which ``whole_announcements`` makes one row for a session.  Rows without session, id or time have ``error_code``.
     """
     spark = refs.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)  # the one with maps, timers and times to live
     rows = refs.select(F.col(session).alias("session_id"), "id", "safe_name", "created_at", "family", "kind")
     begun = None if known is None else known.select("session_id", "id").filter("session_id IS NOT NULL AND id IS NOT NULL").groupBy("session_id")
-    return rows.groupBy("session_id").transformWithStateInPandas(Announcer(page, ttl_ms), OUTPUT, "Append", "ProcessingTime" if ttl_ms else "None", begun)
+    output = OUTPUT.format(rows.schema["created_at"].dataType.simpleString())
+    return rows.groupBy("session_id").transformWithStateInPandas(Announcer(page, ttl_ms), output, "Append", "ProcessingTime" if ttl_ms else "None", begun)
+
+
+def whole_announcements(rows: DataFrame) -> DataFrame:
+    """``session_id``, ``n_fresh``, ``ids``, ``text``: what a stream has said of each session, over all its rows, newest first."""
+    items = rows.filter("error_code IS NULL").select("session_id", F.explode("items").alias("_item"))
+    grouped = items.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_fresh"), F.sort_array(F.collect_list("_item"), asc=False).alias("_items"))
+    return grouped.select("session_id", "n_fresh", F.transform("_items", lambda x: x["id"]).alias("ids"), F.array_join(F.transform("_items", lambda x: x["said"]), ", ").alias("text"))
 
 
 class Batcher(StatefulProcessor):

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrystone.operators import sessions
-from quarrystone.streaming.announce import announce_stream, batches_stream
+from quarrystone.streaming.announce import announce_stream, batches_stream, whole_announcements
 
 REFS = "owner_session_id string, id string, safe_name string, created_at long, family string, kind string"
 
@@ -43,6 +43,17 @@ def test_announcements_over_triggers_and_restarts(spark, tmp_path):
     assert sorted(r.n_fresh for r in pages) == [2, 3, 3] and sorted(i for r in pages for i in r.ids) == [str(k) for k in range(8)]
 
 
+def test_pages_make_one_announcement(spark, tmp_path):
+    source = Source(spark, tmp_path, REFS, lambda s: announce_stream(s, page=3))
+    rows = refs(*[("s", str(k), 7 * k % 10) for k in range(10)], ("t", "a", 1))
+    source.arrive(rows[:8])
+    source.arrive(rows[4:])
+    out = whole_announcements(spark.read.parquet(str(tmp_path / "out"))).collect()
+    empty = spark.createDataFrame([], "session_id string, id string")
+    want = sessions.announce(spark.createDataFrame(rows, REFS), empty).collect()
+    assert sorted(map(tuple, out)) == sorted(map(tuple, want)) and [r.n_fresh for r in sorted(out)] == [10, 1]
+
+
 def test_state_written_is_what_is_new(spark, tmp_path):
     source = Source(spark, tmp_path, REFS, announce_stream)
     source.arrive(refs(*[("s", str(k), k) for k in range(2000)]))
