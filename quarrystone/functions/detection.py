@@ -293,7 +293,7 @@ def look(read: zips.ReadAt, size: int) -> tuple[tuple | None, str | None, str |
 def detect(files: DataFrame, name_col: str = "name", mime_col: str = "declared_mime", content_col: str = "content") -> DataFrame:
     """``files`` with ``safe_name`` and ``detected``: family, kind, mime, encoding, confidence, readable, mismatch, risks."""
 
-    @F.pandas_udf(LOOKED)
+    @arrow_function(LOOKED)
     def looked(content: pd.Series) -> pd.DataFrame:
         rows = [bytes(x) if x is not None else b"" for x in content]
         return looked_frame([look(zips.of_bytes(x), len(x)) for x in rows])

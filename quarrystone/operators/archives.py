@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrystone.functions.arrow import arrow_function
 from quarrystone.functions.detection import entry_name, zip_entries
 from quarrystone.functions.names import archive_path
 from quarrystone.limits import LIMITS
@@ -58,7 +59,7 @@ def read_entry(data: bytes, number: int, most: int = LIMITS.file_bytes) -> tuple
 def entries(archives: DataFrame, id_col: str = "id", content_col: str = "content") -> DataFrame:
     """id, ``entry_no, raw_path, is_regular, compressed, uncompressed, path`` (null where unsafe), ``error_code`` (archive unreadable)."""
 
-    @F.pandas_udf(f"array<struct<{ENTRY}>>")
+    @arrow_function(f"array<struct<{ENTRY}>>")
     def listed(content: pd.Series) -> pd.Series:
         names = [x.split(":")[0] for x in ENTRY.split(",")]
         return content.map(lambda x: None if (found := list_entries(bytes(x or b""))) is None else [dict(zip(names, e, strict=True)) for e in found])
@@ -83,7 +84,7 @@ def extract(asked: DataFrame, archives: DataFrame, id_col: str = "id") -> DataFr
     held = entries(archives, id_col).filter("is_regular AND path IS NOT NULL").groupBy(id_col, "path").agg(F.max("entry_no").alias("entry_no"))
     placed = wanted.join(held, [id_col, "path"], "left").join(archives.select(id_col, "content"), id_col, "left")
 
-    @F.pandas_udf("entry binary, error_code string")
+    @arrow_function("entry binary, error_code string")
     def taken(content: pd.Series, number: pd.Series) -> pd.DataFrame:
         rows = [(None, "ARCHIVE_PATH_REJECTED") if pd.isna(n) or c is None else read_entry(bytes(c), int(n)) for c, n in zip(content, number, strict=True)]
         return pd.DataFrame({"entry": [r[0] for r in rows], "error_code": [r[1] for r in rows]})

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarrystone.functions.arrow import arrow_function
 from quarrystone.functions.names import utf8_prefix
 from quarrystone.limits import LIMITS
 from quarrystone.operators.running import HOT, running
@@ -71,7 +72,7 @@ def byte_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A line that alone is too long is cut at character boundaries.  Pages together are the text, byte for byte.
     """
 
-    @F.pandas_udf("array<struct<page_no:long,byte_start:long,byte_len:long,text:string>>")
+    @arrow_function("array<struct<page_no:long,byte_start:long,byte_len:long,text:string>>")
     def paged(text: pd.Series) -> pd.Series:
         return text.map(lambda x: [{"page_no": k + 1, "byte_start": a, "byte_len": b - a, "text": data} for k, (a, b, data) in enumerate(cut_pages((x or "").encode(), most_lines, most_bytes))])
 

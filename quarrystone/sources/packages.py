@@ -11,13 +11,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quarrystone.functions import zips
+from quarrystone.functions.arrow import arrow_function
 
 
 def packed(parts: dict[str, Column], stored: bool = False, wide: bool = False) -> Column:
     """A zip (binary) with one entry for each of ``parts`` that is not null: name and text.  Names come from the plan; times are fixed.  ``wide``: its end is in the 64-bit format."""
     names = list(parts)
 
-    @F.pandas_udf("binary")
+    @arrow_function("binary")
     def written(*columns: pd.Series) -> pd.Series:
         def one(texts):
             out = io.BytesIO()

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, StringStartsWith
 
+from quarrystone.functions.arrow import arrow_function, slices
 from quarrystone.functions.detection import LOOKED, classified, look, looked_frame
 
 NAME = "byte_ranges"
@@ -219,12 +220,16 @@ def write_files(rows: DataFrame, folder: str, name_col: str = "name", content_co
         import pyarrow as pa
 
         system, inner, _ = file_system(folder)
+        made: set[str] = set()
         for batch in batches:
-            for name, content in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True):
-                path = posixpath.join(inner, name)
-                system.create_dir(posixpath.dirname(path), recursive=True)
-                with system.open_output_stream(path) as out:
-                    out.write(content or b"")
+            for part in slices(batch):
+                for name, content in zip(*(part.column(k).to_pylist() for k in range(2)), strict=True):
+                    path = posixpath.join(inner, name)
+                    if (parent := posixpath.dirname(path)) not in made:
+                        system.create_dir(parent, recursive=True)
+                        made = {*made, parent} if len(made) < 1000 else {parent}
+                    with system.open_output_stream(path) as out:
+                        out.write(content or b"")
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
 
     rows.select(F.col(name_col), F.col(content_col).cast("binary")).mapInArrow(written, "n long").agg(F.sum("n")).collect()
@@ -235,7 +240,7 @@ def detect_files(files: DataFrame, name_col: str = "name", mime_col: str = "decl
 
     A file that cannot be opened is looked at as an empty one.
     """
-    @F.pandas_udf(LOOKED)
+    @arrow_function(LOOKED)
     def looked(path: pd.Series, size: pd.Series) -> pd.DataFrame:
         rows = []
         for own, n in zip(path, size, strict=True):
