@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarrystone.functions.arrow import slices
 from quarrystone.limits import LIMITS
 from quarrystone.sources.ranges import PARTITION_BYTES, file_system
 
@@ -32,11 +33,35 @@ def _opened(path: str):
     return system.open_input_file(inner)
 
 
+class _Held:
+    """One open file, kept for as long as successive rows ask for it."""
+
+    def __init__(self):
+        self.path, self.own = None, None
+
+    def file(self, path: str):
+        if path != self.path:
+            self.close()
+            self.own, self.path = _opened(path), path
+        return self.own
+
+    def close(self) -> None:
+        if self.own is not None:
+            self.own.close()
+        self.path, self.own = None, None
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *failed) -> None:
+        self.close()
+
+
 def _windows(files: DataFrame, window: int, task_bytes: int) -> DataFrame:
     """``path, size, offset`` of every window, dealt to tasks by bytes."""
     spans = files.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)).cast("long"), F.lit(window).cast("long"))).alias("offset"))
     total = files.agg(F.sum(F.col("size") + 4096)).first()[0] or 0
-    return spans.repartition(max(1, -(-total // task_bytes)), "path", "offset")
+    return spans.repartition(max(1, -(-total // task_bytes)), "path", F.floor(F.col("offset") / task_bytes)).sortWithinPartitions("path", "offset")
 
 
 def _scanned(windows: DataFrame, window: int, schema: str, found) -> DataFrame:
@@ -46,15 +71,15 @@ def _scanned(windows: DataFrame, window: int, schema: str, found) -> DataFrame:
     def scanned(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            rows = []
-            for row in batch.to_pylist():
-                with _opened(row["path"]) as file:
-                    data = np.frombuffer(file.read_at(min(window, row["size"] - row["offset"]), row["offset"]), np.uint8) if row["size"] else np.empty(0, np.uint8)
-                rows += found(row, np.flatnonzero(data == 10) + row["offset"])
-            columns = zip(*rows, strict=True) if rows else [()] * len(names)
-            kinds = [pa.string()] + [pa.int64()] * (len(names) - 1)
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names)
+        with _Held() as held:
+            for batch in batches:
+                rows = []
+                for row in batch.to_pylist():
+                    data = np.frombuffer(held.file(row["path"]).read_at(min(window, row["size"] - row["offset"]), row["offset"]), np.uint8) if row["size"] else np.empty(0, np.uint8)
+                    rows += found(row, np.flatnonzero(data == 10) + row["offset"])
+                columns = zip(*rows, strict=True) if rows else [()] * len(names)
+                kinds = [pa.string()] + [pa.int64()] * (len(names) - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names)
 
     return windows.mapInArrow(scanned, schema)
 
@@ -101,21 +126,22 @@ def read_pages(requests: DataFrame, index: DataFrame, most_bytes: int = LIMITS.p
     def read(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            rows = []
-            for path, is_last, begin, end, code in zip(*(batch.column(k).to_pylist() for k in range(1, 6)), strict=True):
-                if code is not None:
-                    rows.append((None, None, None, code))
-                    continue
-                try:
-                    with _opened(path) as file:
-                        rows.append((*fitted(file.read_at(min(end - begin, most_bytes), begin), end - begin, begin, is_last), None))
-                except OSError:
-                    rows.append((None, None, None, "CORRUPT_FILE"))
-            columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True) if rows else [()] * 4, (pa.string(), pa.bool_(), pa.int64(), pa.string()), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["_request", "text", "has_more", "next_offset", "error_code"])
-
-    spread = asked.repartition(max(1, -(-total // task_bytes)), "path", "byte_start")
+        with _Held() as held:
+            for batch in (part for whole in batches for part in slices(whole)):
+                rows = []
+                for path, is_last, begin, end, code in zip(*(batch.column(k).to_pylist() for k in range(1, 6)), strict=True):
+                    if code is not None:
+                        rows.append((None, None, None, code))
+                        continue
+                    try:
+                        rows.append((*fitted(held.file(path).read_at(min(end - begin, most_bytes), begin), end - begin, begin, is_last), None))
+                    except OSError:
+                        rows.append((None, None, None, "CORRUPT_FILE"))
+                columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True) if rows else [()] * 4, (pa.string(), pa.bool_(), pa.int64(), pa.string()), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["_request", "text", "has_more", "next_offset", "error_code"])
+
+    # By content, as pages that are not there have no path; near pages of one file are in one task, which opens it once.
+    spread = asked.repartition(max(1, -(-total // task_bytes)), "_request.sha256", F.floor(F.coalesce("byte_start", F.lit(0)) / task_bytes)).sortWithinPartitions("path", "byte_start")
     return spread.mapInArrow(read, f"_request {request}, text string, has_more boolean, next_offset long, error_code string").select("_request.*", "text", "has_more", "next_offset", "error_code")
 
 
