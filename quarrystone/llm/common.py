@@ -75,6 +75,11 @@ def ids_name_rows(docs: DataFrame, id_col: str) -> bool:
     return docs.groupBy(F.col(id_col).alias("k")).agg(F.count(F.lit(1)).alias("n")).filter("k IS NULL OR n > 1").isEmpty()
 
 
+def slices(batch, rows: int = 256):
+    """Parts of an Arrow batch, without copies: so many rows are Python values at one time."""
+    return (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """``_row`` and ``_doc`` (the whole row): rows with numbers of their own, written once so that the numbers stay."""
     return cut(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct("*").alias("_doc")))

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import text_of
+from quarrystone.llm.common import slices, text_of
 
 CAPACITY, END = 1024, 2
 OPEN_BINS = 8192
@@ -113,7 +113,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
 
         bins, base = Bins(capacity, open_bins), TaskContext.get().partitionId() << 36
         for batch in batches:
-            ids = [token_ids(t, name) for t in batch.column(1).to_pylist()]
+            ids = [token_ids(t, name) for part in slices(batch) for t in part.column(1).to_pylist()]
             pieces = []  # (row, piece, start, length)
             for row, own in enumerate(ids):
                 first = (len(own) - 1) % capacity + 1

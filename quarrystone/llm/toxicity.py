@@ -40,7 +40,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import cut, text_of
+from quarrystone.llm.common import cut, slices, text_of
 
 FOLDS, SAMPLE, FLOOR = 5, 10_000, 0.02
 #: Lengths of the word beginnings that are features beside whole words.
@@ -68,6 +68,8 @@ WIDE, WIDE_DROP, WIDE_KEEP = "\t", 3.0, 0.0
 INSIDE = 5
 #: Decoding settles its reading after so many characters, but for the last ones.
 PIECE, OPEN = 256, 128
+#: Tokens, and fragments, whose readings a task remembers.
+MEMO = 100_000
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SPACED = re.compile(r"(?<!\S)\S(?:\s++\S){2,}(?!\S)")
@@ -80,6 +82,8 @@ _RUN = re.compile(r"(.)\1\1")
 _EDGE = ".,;:?\"'()[]{}<>*_-~`/\\«»“”„…"
 
 WIDTH = 64
+#: Characters whose trigrams are counted at one time.
+STEP = 1 << 17
 BREAK, OTHER, REST = 0, 27, 60
 
 
@@ -115,11 +119,12 @@ def trigrams(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
         total = np.zeros(WIDTH**3, np.int64)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for at in range(0, len(texts), 256):
-                for part in _parts("\n".join(texts[at : at + 256]).lower()):
-                    c = classes(f" {part} ")
-                    total += np.bincount((c[:-2] * WIDTH + c[1:-1]) * WIDTH + c[2:], minlength=WIDTH**3)
+            for rows in slices(batch):
+                for part in _parts("\n".join(rows.column(0).to_pylist()).lower()):
+                    whole = f" {part} "
+                    for at in range(0, len(whole) - 2, STEP):
+                        c = classes(whole[at : at + STEP + 2])
+                        total += np.bincount((c[:-2] * WIDTH + c[1:-1]) * WIDTH + c[2:], minlength=WIDTH**3)
         code = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(total[code])], ["code", "n"])
 
@@ -289,10 +294,10 @@ def restored_features(text: str, channel: Channel, memo: dict, wanted: Lexicon |
     readings = [low]
     if _HIDDEN.search(low):
         readings = [_HIDDEN.sub("", low), _HIDDEN.sub(" ", low)]
-    if len(memo) > 300_000:
+    if len(memo) > MEMO:
         memo.clear()
     fragments = memo.setdefault(None, {})
-    if len(fragments) > 300_000:
+    if len(fragments) > MEMO:
         fragments.clear()
     found: set[str] = set()
     for reading in readings:
@@ -392,6 +397,11 @@ def scores_of(texts: list[str], channel: Channel, memo: dict, known: Lexicon, mo
     return 1 / (1 + np.exp(-_inputs(np.array([evidence(t, channel, memo, known) for t in texts]), lengths) @ weights))
 
 
+def batch_scores(batch, at: int, *learnt) -> np.ndarray:
+    """The scores of an Arrow batch, whose column ``at`` has the texts."""
+    return np.concatenate([np.empty(0), *(scores_of([t or "" for t in part.column(at).to_pylist()], *learnt) for part in slices(batch))])
+
+
 def _model(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int):
     """What a score needs, on all tasks: the channel, the lexicon and the weights."""
     context = docs.sparkSession.sparkContext
@@ -405,7 +415,7 @@ def _model(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
 
         memo: dict = {}
         for batch in batches:
-            found = [evidence(t, channel.value, memo, lexicon.value) for t in batch.column(2).to_pylist()]
+            found = [evidence(t, channel.value, memo, lexicon.value) for part in slices(batch) for t in part.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([x[k] for x in found], pa.float64()) for k in range(3))], ["_id", "_label", "a", "b", "c"])
 
     kind = rows.schema["_id"].dataType.simpleString()
@@ -425,7 +435,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
         memo: dict = {}
         for batch in batches:
-            scores = scores_of(batch.column(1).to_pylist(), channel.value, memo, lexicon.value, model)
+            scores = batch_scores(batch, 1, channel.value, memo, lexicon.value, model)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["_id", "score"])
 
     kind = rows.schema["_id"].dataType.simpleString()
@@ -443,7 +453,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
         memo: dict = {}
         for batch in batches:
-            scores = scores_of([t or "" for t in batch.column(at).to_pylist()], channel.value, memo, lexicon.value, model)
+            scores = batch_scores(batch, at, channel.value, memo, lexicon.value, model)
             yield batch.filter(pa.array(scores < 0.5, pa.bool_()))
 
     return docs.mapInArrow(clean, docs.schema)
