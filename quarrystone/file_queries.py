@@ -24,6 +24,8 @@ from quarrystone.streaming.announce import announce_stream, batches_stream, stre
 
 #: Rows of narrow tables, each made into a file, that one task takes.
 TASK_ROWS = 5_000
+#: Files of a folder that a query writes, about.
+FOLDER_FILES = 4_000
 
 _TRIM = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 
@@ -369,9 +371,10 @@ def sql_archive_entry(spark, sf_dir):
 
 
 def _on_disk(spark, rows: DataFrame) -> str:
-    """A shared folder with a file for each row (``name``, ``content``)."""
+    """A shared folder with a file for each row (``name``, ``content``), in folders below it that can be listed one by one."""
     folder = f"{stream_folder(spark)}/{uuid4().hex}"
-    ranges.write_files(rows, folder)
+    below = F.crc32(F.col("name").cast("binary")) % max(1, -(-rows.count() // FOLDER_FILES))
+    ranges.write_files(rows.select(F.concat(below.cast("string"), F.lit("/"), "name").alias("name"), "content"), folder)
     return folder
 
 
@@ -433,7 +436,7 @@ def indexed_pages(spark, sf_dir):
     """Pages of four lines of documents on disk by an index of lines, each read by one seek, within 600 bytes."""
     docs = _documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("content"))
     folder = _on_disk(spark, docs.select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), "content"))
-    files = ranges.read_ranges(spark, folder).select("path", "size", _id_of().alias("doc_id")).join(docs.select("doc_id", F.sha2(F.concat(F.col("doc_id").cast("string").cast("binary"), "content"), 256).alias("sha256")), "doc_id")
+    files = ranges.read_ranges(spark, folder).select("path", "size", _id_of().alias("doc_id")).join(docs.select("doc_id", F.sha2(F.concat(F.col("doc_id").cast("string").cast("binary"), "content"), 256).alias("sha256")), "doc_id").cache()  # listed once
     index = line_index.build(files, every=4, window=1000).cache()
     asked = files.select("doc_id", "sha256", F.explode(F.array(*map(F.lit, (1, 2, 3, 9))).cast("array<long>")).alias("page"))
     return line_index.read_pages(asked, index, most_bytes=600).select("doc_id", F.col("page").cast("int").alias("page"), "text", "has_more", "error_code")

@@ -57,11 +57,9 @@ class _Held:
         self.close()
 
 
-def _windows(files: DataFrame, window: int, task_bytes: int) -> DataFrame:
-    """``path, size, offset`` of every window, dealt to tasks by bytes."""
-    spans = files.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)).cast("long"), F.lit(window).cast("long"))).alias("offset"))
-    total = files.agg(F.sum(F.col("size") + 4096)).first()[0] or 0
-    return spans.repartition(max(1, -(-total // task_bytes)), "path", F.floor(F.col("offset") / task_bytes)).sortWithinPartitions("path", "offset")
+def _windows(files: DataFrame, window: int) -> DataFrame:
+    """``path, size, offset`` of every window."""
+    return files.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)).cast("long"), F.lit(window).cast("long"))).alias("offset"))
 
 
 def _scanned(windows: DataFrame, window: int, schema: str, found) -> DataFrame:
@@ -86,11 +84,14 @@ def _scanned(windows: DataFrame, window: int, schema: str, found) -> DataFrame:
 
 def build(files: DataFrame, every: int = LIMITS.page_lines, window: int = WINDOW, task_bytes: int = PARTITION_BYTES) -> DataFrame:
     """The index of ``files`` (``sha256``, ``path``, ``size``): a row for each page of ``every`` lines."""
-    files = files.select("sha256", "path", "size").dropDuplicates(["sha256"])
-    counts = _scanned(_windows(files, window, task_bytes), window, "path string, offset long, feeds long", lambda row, at: [(row["path"], row["offset"], len(at))])
+    total = files.agg(F.sum(F.col("size") + 4096)).first()[0] or 0
+    dealt = lambda windows: windows.repartition(max(1, -(-total // task_bytes)), "path", F.floor(F.col("offset") / task_bytes)).sortWithinPartitions("path", "offset")
+    # Of equal contents the same one whenever this is computed.
+    files = files.groupBy("sha256").agg(F.min(F.struct("path", "size")).alias("_file")).select("sha256", "_file.*")
+    counts = _scanned(dealt(_windows(files, window)), window, "path string, size long, offset long, feeds long", lambda row, at: [(row["path"], row["size"], row["offset"], len(at))])
     upto = W.partitionBy("path").orderBy("offset").rowsBetween(W.unboundedPreceding, 0)
     whole = W.partitionBy("path")
-    numbered = counts.select("path", "offset", (F.sum("feeds").over(upto) - F.col("feeds")).alias("before"), (F.sum("feeds").over(whole) + 1).alias("lines"))
+    numbered = counts.select("path", "size", "offset", (F.sum("feeds").over(upto) - F.col("feeds")).alias("before"), (F.sum("feeds").over(whole) + 1).alias("lines"))
 
     def begun(row, at):
         """Pages that begin behind line feeds of the window; the first page begins at 0."""
@@ -99,8 +100,7 @@ def build(files: DataFrame, every: int = LIMITS.page_lines, window: int = WINDOW
         pages = [(row["path"], row["size"], row["lines"], (row["before"] + (first or every)) // every + k + 1, int(x) + 1) for k, x in enumerate(ends)]
         return [(row["path"], row["size"], row["lines"], 1, 0), *pages] if row["offset"] == 0 else pages
 
-    needed = numbered.join(files.select("path", "size"), "path").select("path", "size", "offset", "before", "lines")
-    starts = _scanned(needed, window, "path string, size long, lines long, page_no long, byte_start long", begun)
+    starts = _scanned(dealt(numbered), window, "path string, size long, lines long, page_no long, byte_start long", begun)
     ahead = F.lead("byte_start").over(W.partitionBy("path").orderBy("page_no"))
     pages = starts.select("*", F.coalesce(ahead, F.col("size")).alias("byte_end"), F.max("page_no").over(W.partitionBy("path")).alias("pages"))
     return pages.join(files.select("sha256", "path"), "path").select(*INDEX)
@@ -121,7 +121,10 @@ def read_pages(requests: DataFrame, index: DataFrame, most_bytes: int = LIMITS.p
     code = F.when(F.col("_known").isNull(), "CORRUPT_FILE").when(F.col("byte_start").isNull(), "PAGE_OUT_OF_RANGE")
     asked = placed.select(kept, "path", (F.col("page") == F.col("pages")).alias("_last"), "byte_start", "byte_end", code.alias("_code"))
     request = asked.schema["_request"].dataType.simpleString()
-    total = asked.agg(F.sum(F.least(F.col("byte_end") - F.col("byte_start"), F.lit(most_bytes)) + 4096)).first()[0] or 0
+    # Bytes of all requests, by hashes of their keys: the wide rows are joined and shuffled only once.
+    key = lambda page: F.xxhash64(F.col("sha256").cast("string"), F.col(page).cast("long")).alias("_key")
+    lengths = index.select(key("page_no"), F.least(F.col("byte_end") - F.col("byte_start"), F.lit(most_bytes)).alias("_length"))
+    total = requests.select(key("page")).join(lengths, "_key", "left").agg(F.sum(F.coalesce("_length", F.lit(0)) + 4096)).first()[0] or 0
 
     def read(batches):
         import pyarrow as pa

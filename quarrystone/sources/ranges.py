@@ -6,6 +6,10 @@ any, only sizes.  A head and a tail that meet are one range.  Ranges are dealt t
 tasks and many small ones are one; conditions on ``path``, ``offset`` and ``size`` are taken over where the session
 pushes filters to Python sources, and then prune ranges before anything is opened.
 
+The driver lists one folder at a time and holds what it has dealt packed.  Where only sizes are asked, nothing needs to be
+dealt by bytes: the driver stops at the first level that has ``FOLDERS`` folders, and tasks list what is below.  A folder's
+own files are always listed at once, so a great many files belong in many folders.
+
 As a stream it reads the same ranges of files that are new: those modified after the last ones seen, or at the same time
 and not among them.
 
@@ -18,8 +22,10 @@ bytes; an empty folder gives no rows; hidden files (``.`` and ``_``) are left ou
 from __future__ import annotations
 
 import fnmatch
+import pickle
 import posixpath
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -34,6 +40,8 @@ NAME = "byte_ranges"
 SCHEMA = "path string, size long, modified timestamp, offset long, length long, content binary"
 #: Bytes of a task's ranges.
 PARTITION_BYTES = 64 << 20
+#: Folders beside each other that are left to tasks, and tasks that they are dealt to at most.
+FOLDERS, FOLDER_TASKS = 32, 1024
 
 
 def file_system(path: str):
@@ -47,18 +55,36 @@ def file_system(path: str):
     return system, inner, whole[: len(whole) - len(inner)] if whole.endswith(inner) else ""
 
 
-def listed(path: str, glob: str | None = None) -> list[tuple]:
-    """(path, size, modified) of the files at or under ``path``, by path."""
+def listed(path: str, glob: str | None = None, left: list[str] | None = None) -> Iterator[tuple]:
+    """(path, size, modified) of the files at or under ``path``, level by level, one folder held at a time.
+
+    With ``left``, a level of ``FOLDERS`` folders or more is not opened: its folders are put there instead.
+    """
     from pyarrow import fs
 
     system, inner, lead = file_system(path)
     own = system.get_file_info(inner)
     if own.type == fs.FileType.NotFound:
         raise FileNotFoundError(path)
-    found = [own] if own.type == fs.FileType.File else system.get_file_info(fs.FileSelector(inner, recursive=True))
-    below = lambda f: [x for x in posixpath.relpath(f.path, inner).split("/") if x not in (".", "..")]
-    files = [f for f in found if f.type == fs.FileType.File and not any(x[0] in "._" for x in below(f)) and (glob is None or fnmatch.fnmatch(f.base_name, glob))]
-    return sorted((lead + f.path, f.size, f.mtime) for f in files)
+    wanted = lambda f: f.type == fs.FileType.File and (glob is None or fnmatch.fnmatch(f.base_name, glob))
+    if own.type == fs.FileType.File:
+        yield from ((lead + f.path, f.size, f.mtime) for f in [own] if wanted(f))
+        return
+    level = [inner]
+    while level:
+        if left is not None and len(level) >= FOLDERS:
+            left += [lead + folder for folder in level]
+            return
+        below = []
+        for folder in level:
+            for f in sorted(system.get_file_info(fs.FileSelector(folder)), key=lambda f: f.path):
+                if f.base_name[0] in "._":
+                    continue
+                if f.type == fs.FileType.Directory:
+                    below.append(f.path)
+                elif wanted(f):
+                    yield lead + f.path, f.size, f.mtime
+        level = below
 
 
 @dataclass(frozen=True)
@@ -76,6 +102,10 @@ class Asked:
         get = lambda k: int(options[k]) if k in options else 0
         return Asked(get("head"), get("tail"), get("window"), int(options["offset"]) if "offset" in options else None, get("length"))
 
+    @property
+    def sizes_only(self) -> bool:
+        return not self.head and not self.tail and not self.window and self.offset is None
+
     def ranges(self, size: int) -> list[tuple[int, int]]:
         """(offset, length), at least one."""
         found = []
@@ -90,25 +120,39 @@ class Asked:
 
 
 class Ranges(InputPartition):
+    """Pieces (path, size, modified, offset, length) of a task, packed, as the driver holds those of all tasks."""
+
     def __init__(self, pieces: list[tuple]):
         super().__init__(None)
-        self.pieces = pieces
+        self.packed = zlib.compress(pickle.dumps(list(zip(*pieces, strict=True))), 1)
+
+    @property
+    def pieces(self) -> list[tuple]:
+        return list(zip(*pickle.loads(zlib.decompress(self.packed)), strict=True))
+
+
+class Folders(InputPartition):
+    """Folders that a task lists."""
+
+    def __init__(self, paths: list[str]):
+        super().__init__(None)
+        self.paths = paths
 
 
-def dealt(pieces: list[tuple], most: int) -> list[Ranges]:
+def dealt(pieces: Iterable[tuple], most: int) -> list[Ranges]:
     """Pieces (path, size, modified, offset, length) in tasks of about ``most`` bytes; opening a file counts as 4 KiB."""
-    tasks, held = [], 0
+    tasks, own, held = [], [], 0
     for piece in pieces:
         cost = piece[4] + 4096
-        if not tasks or held + cost > most:
-            tasks.append([])
-            held = 0
-        tasks[-1].append(piece)
+        if own and held + cost > most:
+            tasks.append(Ranges(own))
+            own, held = [], 0
+        own.append(piece)
         held += cost
-    return [Ranges(t) for t in tasks]
+    return [*tasks, Ranges(own)] if own else tasks
 
 
-def opened(pieces: list[tuple]) -> Iterator[tuple]:
+def opened(pieces: Iterable[tuple]) -> Iterator[tuple]:
     """Rows of pieces; a file is opened once for successive pieces, and only their bytes are read."""
     path, file = None, None
     try:
@@ -144,16 +188,25 @@ class RangeReader(DataSourceReader):
             else:
                 self.tests.append((at, test, f.value))
 
-    def _pieces(self) -> list[tuple]:
+    def _pieces(self, paths: list[str], left: list[str] | None = None) -> Iterator[tuple]:
         asked = Asked.of(self.options)
-        pieces = [(*file, *piece) for file in listed(self.options["path"], self.options.get("glob")) for piece in asked.ranges(file[1])]
-        return [p for p in pieces if all(test(p[at], value) for at, test, value in self.tests)]
+        for path in paths:
+            for file in listed(path, self.options.get("glob"), left):
+                for piece in asked.ranges(file[1]):
+                    if all(test((*file, *piece)[at], value) for at, test, value in self.tests):
+                        yield *file, *piece
 
     def partitions(self):
-        return dealt(self._pieces(), int(self.options.get("partitionbytes", PARTITION_BYTES)))
+        left = [] if Asked.of(self.options).sizes_only else None
+        tasks = dealt(self._pieces([self.options["path"]], left), int(self.options.get("partitionbytes", PARTITION_BYTES)))
+        n = min(len(left or []), FOLDER_TASKS)
+        return [*tasks, *(Folders(left[k::n]) for k in range(n))]
 
     def read(self, partition):
-        yield from opened(partition.pieces if partition is not None else [])
+        if isinstance(partition, Folders):
+            yield from opened(self._pieces(partition.paths))
+        elif partition is not None:
+            yield from opened(partition.pieces)
 
 
 class RangeStream(DataSourceStreamReader):
@@ -176,7 +229,7 @@ class RangeStream(DataSourceStreamReader):
     def partitions(self, start, end):
         asked = Asked.of(self.options)
         new = [x[:3] for x in self._files() if (x[3] > start["time"] or x[3] == start["time"] and x[0] not in start["paths"]) and (x[3] < end["time"] or x[3] == end["time"] and x[0] in end["paths"])]
-        return dealt([(*f, *piece) for f in new for piece in asked.ranges(f[1])], int(self.options.get("partitionbytes", PARTITION_BYTES)))
+        return dealt(((*f, *piece) for f in new for piece in asked.ranges(f[1])), int(self.options.get("partitionbytes", PARTITION_BYTES)))
 
     def read(self, partition):
         yield from opened(partition.pieces)

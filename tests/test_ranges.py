@@ -1,5 +1,6 @@
 import io
 import os
+import pickle
 import time
 import zipfile
 import zlib
@@ -174,3 +175,29 @@ def test_written_files(spark, tmp_path):
     ranges.write_files(rows_, str(tmp_path))
     ranges.write_files(rows_, str(tmp_path))
     assert rows(ranges.read_ranges(spark, str(tmp_path), head=10)) == [("1.bin", 3, 0, b"one"), ("2.bin", 0, 0, b"")]
+
+
+def test_the_driver_lists_no_files_of_many_folders(spark, tmp_path):
+    """Sizes of files in many folders: tasks list the folders, and what the driver holds does not grow with the files."""
+    for k in range(40):
+        (tmp_path / "in" / f"{k}" / "deep").mkdir(parents=True)
+        for j in range(10):
+            (tmp_path / "in" / f"{k}" / ("deep" if j % 2 else "") / f"{j}.txt").write_bytes(b"x" * j)
+        (tmp_path / "in" / f"{k}" / "_hidden").write_bytes(b"x")
+    (tmp_path / "in" / "top.txt").write_bytes(b"top")
+    parts = ranges.RangeReader({"path": str(tmp_path), "glob": "*.txt"}).partitions()
+    assert sum(len(x.pieces) for x in parts if isinstance(x, ranges.Ranges)) == 1
+    found = ranges.read_ranges(spark, str(tmp_path), glob="*.txt")
+    assert found.rdd.getNumPartitions() == len(parts) == 41
+    want = sorted([(f"{tmp_path}/in/{k}/{'deep/' if j % 2 else ''}{j}.txt", j) for k in range(40) for j in range(10)] + [(f"{tmp_path}/in/top.txt", 3)])
+    assert sorted((r.path, r.size) for r in found.collect()) == want
+    assert sorted((r.path, r.size) for r in found.filter("size >= 8").collect()) == [x for x in want if x[1] >= 8]
+    windows = ranges.read_ranges(spark, str(tmp_path), window=4, glob="*.txt").collect()  # bytes are dealt by the sizes of all files
+    assert sorted((r.path, r.offset, r.length) for r in windows) == [(p, at, min(4, n - at)) for p, n in want for at in range(0, max(n, 1), 4)]
+
+
+def test_dealt_pieces_are_held_packed():
+    pieces = [(f"/some/long/folder/of/files/{k}.txt", k, None, 0, 0) for k in range(20_000)]
+    tasks = ranges.dealt(iter(pieces), 40 << 20)
+    assert [p for t in tasks for p in t.pieces] == pieces and len(tasks) == 2
+    assert sum(len(pickle.dumps(t)) for t in tasks) < 15 * len(pieces)

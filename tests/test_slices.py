@@ -1,5 +1,7 @@
 """Python holds slices of a batch, and work is dealt to tasks whatever a table's files are."""
 
+from pathlib import Path
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -51,3 +53,32 @@ def test_pages_that_are_not_there_are_dealt_by_content(spark, tmp_path):
     texts = {(r.sha256, r.page): r.text for r in rows}
     assert all(texts[f"h{k}", 1] == "\n".join([str(k)] * 4) and texts[f"h{k}", 2] == f"{k}\n" for k in range(40))
     assert len({r._task for r in rows if r.error_code == "PAGE_OUT_OF_RANGE"}) > 1
+
+
+def test_files_of_a_query_lie_in_folders_and_are_listed_once(spark, tmp_path, monkeypatch):
+    sf_dir = "/root/testdata/sf0.001"
+    want = sorted(map(str, file_queries.indexed_pages(spark, sf_dir).collect()))
+    monkeypatch.setattr(file_queries, "FOLDER_FILES", 4)
+    found = file_queries.indexed_pages(spark, sf_dir)
+    assert sorted(map(str, found.collect())) == want
+    leaves = found._jdf.queryExecution().optimizedPlan().collectLeaves()
+    assert {leaves.apply(k).nodeName() for k in range(leaves.size())} == {"InMemoryRelation"}
+    rows = spark.range(0, 200, 1, 1).select(F.concat(F.col("id").cast("string"), F.lit(".txt")).alias("name"), F.lit("x").alias("content"))
+    folder = Path(file_queries._on_disk(spark, rows).removeprefix("file:"))
+    below = list(folder.iterdir())
+    assert 40 < len(below) <= 50 and sorted(f.name for x in below for f in x.iterdir()) == sorted(f"{k}.txt" for k in range(200))
+
+
+def test_equal_contents_are_one_file_and_total_bytes_deal_requests(spark, tmp_path):
+    files = []
+    for k in range(60):  # thirty contents, each at two places
+        (tmp_path / f"{k}.txt").write_text(f"{k % 30}\n" * 9)
+        files.append((f"h{k % 30}", f"{tmp_path}/{k}.txt", len(f"{k % 30}\n") * 9))
+    index = line_index.build(spark.createDataFrame(files, "sha256 string, path string, size long").repartition(7, "path"), every=4, window=5)
+    rows = index.collect()
+    assert len(rows) == 90 and {(r.sha256, r.path) for r in rows} == {(h, min(p for g, p, _ in files if g == h)) for h, _, _ in files}
+    asked = spark.createDataFrame([(f"h{k}", page) for k in range(31) for page in (1, 2, 3, 4)], "sha256 string, page int")
+    found = line_index.read_pages(asked, index, task_bytes=4200)
+    got = {(r.sha256, r.page): r.text if r.error_code is None else r.error_code for r in found.collect()}
+    assert got == {(f"h{k}", p): "CORRUPT_FILE" if k == 30 else "PAGE_OUT_OF_RANGE" if p == 4 else "\n".join([str(k)] * (4 if p < 3 else 1)) + ("\n" if p == 3 else "") for k in range(31) for p in (1, 2, 3, 4)}
+    assert 100 < found.rdd.getNumPartitions() <= 124
